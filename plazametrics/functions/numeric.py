@@ -25,6 +25,12 @@ def ratio(part: Column, total: Column) -> Column:
     return F.when(total > 0, part / total).otherwise(F.lit(0.0))
 
 
+def round_exact(value: Column, digits: int) -> Column:
+    """Round by the binary value, ties to even, instead of by its shortest decimal text."""
+    scale = 10.0**digits
+    return F.rint(value * scale) / scale
+
+
 def information(p: Column) -> Column:
     """One term of Shannon entropy in nats."""
     return F.when(p > 0, -p * F.ln(p)).otherwise(F.lit(0.0))

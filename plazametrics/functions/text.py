@@ -12,6 +12,7 @@ from collections.abc import Iterable
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Label of an unclassified item, floor forms, category noise.
 UNMAPPED = "未映射"
@@ -19,7 +20,7 @@ FLOOR_FORM = r"B\d+|LG\d+|L\d+|F\d+|\d+F"
 CATEGORY_NOISE = rf"(?iu)^(?:{FLOOR_FORM}|\d+/(?:{FLOOR_FORM}|商场内)|月|\.*)$"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
 

@@ -102,37 +102,34 @@ def colocation_lift(
 ) -> DataFrame:
     """Lift of every brand pair found together in at least ``min_together`` venues.
 
-    Brands are sets of at most ``max_venues`` venues. With venues ordered from rare to
-    common, two sets sharing ``c`` venues must share one outside the ``c - 1`` most common
-    of either, so only those prefixes are joined: the busiest venues, where nearly all
-    brands meet, never act as join keys. A pair is kept at its first common venue, which
-    makes it unique without a distinct.
+    A pair needs ``min_together`` common venues, so it shares one outside any fixed set of
+    ``min_together - 1`` venues. The busiest ones are taken out as that set: there, where
+    nearly all brands meet, no pairs are made; membership is a bit mask per brand and its
+    overlap is added to the counts the other venues give.
     """
     held = df.select(venue, brand).distinct()
     total = held.select(F.count_distinct(venue)).scalar()
-    spread = held.groupBy(brand).agg(F.count("*").alias("_n"))
-    chosen = held.join(
-        spread.where(F.col("_n").between(max(min_venues, min_together), max_venues)), brand
+    spread = held.groupBy(brand).agg(F.count("*").alias("malls")).where(
+        F.col("malls").between(max(min_venues, min_together), max_venues)
     )
-    busy = chosen.groupBy(venue).agg(F.count("*").alias("_busy"))
-    sets = chosen.join(busy, venue).groupBy(brand).agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("_busy", F.col(venue).alias("v")))), lambda s: s["v"]
-        ).alias("places")
+    chosen = held.join(spread, brand)
+    busiest = chosen.groupBy(venue).agg(F.count("*").alias("_n")).orderBy(F.col("_n").desc(), venue).limit(
+        min(min_together - 1, 62)
     )
-    prefix = F.slice("places", F.lit(1), F.size("places") - (min_together - 1))
-    keyed = sets.withColumn("key", F.explode(prefix))
-    met = meeting_pairs(keyed, ["key"], brand, carry=["places"])
-    common = F.array_intersect("places_a", "places_b")
-    pairs = (
-        met.withColumn("_common", common)
-        .where((F.size("_common") >= min_together) & (F.element_at("_common", 1) == F.col("key")))
-    )
-    together, n_a, n_b = F.size("_common"), F.size("places_a"), F.size("places_b")
-    return pairs.select(
-        F.col("a").alias("brand_a"), F.col("b").alias("brand_b"),
-        n_a.alias("malls_a"), n_b.alias("malls_b"), together.alias("cooccurrence"),
-        F.round(together * total / (n_a * n_b), 4).alias("lift"),
+    listed = busiest.agg(F.array_sort(F.collect_list(venue))).scalar()
+    marked = chosen.withColumn("_at", F.array_position(listed, F.col(venue)))
+    bit = F.when(F.col("_at") > 0, F.expr("shiftleft(cast(1 as bigint), cast(_at as int) - 1)")).otherwise(F.lit(0))
+    masks = marked.groupBy(brand).agg(F.bit_or(bit).alias("mask"))
+    quiet = marked.where(F.col("_at") == 0).select(venue, brand).join(masks, brand)
+    met = meeting_pairs(quiet, [venue], brand, carry=["mask"])
+    counted = met.groupBy("a", "b").agg(
+        (F.count("*") + F.max(F.bit_count(F.col("mask_a").bitwiseAND(F.col("mask_b"))))).alias("cooccurrence")
+    ).where(F.col("cooccurrence") >= min_together)
+    size_a = spread.select(F.col(brand).alias("a"), F.col("malls").alias("malls_a"))
+    size_b = spread.select(F.col(brand).alias("b"), F.col("malls").alias("malls_b"))
+    return counted.join(size_a, "a").join(size_b, "b").select(
+        F.col("a").alias("brand_a"), F.col("b").alias("brand_b"), "malls_a", "malls_b", "cooccurrence",
+        F.round(F.col("cooccurrence") * total / (F.col("malls_a") * F.col("malls_b")), 4).alias("lift"),
     )
 
 

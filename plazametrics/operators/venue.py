@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import information, ratio
+from ..functions.numeric import information, ratio, round_exact
 from ..functions.text import UNMAPPED
 from .quantiles import grouped_median
 from .resolve import first_mode
@@ -228,7 +228,7 @@ def price_profile(df: DataFrame, venue: str, price: str, eligible: Column, rule:
     dispersion = F.when(enough & (F.col("_mean") > 0), F.nullif(F.col("_sd") / F.col("_mean"), F.lit(0.0)))
     return spread.join(middle, venue, "left").select(
         venue, "sitdown_price_sample",
-        F.round(median, 2).alias("sitdown_price_median"),
+        round_exact(median, 2).alias("sitdown_price_median"),
         F.round(F.ln(median), 6).alias("sitdown_price_log"),
         F.round(dispersion, 6).alias("price_dispersion"),
     )
