@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..session import checkpointed
 from . import rules as rl
 
 
@@ -160,6 +161,7 @@ def name_candidates(stats: DataFrame, settings: NameSettings = NameSettings()) -
     comparing all variants with all references.
     """
     d = settings.max_edits
+    stats = checkpointed(stats)
     # A pair at distance >= 1 needs this many characters to reach the similarity.
     shortest = max(1.0 / (1.0 - settings.min_similarity), 1.0) if settings.min_similarity < 1 else float("inf")
     fit = stats.where(F.length("brand_key") + d >= F.lit(shortest - 1e-9))
@@ -330,13 +332,14 @@ def deduplicate(
     ordinal: str,
     cost: Sequence[Column],
     policy: DedupPolicy = DedupPolicy(),
+    cells: DataFrame | None = None,
 ) -> DataFrame:
     """Store instances: key, floor, policy, row count and the representative's ordinal.
 
     The representative row itself is joined back by :func:`with_representative`, and the
     merged source records are the long table of :func:`lineage`.
     """
-    cells = dedup_cells(df, venue, brand, floor, ordinal, cost, policy)
+    cells = cells if cells is not None else dedup_cells(df, venue, brand, floor, ordinal, cost, policy)
     keeps = F.col("_policy") == "keep_confirmed_different_floors"
     # Rows with a known floor stand before the ones that join them.
     late = F.when(keeps & (F.col(floor) == ""), 1).otherwise(0)
@@ -371,8 +374,8 @@ def lineage(
     policy: DedupPolicy = DedupPolicy(),
 ) -> DataFrame:
     """One row per source record with the instance it went into."""
-    cells = dedup_cells(df, venue, brand, floor, ordinal, cost, policy)
-    instances = deduplicate(df, venue, brand, floor, ordinal, cost, policy)
+    cells = checkpointed(dedup_cells(df, venue, brand, floor, ordinal, cost, policy))
+    instances = deduplicate(df, venue, brand, floor, ordinal, cost, policy, cells)
     keys = [venue, brand, floor] + ([ordinal] if not policy.enabled else [])
     places = cells.select(*keys, F.col("_bucket").alias("bucket")).join(
         instances.select(venue, brand, "bucket", "store_instance_id"), [venue, brand, "bucket"]
@@ -399,8 +402,8 @@ def duplicate_audit(
     policy: DedupPolicy = DedupPolicy(),
 ) -> DataFrame:
     """Groups of more than one row: counts before and after, floors, policy and ids."""
-    cells = dedup_cells(df, venue, brand, floor, ordinal, cost, policy)
-    instances = deduplicate(df, venue, brand, floor, ordinal, cost, policy)
+    cells = checkpointed(dedup_cells(df, venue, brand, floor, ordinal, cost, policy))
+    instances = deduplicate(df, venue, brand, floor, ordinal, cost, policy, cells)
     groups = cells.groupBy(venue, brand).agg(
         F.sum("_rows").alias("rows_before"),
         F.count_distinct("_bucket").alias("instances_after"),

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.identity import IDENTITIES
+from ..session import checkpointed
 from .pairs import pair_count, shared_counts
 from .quantiles import grouped_median
 
@@ -41,8 +42,10 @@ def sensitivity_grid(cells: DataFrame, venue: str) -> DataFrame:
     """Brand and overlap statistics for every identity x singleton policy.
 
     Weak singletons stand in one venue, so they never enter an intersection: the pair
-    join is done once per identity and only set sizes differ between the policies.
+    join is done once per identity and only set sizes differ between the policies. The
+    incidence table feeds five consumers and is written out once.
     """
+    cells = checkpointed(cells)
     weak = weak_singletons(cells, venue).select("brand_identity", "key", F.lit(True).alias("weak"))
     marked = cells.join(weak, ["brand_identity", "key"], "left").withColumn("weak", F.coalesce("weak", F.lit(False)))
     both = marked.withColumn("singleton_policy", F.explode(F.array(F.lit(KEEP), F.lit(DROP)))).where(
@@ -57,9 +60,10 @@ def sensitivity_grid(cells: DataFrame, venue: str) -> DataFrame:
     met = shared_counts(cells.select("brand_identity", "key", venue), venue, "key", ["brand_identity"])
     size_a = sizes.select(*group, F.col(venue).alias("a"), F.col("size").alias("size_a"))
     size_b = sizes.select(*group, F.col(venue).alias("b"), F.col("size").alias("size_b"))
-    jaccard = met.join(size_a, ["brand_identity", "a"]).join(size_b, [*group, "b"]).withColumn(
+    overlaps = met.join(size_a, ["brand_identity", "a"]).join(size_b, [*group, "b"]).withColumn(
         "jaccard", F.col("shared") / (F.col("size_a") + F.col("size_b") - F.col("shared"))
     )
+    jaccard = checkpointed(overlaps.select(*group, "jaccard"))
     listed = jaccard.groupBy(*group, "jaccard").agg(F.count("*").alias("w"))
     zeros = (
         totals.join(jaccard.groupBy(*group).agg(F.count("*").alias("found")), group, "left")

@@ -98,8 +98,8 @@ def diversity_table(df: DataFrame, venue: str, category: str) -> DataFrame:
 def nestedness(df: DataFrame, venue: str, category: str) -> DataFrame:
     table = diversity_table(df, venue, category)
     return table.agg(
-        F.round(F.corr("diversity", "mean_ubiquity"), 4).alias("corr_diversity_ubiquity"),
-        F.round(F.corr("store_count", "diversity"), 4).alias("corr_size_diversity"),
+        F.round(pearson(F.col("diversity"), F.col("mean_ubiquity")), 4).alias("corr_diversity_ubiquity"),
+        F.round(pearson(F.col("store_count"), F.col("diversity")), 4).alias("corr_size_diversity"),
         F.min("diversity").alias("diversity_min"), F.max("diversity").alias("diversity_max"),
         F.min("store_count").alias("smallest_store_count"),
     )
@@ -134,7 +134,7 @@ def rarefaction(vectors: DataFrame, venue: str, counts: str = "counts", reps: in
         F.count("*").alias("diversity"), F.avg("_venues").alias("mean_ubiquity")
     )
     return table.groupBy("rep").agg(
-        F.corr("diversity", "mean_ubiquity").alias("corr"), F.min("diversity").alias("diversity_min"),
+        pearson(F.col("diversity"), F.col("mean_ubiquity")).alias("corr"), F.min("diversity").alias("diversity_min"),
         F.max("diversity").alias("diversity_max"),
     ).withColumn("rarefied_to", F.lit(smallest))
 

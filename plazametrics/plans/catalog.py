@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import queries_analysis, queries_scalar, queries_venue
+from . import queries_analysis, queries_frames, queries_scalar, queries_venue
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "queries_analysis", "queries_scalar", "queries_venue"]
+__all__ = ["ORACLES", "QUERIES", "queries_analysis", "queries_frames", "queries_scalar", "queries_venue"]

@@ -90,14 +90,19 @@ def customer_purchases(spark, sf) -> DataFrame:
     )
 
 
+def purchase_vectors(spark, sf) -> DataFrame:
+    rows = customer_purchases(spark, sf)
+    return venue.count_vectors(rows, "o_custkey", "p_brand", venue.vocabulary(rows, "p_brand"))
+
+
 @query("sta6_rarefaction")
 def _(spark, sf):
-    return stats.rarefaction(vectors(spark, sf), "mall_id")
+    return stats.rarefaction(purchase_vectors(spark, sf), "o_custkey")
 
 
 @query("sta6_rarefaction_summary")
 def _(spark, sf):
-    return stats.rarefaction_summary(stats.rarefaction(vectors(spark, sf), "mall_id"))
+    return stats.rarefaction_summary(stats.rarefaction(purchase_vectors(spark, sf), "o_custkey"))
 
 
 @query("sta10_posthoc", f"""WITH {FEATURE_SQL}, {PLACE_SQL}, j AS (SELECT f.*, sqrt(power((longitude - 121.4737) * 111.32 * cos(radians(latitude)), 2)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import metadata, pairs, resolve, rules, sensitivity, venue
 from ..operators.quantiles import grouped_median
+from ..session import checkpointed
 from .bindings import (
     EXCLUSION_LIST, EXCLUSIONS, LISTING_SQL, MAPPED_SQL, MAPPING, PLACE_SQL, listings, places, table, with_listings,
 )
@@ -289,6 +290,7 @@ def _(spark, sf):
         found.select("mall_id", "brand_id", "floor_location", "representative"),
         eligible.withColumnRenamed("mall_id", "_m").withColumnRenamed("brand_id", "_b"), "record_id", ["category_l1", "rating"],
     )
+    instances = checkpointed(instances.drop("representative"))
     return venue.venue_metrics(
         source, unmapped, unmapped, instances, "mall_id", "brand_id", "category_l1", "floor_location", "rating",
         chain(instances), 4,
@@ -486,13 +488,14 @@ def _(spark, sf):
     return pairs.similarity_summary(found, "jaccard_similarity", venue.venue_total(rows, "mall_id"))
 
 
-@query("joi11_sta7_win9_colocation_lift", with_listings(""", h AS (SELECT DISTINCT mall_id, brand_id FROM listings),
-  s AS (SELECT brand_id, count(*) AS n FROM h GROUP BY ALL HAVING count(*) BETWEEN 4 AND 30), c AS (SELECT h.* FROM h JOIN s USING (brand_id)),
-  p AS (SELECT x.brand_id AS a, y.brand_id AS b, count(*) AS k FROM c x JOIN c y ON x.mall_id = y.mall_id AND x.brand_id < y.brand_id GROUP BY ALL HAVING count(*) >= 5)
+@query("joi11_sta7_colocation_lift", """WITH h AS (SELECT DISTINCT o_custkey, l_partkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+  s AS (SELECT l_partkey, count(*) AS n FROM h GROUP BY ALL HAVING count(*) BETWEEN 4 AND 30), c AS (SELECT h.* FROM h JOIN s USING (l_partkey)),
+  p AS (SELECT x.l_partkey AS a, y.l_partkey AS b, count(*) AS k FROM c x JOIN c y ON x.o_custkey = y.o_custkey AND x.l_partkey < y.l_partkey GROUP BY ALL HAVING count(*) >= 5)
   SELECT a AS brand_a, b AS brand_b, sa.n AS malls_a, sb.n AS malls_b, k AS cooccurrence,
-  round(k * (SELECT count(DISTINCT mall_id) FROM h) / cast(sa.n * sb.n AS double), 4) AS lift FROM p JOIN s sa ON sa.brand_id = a JOIN s sb ON sb.brand_id = b"""))
+  round(k * (SELECT count(DISTINCT o_custkey) FROM h) / cast(sa.n * sb.n AS double), 4) AS lift FROM p JOIN s sa ON sa.l_partkey = a JOIN s sb ON sb.l_partkey = b""")
 def _(spark, sf):
-    return pairs.colocation_lift(listings(spark, sf), "mall_id", "brand_id")
+    sold = table(spark, sf, "lineitem").join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return pairs.colocation_lift(sold, "o_custkey", "l_partkey")
 
 
 @query("win9_top_lift_edges", """WITH h AS (SELECT DISTINCT c_nationkey AS v, l_partkey AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey),
