@@ -165,7 +165,10 @@ def parse_cards(tokens: DataFrame, g: Geometry) -> tuple[DataFrame, DataFrame]:
         joined(F.col("row")).alias("metadata_text"), joined(F.col("region")).alias("all_text"),
         F.max(F.col("region") & badge).alias("badge"),
     )
-    full = matches.join(fields, [*FRAME, "title_ord"])
+    # A card whose row and region hold no token keeps empty fields.
+    full = matches.join(fields, [*FRAME, "title_ord"], "left").na.fill(
+        "", ["rating", "avg_price_yuan", "floor_location", "metadata_text", "all_text"]
+    ).na.fill({"badge": False})
     category = F.coalesce("c.category", F.lit(""))
     status = F.when((F.col("status") == "rated") & (F.col("rating") == ""), "ocr_missing").otherwise(F.col("status"))
     crop_top = F.greatest(F.lit(0), F.floor(F.lit(g.crop_y) + F.col("y1_t") / g.scale - 18))

@@ -55,10 +55,10 @@ def _(spark, sf):
     return rows.select("video", "frame_index", "ord", F.col("token.text").alias("text"), F.col("token.box")[1].alias("y1"))
 
 
-_TITLE = "starts_with(text, 'Shop')"
+_TITLE = "(starts_with(text, 'Shop') OR (starts_with(text, 'L') AND x1 <= 311))"
 TITLES_SQL = f"""{ORDERED_SQL}, titles AS (SELECT *, y1 + 20.0 AS cy FROM ordered WHERE {_TITLE}),
   anchors AS (SELECT *, y1 + 20.0 AS cy, CASE WHEN starts_with(text, '4.') OR starts_with(text, '暂无') THEN 3 WHEN starts_with(text, '￥') THEN 2 ELSE 1 END AS priority
-    FROM ordered WHERE NOT {_TITLE}),
+    FROM ordered WHERE NOT starts_with(text, 'Shop')),
   near AS (SELECT a.video, a.frame_index, a.ord AS anchor_ord, a.priority, t.ord AS title_ord, a.cy - t.cy AS gap, row_number() OVER (PARTITION BY a.video, a.frame_index, a.ord
     ORDER BY a.cy - t.cy, t.ord) AS r FROM anchors a JOIN titles t USING (video, frame_index) WHERE a.cy - t.cy BETWEEN {MIN_GAP} AND {MAX_GAP} AND t.y2 < a.cy),
   matched AS (SELECT video, frame_index, title_ord, anchor_ord FROM (SELECT *, row_number() OVER (PARTITION BY video, frame_index, title_ord
@@ -95,11 +95,11 @@ def parsed(spark, sf) -> tuple[DataFrame, DataFrame]:
     return frames.parse_cards(checkpointed(ordered_tokens(spark, sf)), GEOMETRY)
 
 
-ROWS_SQL = f"""{TITLES_SQL}, on_row AS (SELECT b.*, o.ord, o.text, o.x1, o.score, starts_with(o.text, 'L') AS pure FROM bounded b JOIN ordered o USING (video, frame_index)
-    WHERE abs(o.y1 + 20.0 - acy) <= {TOLERANCE} AND o.y1 < next_y AND o.x1 >= tx - 20),
+ROWS_SQL = f"""{TITLES_SQL}, on_row AS (SELECT b.*, o.ord, o.text, o.x1, o.score, starts_with(o.text, 'L') AS pure FROM bounded b LEFT JOIN ordered o ON b.video = o.video AND b.frame_index = o.frame_index
+    AND abs(o.y1 + 20.0 - acy) <= {TOLERANCE} AND o.y1 < next_y AND o.x1 >= tx - 20),
   fields AS (SELECT video, frame_index, title_ord, coalesce(min_by(CASE WHEN starts_with(text, '4.') THEN left(text, 3) END, ord) FILTER (starts_with(text, '4.')), '') AS rating,
     coalesce(min_by(regexp_extract(text, '￥(\\d+)/人', 1), ord) FILTER (starts_with(text, '￥')), '') AS avg_price_yuan,
-    coalesce(arg_max(text, (x1, -ord)) FILTER (pure), '') AS floor_location, string_agg(text, ' | ' ORDER BY ord) AS metadata_text FROM on_row GROUP BY ALL)"""
+    coalesce(arg_max(text, (x1, -ord)) FILTER (pure), '') AS floor_location, coalesce(string_agg(text, ' | ' ORDER BY ord), '') AS metadata_text FROM on_row GROUP BY ALL)"""
 
 
 @query("joi13_win4_win6_row_fields", f"WITH {ROWS_SQL} SELECT video, frame_index, title_ord, rating, avg_price_yuan, floor_location, metadata_text FROM fields")
@@ -108,8 +108,8 @@ def _(spark, sf):
     return cards.select("video", "frame_index", "title_ord", "rating", "avg_price_yuan", "floor_location", "metadata_text")
 
 
-@query("joi14_region_tokens", f"""WITH {TITLES_SQL} SELECT b.video, b.frame_index, title_ord, string_agg(o.text, ' | ' ORDER BY o.ord) AS all_text FROM bounded b
-  JOIN ordered o USING (video, frame_index) WHERE o.y1 + 20.0 >= ty - 8 AND o.y1 + 20.0 < least(1556, next_y - 4, ty + {DEPTH}) GROUP BY ALL""")
+@query("joi14_region_tokens", f"""WITH {TITLES_SQL} SELECT b.video, b.frame_index, title_ord, coalesce(string_agg(o.text, ' | ' ORDER BY o.ord), '') AS all_text FROM bounded b
+  LEFT JOIN ordered o ON b.video = o.video AND b.frame_index = o.frame_index AND o.y1 + 20.0 >= ty - 8 AND o.y1 + 20.0 < least(1556, next_y - 4, ty + {DEPTH}) GROUP BY ALL""")
 def _(spark, sf):
     cards, _ = parsed(spark, sf)
     return cards.select("video", "frame_index", "title_ord", "all_text")
@@ -130,7 +130,7 @@ def _(spark, sf):
     return parsed(spark, sf)[0]
 
 
-@query("stm7_title_candidates", f"""WITH {ORDERED_SQL} SELECT event_id, starts_with(text, 'Shop') AS structural FROM ordered""")
+@query("stm7_title_candidates", f"""WITH {ORDERED_SQL} SELECT event_id, {_TITLE} AS structural FROM ordered""")
 def _(spark, sf):
     rows = token_structs(tokens(spark, sf))
     return rows.select("event_id", cd.is_title(F.col("token"), F.lit(864), F.lit(1556)).alias("structural"))
@@ -150,10 +150,10 @@ def _(spark, sf):
     return token_structs(rows).select("event_id", badge.alias("badge"))
 
 
-@query("agg27_recall_audit", f"""WITH {TITLES_SQL}, per AS (SELECT video, frame_index, count(*) AS n, count(*) FILTER ({_TITLE}) AS t FROM ordered GROUP BY ALL),
+@query("agg27_recall_audit", f"""WITH {TITLES_SQL}, per AS (SELECT video, frame_index, count(*) AS n, count(*) FILTER ({_TITLE}) AS t, count(*) FILTER (NOT starts_with(text, 'Shop')) AS a FROM ordered GROUP BY ALL),
   made AS (SELECT video, frame_index, count(*) AS k FROM matched GROUP BY ALL)
   SELECT count(*) AS frames, count(k) AS frames_with_cards, count(*) - count(k) AS frames_without_cards, cast(sum(n) AS bigint) AS ocr_tokens, cast(sum(t) AS bigint) AS title_candidates,
-  cast(sum(n - t) AS bigint) AS raw_anchors, cast(sum(k) AS bigint) AS accepted_cards, (SELECT count(*) FROM near WHERE r = 1) AS matched_anchors FROM per LEFT JOIN made USING (video, frame_index)""")
+  cast(sum(a) AS bigint) AS raw_anchors, cast(sum(k) AS bigint) AS accepted_cards, (SELECT count(*) FROM near WHERE r = 1) AS matched_anchors FROM per LEFT JOIN made USING (video, frame_index)""")
 def _(spark, sf):
     _, audit = parsed(spark, sf)
     total = frames.recall_audit(audit)
