@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import block_pairs, distances, stack
+from .moments import added, is_few
 from .simplex import convex_weights, project_rows
 
 
@@ -49,7 +50,7 @@ def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return distances(x, centres).argmin(axis=1)
 
 
-def lloyd_step(df: DataFrame, vector: str, runs: Sequence[Run]) -> list[np.ndarray]:
+def lloyd_step(df: DataFrame, vector: str, runs: Sequence[Run], few: bool = False) -> list[np.ndarray]:
     """One assign-and-average pass for every run; an empty group keeps its centre."""
     live = [(i, r.centres) for i, r in enumerate(runs) if not r.done]
 
@@ -60,19 +61,14 @@ def lloyd_step(df: DataFrame, vector: str, runs: Sequence[Run]) -> list[np.ndarr
             padded = np.hstack([x, np.ones((len(x), 1))])
             for i, centres in live:
                 np.add.at(totals[i], nearest(x, centres), padded)
-        rows = [(i, g, total) for i, table in totals.items() for g, total in enumerate(table)]
-        yield pd.DataFrame(rows, columns=["run", "group", "sums"])
+        yield pd.DataFrame({"run": list(totals), "sums": [t.ravel() for t in totals.values()]})
 
-    parts = df.select(vector).mapInPandas(sums, "run int, group int, sums array<double>")
-    merged = parts.select("run", "group", F.posexplode("sums")).groupBy("run", "group", "pos").agg(F.sum("col").alias("s"))
     updated = [r.centres.copy() for r in runs]
-    table: dict[tuple[int, int], np.ndarray] = {}
-    width = runs[0].centres.shape[1] + 1
-    for row in merged.collect():
-        table.setdefault((row["run"], row["group"]), np.zeros(width))[row["pos"]] = row["s"]
-    for (run, group), total in table.items():
-        if total[-1] > 0:
-            updated[run][group] = total[:-1] / total[-1]
+    parts = df.select(vector).mapInPandas(sums, "run int, sums array<double>")
+    for (run,), flat in added(parts, ["run"], few).items():
+        table = flat.reshape(len(updated[run]), -1)
+        held = table[:, -1] > 0
+        updated[run][held] = table[held, :-1] / table[held, -1:]
     return updated
 
 
@@ -82,10 +78,11 @@ def kmeans(
 ) -> list[Run]:
     """Lloyd's algorithm for every (k, seed) until the centres stand still."""
     runs = random_starts(df, row_id, vector, list(ks), list(seeds))
+    few = is_few(df)
     for _ in range(iterations):
         if all(r.done for r in runs):
             break
-        for run, centres in zip(runs, lloyd_step(df, vector, runs)):
+        for run, centres in zip(runs, lloyd_step(df, vector, runs, few)):
             run.done = run.done or np.allclose(centres, run.centres)
             run.centres = centres
     return runs
@@ -291,7 +288,7 @@ def archetypes(
     width = len(atoms[0][0][1])
     residuals, previous = np.full(restarts, np.inf), np.full(restarts, np.inf)
     live = list(range(restarts))
-    spread = None
+    spread, few = None, is_few(df)
     best: tuple[float, np.ndarray, list[dict]] | None = None
     for _ in range(rounds):
         corners = {r: mixes[r] @ np.stack([x for _, x in atoms[r]]) for r in live}
@@ -309,10 +306,7 @@ def archetypes(
             yield pd.DataFrame({"run": list(totals), "sums": list(totals.values())})
 
         parts = df.select(vector).mapInPandas(sums, "run int, sums array<double>")
-        merged = parts.select("run", F.posexplode("sums")).groupBy("run", "pos").agg(F.sum("col").alias("s")).collect()
-        table = {r: np.zeros(k * k + k * width + width + 2) for r in live}
-        for row in merged:
-            table[row["run"]][row["pos"]] = row["s"]
+        table = {r: flat for (r,), flat in added(parts, ["run"], few).items()}
         if spread is None:
             mean = table[live[0]][k * k + k * width : -2] / table[live[0]][-1]
 

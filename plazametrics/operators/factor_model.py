@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import stack
+from .moments import added, is_few
 
 PRIOR_SD_INTERCEPT, PRIOR_SD_LOADING = 3.0, 1.0
 
@@ -65,19 +66,25 @@ def fit(
     vectors: DataFrame, counts: str, factors: Sequence[int] = (1, 2, 3, 4), seed: int = 0, passes: int = 60,
     tolerance: float = 1e-6,
 ) -> list[FactorFit]:
-    """Fit one model per number of factors, all in the same passes over the rows."""
-    width = len(vectors.select(counts).first()[0])
+    """Fit one model per number of factors, all in the same passes over the rows.
+
+    A pass returns, per category, the gradient and the curvature ``sum n p x x'``, which
+    bounds the softmax curvature at the current point; a step that does not help is halved.
+    """
+    first = vectors.select(F.size(counts).alias("width")).first()
+    width, few = first["width"], is_few(vectors)
     rng = np.random.default_rng(seed)
     models = {k: (np.zeros(width), identified(0.3 * rng.standard_normal((width, k)))) for k in factors}
-    history = {k: -np.inf for k in factors}
+    good: dict[int, tuple[float, np.ndarray, np.ndarray]] = {}
     done: dict[int, FactorFit] = {}
     for i in range(passes):
         live = {k: m for k, m in models.items() if k not in done}
         if not live:
             break
+        sizes = {k: width * (k + 1) + width * (k + 1) ** 2 + 1 for k in live}
 
         def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            totals = {k: np.zeros(width * (k + 1) + (k + 1) ** 2 + 1) for k in live}
+            totals = {k: np.zeros(size) for k, size in sizes.items()}
             for pdf in batches:
                 y = stack(pdf[counts])
                 y = y[y.sum(axis=1) > 0]
@@ -86,30 +93,34 @@ def fit(
                     f = row_scores(y, mu, load)
                     p = softmax(mu + f @ load.T)
                     x = np.hstack([np.ones((len(f), 1)), f])
+                    outer = (x[:, :, None] * x[:, None, :]).reshape(len(x), -1)
                     value = (y * np.log(np.maximum(p, 1e-300))).sum() - 0.5 * (f**2).sum()
-                    totals[k] += np.concatenate([((y - n * p).T @ x).ravel(), ((n * x).T @ x).ravel(), [value]])
+                    totals[k] += np.concatenate([((y - n * p).T @ x).ravel(), ((n * p).T @ outer).ravel(), [value]])
             yield pd.DataFrame({"k": list(totals), "sums": list(totals.values())})
 
         parts = vectors.select(counts).mapInPandas(sums, "k int, sums array<double>")
-        merged = parts.select("k", F.posexplode("sums")).groupBy("k", "pos").agg(F.sum("col").alias("s")).collect()
-        table = {k: np.zeros(width * (k + 1) + (k + 1) ** 2 + 1) for k in live}
-        for row in merged:
-            table[row["k"]][row["pos"]] = row["s"]
+        merged = added(parts, ["k"], few)
         for k, (mu, load) in live.items():
-            flat = table[k]
+            flat = merged[(k,)]
             gradient = flat[: width * (k + 1)].reshape(width, k + 1)
-            curvature = flat[width * (k + 1) : -1].reshape(k + 1, k + 1)
+            curvature = flat[width * (k + 1) : -1].reshape(width, k + 1, k + 1)
             precision = np.diag([PRIOR_SD_INTERCEPT**-2] + [PRIOR_SD_LOADING**-2] * k)
             theta = np.hstack([mu[:, None], load])
             value = flat[-1] - 0.5 * np.einsum("jk,kl,jl->", theta, precision, theta)
-            if value - history[k] <= tolerance * abs(value) or i + 1 == passes:
-                done[k] = FactorFit(k, mu, load, float(value), i + 1)
+            last = good.get(k)
+            if i + 1 == passes or (last is not None and abs(value - last[0]) <= tolerance * abs(value)):
+                if last is not None and last[0] > value:
+                    value, theta = last[0], last[1]
+                done[k] = FactorFit(k, theta[:, 0], theta[:, 1:], float(value), i + 1)
                 continue
-            history[k] = value
-            # The softmax curvature is at most half the weighted moment matrix.
-            step = np.linalg.solve(0.5 * curvature + precision, (gradient - theta @ precision).T).T
-            theta = theta + step
-            models[k] = (theta[:, 0], identified(theta[:, 1:]))
+            if last is not None and value < last[0]:
+                step = last[2] / 2
+                theta = last[1]
+                good[k] = (last[0], theta, step)
+            else:
+                step = np.linalg.solve(curvature + precision, (gradient - theta @ precision)[:, :, None])[:, :, 0]
+                good[k] = (value, theta, step)
+            models[k] = ((theta + step)[:, 0], identified((theta + step)[:, 1:]))
     return [done[k] for k in factors]
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cards as cd
 from ..functions.text import nfkc
+from ..session import checkpointed
 
 FRAME = ["video", "frame_index"]
 
@@ -117,7 +118,8 @@ def next_title(matches: DataFrame, height: int) -> DataFrame:
 
 def parse_cards(tokens: DataFrame, g: Geometry) -> tuple[DataFrame, DataFrame]:
     """Card observations and the per-frame recall audit."""
-    t = prepared(tokens, g)
+    # Titles, anchors, rows and the audit all read the extracted fields.
+    t = checkpointed(prepared(tokens, g))
     titles = t.where("is_title").select(
         *FRAME, F.col("ord").alias("title_ord"), F.col("cy").alias("cy_t"), F.col("y2").alias("y2_t"),
         F.col("y1").alias("y1_t"), F.col("x1").alias("x1_t"), F.col("norm").alias("title"), F.col("raw").alias("title_raw"),

@@ -34,7 +34,36 @@ class Moments:
         return self.gram - np.outer(self.total, self.total) / self.n
 
 
-def moments(df: DataFrame, vector: str, groups: Sequence[str] = (), weight: str | None = None) -> dict[tuple, Moments]:
+FEW_PARTS = 64
+
+
+def is_few(df: DataFrame) -> bool:
+    """Few enough partitions for one row each to go straight to the driver."""
+    return df.rdd.getNumPartitions() <= FEW_PARTS
+
+
+def added(parts: DataFrame, keys: Sequence[str], few: bool = False) -> dict[tuple, np.ndarray]:
+    """Sum the ``sums`` arrays of each key; on Spark unless there are only ``few`` partial rows."""
+    names = list(keys)
+    result: dict[tuple, np.ndarray] = {}
+    if few:
+        for row in parts.select(*names, "sums").collect():
+            key = tuple(row[g] for g in names)
+            values = np.asarray(row["sums"])
+            result[key] = result[key] + values if key in result else values
+        return result
+    summed = (
+        parts.select(*names, F.posexplode("sums")).groupBy(*names, "pos").agg(F.sum("col").alias("s")).groupBy(*names)
+        .agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "s"))), lambda e: e["s"]).alias("sums"))
+    )
+    for row in summed.collect():
+        result[tuple(row[g] for g in names)] = np.asarray(row["sums"])
+    return result
+
+
+def moments(
+    df: DataFrame, vector: str, groups: Sequence[str] = (), weight: str | None = None, few: bool = False
+) -> dict[tuple, Moments]:
     """Weighted moments per group (one entry, keyed ``()``, without groups)."""
     names = list(groups)
 
@@ -50,22 +79,15 @@ def moments(df: DataFrame, vector: str, groups: Sequence[str] = (), weight: str
                 flat = np.concatenate([[w.sum()], w @ x, ((x * w[:, None]).T @ x).ravel()])
                 sums[key] = sums[key] + flat if key in sums else flat
         rows = [(*key, flat) for key, flat in sums.items()]
-        yield pd.DataFrame(rows, columns=[*names, "_sums"])
+        yield pd.DataFrame(rows, columns=[*names, "sums"])
 
     columns = [vector, *names] + ([weight] if weight else [])
     types = dict(df.dtypes)
-    schema = ", ".join([f"{g} {types[g]}" for g in names] + ["_sums array<double>"])
-    partial = df.select(*columns).mapInPandas(reduce_batches, schema)
-    summed = (
-        partial.select(*names, F.posexplode("_sums")).groupBy(*names, "pos")
-        .agg(F.sum("col").alias("s")).groupBy(*names)
-        .agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "s"))), lambda e: e["s"]).alias("_sums"))
-    )
+    schema = ", ".join([f"{g} {types[g]}" for g in names] + ["sums array<double>"])
     result = {}
-    for row in summed.collect():
-        flat = np.asarray(row["_sums"])
+    for key, flat in added(df.select(*columns).mapInPandas(reduce_batches, schema), names, few).items():
         p = int(round((np.sqrt(1 + 4 * (len(flat) - 1)) - 1) / 2))
-        result[tuple(row[g] for g in names)] = Moments(flat[0], flat[1 : p + 1], flat[p + 1 :].reshape(p, p))
+        result[key] = Moments(flat[0], flat[1 : p + 1], flat[p + 1 :].reshape(p, p))
     return result
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.rules import rules_from_rows
+from ..sources.tables import read_table
 
 _NAME = "concat(p_name, ' ', lpad(cast(l_partkey as string), 6, '0'))"
 
@@ -47,7 +48,7 @@ LISTING_SQL = (
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf.rstrip('/')}/{name}.parquet")
+    return read_table(spark, f"{sf.rstrip('/')}/{name}.parquet")
 
 
 def listings(spark: SparkSession, sf: str) -> DataFrame:

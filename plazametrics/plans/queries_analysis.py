@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import cluster, composition, factor_model, simplex, stats, venue
-from ..session import checkpointed
+from ..session import iterated
 from .bindings import PLACE_SQL, listings, places, table, with_listings
 from .queries_venue import vectors
 from .registry import query
@@ -171,7 +171,7 @@ def points(spark, sf) -> DataFrame:
 
 def feature_vectors(spark, sf) -> DataFrame:
     z = stats.zscores(venue_numbers(spark, sf), FEATURES)
-    return checkpointed(z.select("mall_id", F.array(*FEATURES).alias("x")))
+    return iterated(z.select("mall_id", F.array(*FEATURES).alias("x")))
 
 
 @query("clu2_silhouette", """WITH p AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings),
@@ -303,12 +303,12 @@ def _(spark, sf):
 
 @query("com6_parallel_analysis")
 def _(spark, sf):
-    return composition.parallel_analysis(checkpointed(vectors(spark, sf)), "mall_id")
+    return composition.parallel_analysis(iterated(vectors(spark, sf)), "mall_id")
 
 
 @query("com7_holdout_reconstruction")
 def _(spark, sf):
-    return composition.holdout_reconstruction(checkpointed(vectors(spark, sf)), "mall_id")
+    return composition.holdout_reconstruction(iterated(vectors(spark, sf)), "mall_id")
 
 
 @query("com8_count_split", with_listings("""SELECT mall_id, category_l2, count(*) FILTER (u >= 0.1) AS train, count(*) FILTER (u < 0.1) AS test FROM
@@ -319,13 +319,13 @@ def _(spark, sf):
 
 @query("com9_loading_stability")
 def _(spark, sf):
-    return composition.loading_stability(checkpointed(vectors(spark, sf)), "mall_id")
+    return composition.loading_stability(iterated(vectors(spark, sf)), "mall_id")
 
 
 @query("com10_factor_model")
 def _(spark, sf):
-    data = checkpointed(vectors(spark, sf))
-    fits = factor_model.fit(data, "counts", (1, 2))
+    data = iterated(vectors(spark, sf))
+    fits = factor_model.fit(data, "counts", (1, 2, 3, 4))
     rows = [(f.k, f.passes, round(f.log_posterior, 2)) for f in fits]
     return spark.createDataFrame(rows, "k int, passes int, log_posterior double")
 
@@ -359,7 +359,7 @@ def _(spark, sf):
 
 @query("com12_com14_factor_selection")
 def _(spark, sf):
-    data = checkpointed(vectors(spark, sf))
+    data = iterated(vectors(spark, sf))
     parallel = composition.suggested_factors(composition.parallel_analysis(data, "mall_id", reps=50))
     holdout = composition.holdout_reconstruction(data, "mall_id", iterations=20)
     stability = composition.loading_stability(data, "mall_id")
@@ -371,7 +371,7 @@ def _(spark, sf):
 
 @query("com13_com15_clr_factors")
 def _(spark, sf):
-    _, scores = composition.clr_factors(checkpointed(vectors(spark, sf)), "mall_id", 2)
+    _, scores = composition.clr_factors(iterated(vectors(spark, sf)), "mall_id", 2)
     return scores
 
 
@@ -379,6 +379,6 @@ def _(spark, sf):
 def _(spark, sf):
     rows = listings(spark, sf).select("mall_id", "category_l2")
     labels = venue.vocabulary(rows, "category_l2")
-    data = checkpointed(venue.count_vectors(rows, "mall_id", "category_l2", labels))
+    data = iterated(venue.count_vectors(rows, "mall_id", "category_l2", labels))
     loadings, _ = composition.clr_factors(data, "mall_id", 2)
     return composition.loading_poles(spark, loadings, labels)

@@ -92,7 +92,7 @@ def _(spark, sf):
 
 
 def parsed(spark, sf) -> tuple[DataFrame, DataFrame]:
-    return frames.parse_cards(checkpointed(ordered_tokens(spark, sf)), GEOMETRY)
+    return frames.parse_cards(ordered_tokens(spark, sf), GEOMETRY)
 
 
 ROWS_SQL = f"""{TITLES_SQL}, on_row AS (SELECT b.*, o.ord, o.text, o.x1, o.score, starts_with(o.text, 'L') AS pure FROM bounded b LEFT JOIN ordered o ON b.video = o.video AND b.frame_index = o.frame_index

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,8 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 
-def local_session(cores: str = "8", shuffle_partitions: int = 8, memory: str = "12g") -> SparkSession:
+def local_session(cores: str = "8", shuffle_partitions: int = 8) -> SparkSession:
     """A session for tests and the bench; a cluster brings its own."""
+    physical = os.sysconf("SC_PAGE_SIZE") * os.sysconf("SC_PHYS_PAGES")
+    memory = f"{max(1, min(12, physical * 6 // 10 >> 30))}g"
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("plazametrics")
@@ -42,3 +45,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and continue from the files."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def iterated(df: DataFrame) -> DataFrame:
+    """``df`` written out for repeated passes, with at least one partition per core."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    saved = checkpointed(df)
+    if saved.rdd.getNumPartitions() >= cores:
+        return saved
+    return checkpointed(saved.repartition(cores, df.columns[0]))

@@ -23,6 +23,24 @@ CARD_COLUMNS = (
 TOKEN_SCHEMA = "text string, score double, box array<int>"
 
 
+# Inputs below this many bytes per core come in too few splits to keep the cores busy.
+SMALL_PER_CORE = 32 << 20
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """A parquet table; a small one, often a single row group, is spread over the cores.
+
+    Tables of cluster size have more splits than cores and are read as they are.
+    """
+    df = spark.read.parquet(path)
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    size = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(place).getLength()
+    cores = spark.sparkContext.defaultParallelism
+    if (1 << 20) <= size <= cores * SMALL_PER_CORE:
+        return df.repartition(cores, df.columns[0])
+    return df
+
+
 def text_schema(columns: Sequence[str]) -> T.StructType:
     return T.StructType([T.StructField(c, T.StringType()) for c in columns])
 
