@@ -1,9 +1,9 @@
 """Logistic-normal multinomial factor model for count vectors.
 
 ``y_i ~ Multinomial(n_i, softmax(mu + L f_i))`` with normal priors, lower-triangular
-loadings and a positive diagonal. It is fitted to its posterior mode: factor scores are
-local to a row and solved inside the tasks, while each pass sends the driver one
-``p x (K+1)`` gradient per model. Posterior spread is not estimated.
+loadings and a positive diagonal, fitted by variational EM: each row's factor scores get a
+Gaussian posterior, solved inside the tasks, and each pass sends the driver one gradient
+and curvature per category and model. Intercepts and loadings are point estimates.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ class FactorFit:
     k: int
     intercept: np.ndarray
     loadings: np.ndarray
-    log_posterior: float
+    bound: float
     passes: int
 
 
@@ -36,22 +36,32 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def row_scores(y: np.ndarray, mu: np.ndarray, load: np.ndarray, steps: int = 12) -> np.ndarray:
-    """Posterior-mode factor scores of each row by damped Newton steps."""
+def row_scores(y: np.ndarray, mu: np.ndarray, load: np.ndarray, steps: int = 12) -> tuple[np.ndarray, np.ndarray]:
+    """Posterior mode and covariance of each row's factor scores by damped Newton steps."""
     n = y.sum(axis=1, keepdims=True)
     f = np.zeros((len(y), load.shape[1]))
     eye = np.eye(load.shape[1])
-    for _ in range(steps):
+    for step in range(steps + 1):
         p = softmax(mu + f @ load.T)
         gradient = (n * p - y) @ load + f
         centred = load[None, :, :] - (p @ load)[:, None, :]
         hessian = np.einsum("ij,ijk,ijl->ikl", n * p, centred, centred) + eye
+        if len(f) == 0 or step == steps:
+            break
         move = np.linalg.solve(hessian, gradient[:, :, None])[:, :, 0]
+        if np.abs(move).max() < 1e-8:
+            break
         length = np.linalg.norm(move, axis=1, keepdims=True)
         f = f - move * np.minimum(1.0, 3.0 / np.maximum(length, 1e-12))
-        if len(f) == 0 or np.abs(move).max() < 1e-8:
-            break
-    return f
+    return f, np.linalg.inv(hessian)
+
+
+def spread_points(f: np.ndarray, cov: np.ndarray) -> np.ndarray:
+    """Points with the posterior's mean and covariance: two per factor, equally weighted."""
+    k = f.shape[1]
+    root = np.sqrt(k) * np.linalg.cholesky(cov)
+    steps = np.concatenate([root, -root], axis=2)
+    return f[:, None, :] + np.swapaxes(steps, 1, 2)
 
 
 def identified(load: np.ndarray) -> np.ndarray:
@@ -64,7 +74,7 @@ def identified(load: np.ndarray) -> np.ndarray:
 
 def fit(
     vectors: DataFrame, counts: str, factors: Sequence[int] = (1, 2, 3, 4), seed: int = 0, passes: int = 60,
-    tolerance: float = 1e-6,
+    tolerance: float = 1e-5,
 ) -> list[FactorFit]:
     """Fit one model per number of factors, all in the same passes over the rows.
 
@@ -90,12 +100,19 @@ def fit(
                 y = y[y.sum(axis=1) > 0]
                 n = y.sum(axis=1, keepdims=True)
                 for k, (mu, load) in live.items():
-                    f = row_scores(y, mu, load)
-                    p = softmax(mu + f @ load.T)
-                    x = np.hstack([np.ones((len(f), 1)), f])
-                    outer = (x[:, :, None] * x[:, None, :]).reshape(len(x), -1)
-                    value = (y * np.log(np.maximum(p, 1e-300))).sum() - 0.5 * (f**2).sum()
-                    totals[k] += np.concatenate([((y - n * p).T @ x).ravel(), ((n * p).T @ outer).ravel(), [value]])
+                    f, cov = row_scores(y, mu, load)
+                    points = spread_points(f, cov)
+                    for j in range(2 * k):
+                        g = points[:, j, :]
+                        p = softmax(mu + g @ load.T)
+                        x = np.hstack([np.ones((len(g), 1)), g])
+                        outer = (x[:, :, None] * x[:, None, :]).reshape(len(x), -1)
+                        value = (y * np.log(np.maximum(p, 1e-300))).sum()
+                        totals[k] += np.concatenate(
+                            [((y - n * p).T @ x).ravel(), ((n * p).T @ outer).ravel(), [value]]
+                        ) / (2 * k)
+                    trace = np.trace(cov, axis1=1, axis2=2).sum()
+                    totals[k][-1] -= 0.5 * ((f**2).sum() + trace - k * len(f) - np.linalg.slogdet(cov)[1].sum())
             yield pd.DataFrame({"k": list(totals), "sums": list(totals.values())})
 
         parts = vectors.select(counts).mapInPandas(sums, "k int, sums array<double>")
@@ -131,7 +148,7 @@ def score_table(vectors: DataFrame, row_id: str, counts: str, model: FactorFit)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            f = row_scores(stack(pdf[counts]), mu, load)
+            f, _ = row_scores(stack(pdf[counts]), mu, load)
             yield pd.DataFrame({row_id: pdf[row_id], "factors": list(f), "probabilities": list(softmax(mu + f @ load.T))})
 
     return vectors.select(row_id, counts).mapInPandas(

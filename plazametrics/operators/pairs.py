@@ -23,17 +23,21 @@ def meeting_pairs(
     """Self-join on ``item`` giving ``a < b`` members that hold it, hot items split.
 
     An item with more than ``share`` members is cut into that many slices on the left and
-    copied to each slice on the right, so one popular item spreads over several tasks.
+    copied to each slice on the right, so one popular item spreads over several tasks. The
+    item columns come back as ``_key0``, ``_key1``, ...
     """
-    keys = list(item)
-    sizes = held.groupBy(*keys).agg(F.ceil(F.count("*") / F.lit(share)).cast("int").alias("_slices"))
-    sized = held.join(sizes, keys)
+    keys = [f"_key{i}" for i in range(len(item))]
+    named = held.select(
+        *[F.col(c).alias(k) for c, k in zip(item, keys)], F.col(member).alias("_member"), *[F.col(c).alias(f"_c_{c}") for c in carry]
+    )
+    sizes = named.groupBy(*keys).agg(F.ceil(F.count("*") / F.lit(share)).cast("int").alias("_slices"))
+    sized = named.join(sizes, keys)
     left = sized.select(
-        *keys, F.col(member).alias("a"), *[F.col(c).alias(f"{c}_a") for c in carry],
-        F.pmod(F.xxhash64(F.col(member)), F.col("_slices")).cast("int").alias("_slice"),
+        *keys, F.col("_member").alias("a"), *[F.col(f"_c_{c}").alias(f"{c}_a") for c in carry],
+        F.pmod(F.xxhash64("_member"), F.col("_slices")).cast("int").alias("_slice"),
     )
     right = sized.select(
-        *keys, F.col(member).alias("b"), *[F.col(c).alias(f"{c}_b") for c in carry],
+        *keys, F.col("_member").alias("b"), *[F.col(f"_c_{c}").alias(f"{c}_b") for c in carry],
         F.explode(F.sequence(F.lit(0), F.col("_slices") - 1)).alias("_slice"),
     )
     return left.join(right, [*keys, "_slice"]).where(F.col("a") < F.col("b")).drop("_slice")
@@ -42,7 +46,8 @@ def meeting_pairs(
 def shared_counts(held: DataFrame, member: str, item: str, groups: Sequence[str] = ()) -> DataFrame:
     """Number of common items of each pair that has one; ``held`` is distinct."""
     met = meeting_pairs(held, [*groups, item], member)
-    return met.groupBy(*groups, "a", "b").agg(F.count("*").alias("shared"))
+    named = [F.col(f"_key{i}").alias(g) for i, g in enumerate(groups)]
+    return met.groupBy(*named, "a", "b").agg(F.count("*").alias("shared"))
 
 
 def jaccard_pairs(df: DataFrame, member: str, item: str) -> DataFrame:
@@ -172,10 +177,7 @@ def both_directions(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 def shared_names(df: DataFrame, venue: str, brand: str, name: str) -> DataFrame:
     """Long table of the names two venues share, as the lower venue spells them."""
-    names = df.select(venue, brand, name).where(F.col(name) != "").distinct()
+    names = df.select(F.col(venue).alias("a"), F.col(brand).alias("_key0"), F.col(name).alias("shared_name")).distinct()
     held = df.select(venue, brand).distinct()
     met = meeting_pairs(held, [brand], venue)
-    return (
-        met.join(names.select(F.col(venue).alias("a"), brand, F.col(name).alias("shared_name")), ["a", brand])
-        .select("a", "b", "shared_name").distinct()
-    )
+    return met.join(names.where(F.col("shared_name") != ""), ["a", "_key0"]).select("a", "b", "shared_name").distinct()

@@ -326,8 +326,8 @@ def _(spark, sf):
 def _(spark, sf):
     data = iterated(vectors(spark, sf))
     fits = factor_model.fit(data, "counts", (1, 2, 3, 4))
-    rows = [(f.k, f.passes, round(f.log_posterior, 2)) for f in fits]
-    return spark.createDataFrame(rows, "k int, passes int, log_posterior double")
+    rows = [(f.k, f.passes, round(f.bound, 2)) for f in fits]
+    return spark.createDataFrame(rows, "k int, passes int, bound double")
 
 
 CHECK_SQL = """s AS (SELECT mall_id, category_l1, count(*) FILTER (u >= 0.1) AS train, count(*) FILTER (u < 0.1) AS test FROM

@@ -1 +1 @@
-"""streaming of plazametrics."""
+"""Structured Streaming twins of the frame operators."""
