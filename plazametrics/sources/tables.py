@@ -56,7 +56,7 @@ def read_text_csv(spark: SparkSession, path: str, columns: Sequence[str] | None
 
 def read_rules(spark: SparkSession, path: str) -> list[Rule]:
     """A rule table in file order; rules are configuration and live on the driver."""
-    content = spark.read.option("wholetext", True).text(path).first()[0].lstrip("﻿")
+    content = spark.read.text(path, wholetext=True).first()[0].lstrip("﻿")
     return rules_from_rows(csv.DictReader(io.StringIO(content)))
 
 
