@@ -22,6 +22,7 @@ HEADLINE = [
     "agg31_agg32_sensitivity_grid",
     "sta5_nestedness",
     "com1_clr",
+    "com10_factor_model",
     "com3_distance_statistics",
     "clu2_silhouette",
     "win7_top_relations",

@@ -18,11 +18,14 @@ def _binned(df: DataFrame, keys: Sequence[str], value: str, weight: str | None,
     span = counts.groupBy(*keys).agg(
         F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("_size")
     )
+    if keys:
+        held = counts.join(span, list(keys))
+    else:
+        one = span.select(F.struct("_lo", "_hi", "_size").alias("s")).scalar()
+        held = counts.withColumn("_s", one).select("_v", "_n", "_s.*")
     width = F.col("_hi") - F.col("_lo")
     place = F.floor((F.col("_v") - F.col("_lo")) / F.nullif(width, F.lit(0.0)) * bins)
-    return counts.join(span, list(keys)).withColumn(
-        "_bin", F.least(F.coalesce(place, F.lit(0)), F.lit(bins - 1))
-    )
+    return held.withColumn("_bin", F.least(F.coalesce(place, F.lit(0)), F.lit(bins - 1)))
 
 
 def order_statistics(
@@ -35,9 +38,8 @@ def order_statistics(
     of values. Values are counted first; running counts over at most ``bins`` bins locate
     each rank, and only the values of the bins that hold one are ordered.
     """
-    keys = list(keys) or ["_all"]
-    base = df if keys != ["_all"] else df.withColumn("_all", F.lit(0))
-    binned = _binned(base, keys, value, weight, bins)
+    keys = list(keys)
+    binned = _binned(df, keys, value, weight, bins)
     wanted = {name: rank.cast("bigint") for name, rank in ranks.items()}
     histogram = binned.groupBy(*keys, "_bin").agg(F.sum("_n").alias("_in_bin"), F.first("_size").alias("_size"))
     earlier = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
@@ -54,8 +56,7 @@ def order_statistics(
         F.max(F.when((rank > F.col("_upto") - F.col("_n")) & (rank <= F.col("_upto")), F.col("_v"))).alias(name)
         for name, rank in wanted.items()
     ]
-    result = ranked.groupBy(*keys).agg(*picks, F.first("_size").alias("_size"))
-    return result.drop("_all")
+    return ranked.groupBy(*keys).agg(*picks, F.first("_size").alias("_size"))
 
 
 def grouped_median(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -101,24 +101,31 @@ def reason_counts(df: DataFrame, column: str = "processing_exclusion_reason") ->
     return one.groupBy("reason").agg(F.count("*").alias("row_count"))
 
 
-def first_mode(df: DataFrame, keys: Sequence[str], value: str, ordinal: str, out: str) -> DataFrame:
+def first_mode(
+    df: DataFrame, keys: Sequence[str], value: str, ordinal: str, out: str, weight: str | None = None
+) -> DataFrame:
     """Most frequent value per key; the one met first wins a tie.
 
     Values are counted before keys are grouped, so a hot key reaches the second shuffle
-    as one row per distinct value.
+    as one row per distinct value. ``weight`` names the row count of aggregated input.
     """
-    counted = df.groupBy(*keys, value).agg(F.count("*").alias("_n"), F.min(ordinal).alias("_first"))
+    amount = F.sum(weight) if weight else F.count("*")
+    counted = df.groupBy(*keys, value).agg(amount.alias("_n"), F.min(ordinal).alias("_first"))
     return counted.groupBy(*keys).agg(F.min_by(value, F.struct(-F.col("_n"), "_first")).alias(out))
 
 
 def brand_statistics(df: DataFrame, venue: str, name: str, l1: str, l2: str, ordinal: str) -> DataFrame:
-    """Per brand key: display name, number of venues and rows, categories seen."""
-    keyed = df.withColumn("brand_key", tx.brand_key(F.col(name)))
-    display = first_mode(keyed, ["brand_key"], name, ordinal, "display")
-    cells = keyed.groupBy("brand_key", venue, l1, l2).agg(F.count("*").alias("_n"))
-    totals = cells.groupBy("brand_key").agg(
-        F.count_distinct(venue).alias("venues"), F.sum("_n").alias("rows")
+    """Per brand key: display name, number of venues and rows, categories seen.
+
+    Rows are read once, into counts per (name, venue, categories); the key is derived from
+    the distinct names there.
+    """
+    cells = checkpointed(
+        df.groupBy(name, venue, l1, l2).agg(F.count("*").alias("_n"), F.min(ordinal).alias("_first"))
+        .withColumn("brand_key", tx.brand_key(F.col(name)))
     )
+    display = first_mode(cells, ["brand_key"], name, "_first", "display", "_n")
+    totals = cells.groupBy("brand_key").agg(F.count_distinct(venue).alias("venues"), F.sum("_n").alias("rows"))
     kinds = (
         cells.select("brand_key", l1, l2).distinct().groupBy("brand_key")
         .agg(F.collect_set(l1).alias("l1"), F.collect_set(l2).alias("l2"))
@@ -276,47 +283,40 @@ def quality_cost(rating: Column, mapped: Column, has_category: Column, *scores:
 
 
 def dedup_cells(
-    df: DataFrame, venue: str, brand: str, floor: str, ordinal: str, cost: Sequence[Column], policy: DedupPolicy
+    df: DataFrame, venue: str, brand: str, floor: str, ordinal: str, cost: Sequence[Column], policy: DedupPolicy,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
-    """One row per (venue, brand, floor) with its bucket and policy.
+    """One row per (venue, brand, floor) with its bucket, policy and best row.
 
     All later steps work on this pre-aggregated table, so a hot (venue, brand) costs
-    no more than its number of distinct floors.
+    no more than its number of distinct floors. ``carry`` columns travel with the best row,
+    which saves joining them back.
     """
-    from pyspark.sql import Window
-
     costed = df.withColumn("_cost", F.struct(*[c.alias(f"c{i}") for i, c in enumerate(cost)]))
     keys = [venue, brand, floor]
     if not policy.enabled:
         keys = keys + [ordinal]
-    cells = costed.groupBy(*keys).agg(
-        F.count("*").alias("_rows"),
-        F.min(F.struct("_cost", ordinal)).alias("_best"),
-    )
-    group = Window.partitionBy(venue, brand)
-    known = F.col(floor) != ""
-    known_count = F.size(F.collect_set(F.when(known, F.col(floor))).over(group))
+    best = F.min(F.struct("_cost", F.col(ordinal), *[F.col(c).alias(f"_carry_{c}") for c in carry]))
+    cells = costed.groupBy(*keys).agg(F.count("*").alias("_rows"), best.alias("_best"))
     if not policy.enabled:
-        return (
-            cells.withColumn("_known", known_count)
-            .withColumn("_bucket", F.concat(F.lit("row-"), F.col(ordinal).cast("string")))
-            .withColumn("_policy", F.lit("deduplication_disabled"))
+        return cells.withColumn("_bucket", F.concat(F.lit("row-"), F.col(ordinal).cast("string"))).withColumn(
+            "_policy", F.lit("deduplication_disabled")
         )
+    group = Window.partitionBy(venue, brand)
+    known = F.col(floor) != ""
     # Buckets tie on quality alone; the alphabetically first floor wins.
-    best_floor = F.min(F.when(known, F.struct(F.col("_best._cost"), F.col(floor)))).over(group)[floor]
+    seen = cells.select(
+        "*",
+        F.count(F.when(known, True)).over(group).alias("_known"),
+        F.min(F.when(known, F.struct(F.col("_best._cost"), F.col(floor)))).over(group)[floor].alias("_best_floor"),
+        F.min(F.when(known, F.col(floor))).over(group).alias("_only"),
+    )
     keep = F.lit(policy.keep_different_floors) & (F.col("_known") > 1)
-    only = F.coalesce(F.min(F.when(known, F.col(floor))).over(group), F.lit("UNKNOWN"))
-    return (
-        cells.withColumn("_known", known_count)
-        .withColumn(
-            "_bucket",
-            F.when(keep & known, F.col(floor)).when(keep, best_floor).otherwise(only),
-        )
-        .withColumn(
-            "_policy",
-            F.when(keep, "keep_confirmed_different_floors").otherwise("merge_same_or_missing_floor"),
-        )
+    bucket = F.when(keep & known, F.col(floor)).when(keep, F.col("_best_floor")).otherwise(
+        F.coalesce("_only", F.lit("UNKNOWN"))
     )
+    name = F.when(keep, "keep_confirmed_different_floors").otherwise("merge_same_or_missing_floor")
+    return seen.select(*cells.columns, bucket.alias("_bucket"), name.alias("_policy"))
 
 
 def store_id(venue: Column, brand: Column, floor: Column) -> Column:
@@ -333,18 +333,21 @@ def deduplicate(
     cost: Sequence[Column],
     policy: DedupPolicy = DedupPolicy(),
     cells: DataFrame | None = None,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
-    """Store instances: key, floor, policy, row count and the representative's ordinal.
+    """Store instances: key, floor, policy, row count and the representative row.
 
-    The representative row itself is joined back by :func:`with_representative`, and the
-    merged source records are the long table of :func:`lineage`.
+    ``carry`` names the representative's columns to bring along; the merged source records
+    are the long table of :func:`lineage`.
     """
-    cells = cells if cells is not None else dedup_cells(df, venue, brand, floor, ordinal, cost, policy)
+    if cells is None:
+        cells = dedup_cells(df, venue, brand, floor, ordinal, cost, policy, carry)
     keeps = F.col("_policy") == "keep_confirmed_different_floors"
     # Rows with a known floor stand before the ones that join them.
     late = F.when(keeps & (F.col(floor) == ""), 1).otherwise(0)
     merged = cells.groupBy(venue, brand, "_bucket", "_policy").agg(
-        F.min(F.struct(F.col("_best._cost"), late.alias("late"), F.col(f"_best.{ordinal}"), F.col(floor))).alias("_top"),
+        F.min(F.struct(F.col("_best._cost"), late.alias("late"), F.col(f"_best.{ordinal}"), F.col(floor),
+                       *[F.col(f"_best._carry_{c}") for c in carry])).alias("_top"),
         F.sum("_rows").alias("source_record_count"),
         F.array_sort(F.collect_set(F.when(F.col(floor) != "", F.col(floor)))).alias("merged_floor_candidates"),
     )
@@ -360,15 +363,10 @@ def deduplicate(
         "merged_floor_candidates",
         F.col(f"_top.{ordinal}").alias("representative"),
         F.col("_bucket").alias("bucket"),
+        *[F.col(f"_top._carry_{c}").alias(c) for c in carry],
     )
 
 
-def with_representative(instances: DataFrame, df: DataFrame, ordinal: str, columns: Sequence[str]) -> DataFrame:
-    """Attach columns of each instance's representative source row."""
-    rows = df.select(F.col(ordinal).alias("representative"), *columns).dropDuplicates(["representative"])
-    return instances.join(rows, "representative")
-
-
 def lineage(
     df: DataFrame, venue: str, brand: str, floor: str, ordinal: str, cost: Sequence[Column],
     policy: DedupPolicy = DedupPolicy(),

@@ -10,13 +10,17 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import information, ratio, round_exact
 from ..functions.text import UNMAPPED
+from ..session import checkpointed
 from .quantiles import grouped_median
 from .resolve import first_mode
 
 
-def cells(df: DataFrame, venue: str, item: str) -> DataFrame:
-    """Rows per (venue, item): the sparse incidence table most operators start from."""
-    return df.groupBy(venue, item).agg(F.count("*").alias("n"))
+def cells(df: DataFrame, venue: str, item: str, weight: str | None = None) -> DataFrame:
+    """Rows per (venue, item): the sparse incidence table most operators start from.
+
+    ``weight`` names the row count of an input that is already aggregated.
+    """
+    return df.groupBy(venue, item).agg((F.sum(weight) if weight else F.count("*")).alias("n"))
 
 
 def venue_total(df: DataFrame, venue: str) -> Column:
@@ -198,9 +202,10 @@ def function_rarity(df: DataFrame, venue: str, category: str) -> DataFrame:
     )
 
 
-def membership_shares(df: DataFrame, venue: str, groups: dict[str, Column]) -> DataFrame:
+def membership_shares(df: DataFrame, venue: str, groups: dict[str, Column], weight: str | None = None) -> DataFrame:
     """Share of a venue's stores for which each named condition holds."""
-    shares = [F.round(F.avg(test.cast("double")), 6).alias(name) for name, test in groups.items()]
+    n = F.col(weight) if weight else F.lit(1)
+    shares = [F.round(F.sum(F.when(test, n).otherwise(0)) / F.sum(n), 6).alias(name) for name, test in groups.items()]
     return df.groupBy(venue).agg(*shares)
 
 
@@ -240,9 +245,9 @@ def ubiquity(df: DataFrame, venue: str, category: str) -> DataFrame:
     ).withColumn("ubiquity_ratio", F.round(F.col("mall_count") / venue_total(df, venue), 6))
 
 
-def entropy_l1(df: DataFrame, venue: str, category: str) -> DataFrame:
+def entropy_l1(df: DataFrame, venue: str, category: str, weight: str | None = None) -> DataFrame:
     """Entropy over all categories of a venue, unmapped ones included."""
-    counts = cells(df, venue, category)
+    counts = cells(df, venue, category, weight)
     totals = counts.groupBy(venue).agg(F.sum("n").alias("_total"))
     term = information(F.col("n") / F.col("_total"))
     return counts.join(totals, venue).groupBy(venue).agg(F.round(F.sum(term), 6).alias("category_entropy_l1"))
@@ -252,15 +257,24 @@ def venue_features(
     df: DataFrame, venue: str, brand: str, l1: str, l2: str, price: str, rating: str,
     shares: dict[str, Column], sitdown: Column, head_min: int = 8, price_rule: PriceRule = PriceRule(),
 ) -> DataFrame:
-    """The per-venue feature table (without metadata columns)."""
-    ratings = df.groupBy(venue).agg(F.round(F.avg(F.col(rating).cast("double")), 4).alias("mean_rating"))
+    """The per-venue feature table (without metadata columns).
+
+    Shares, breadth, entropy and ratings come from one table of counts per (venue,
+    categories), so ``shares`` are conditions on the category columns. Prices and brands
+    need a pass of their own.
+    """
+    rated = F.col(rating).cast("double")
+    base = checkpointed(df.groupBy(venue, l1, l2).agg(
+        F.count("*").alias("_n"), F.sum(rated).alias("_rated"), F.count(rated).alias("_ratings")
+    ))
+    mean = F.sum("_rated") / F.nullif(F.sum("_ratings"), F.lit(0))
     parts = [
         loo_rates(df, venue, brand, head_min),
-        function_rarity(df, venue, l2),
-        membership_shares(df, venue, shares),
+        function_rarity(base, venue, l2),
+        membership_shares(base, venue, shares, "_n"),
         price_profile(df, venue, price, sitdown, price_rule),
-        ratings,
-        entropy_l1(df, venue, l1),
+        base.groupBy(venue).agg(F.round(mean, 4).alias("mean_rating")),
+        entropy_l1(base, venue, l1, "_n"),
     ]
     result = parts[0]
     for part in parts[1:]:

@@ -81,11 +81,11 @@ def build_master(given: MasterInputs) -> dict[str, DataFrame]:
         number(F.col("title_score")), number(F.col("ocr_confidence")), number(F.col("observations")),
     )
     keys = dict(venue="mall_id", brand="brand_id", floor="normalized_floor", ordinal="source_record_id")
-    found = resolve.deduplicate(corrected, cost=cost, policy=given.dedup, **keys)
-    kept = [c for c in corrected.columns if c not in ("mall_id", "brand_id", "floor_location", "dedup_policy")]
-    master = resolve.with_representative(
-        found, corrected.withColumn("_floor", F.col("floor_location")), "source_record_id", [*kept, "_floor"]
-    ).withColumn("floor_location", F.when(F.col("floor_location") != "", F.col("floor_location")).otherwise(F.col("_floor")))
+    carried = corrected.withColumn("_floor", F.col("floor_location"))
+    kept = [c for c in carried.columns if c not in ("mall_id", "brand_id", "floor_location", "dedup_policy")]
+    found = resolve.deduplicate(carried, cost=cost, policy=given.dedup, carry=kept, **keys)
+    known = F.col("floor_location") != ""
+    master = found.withColumn("floor_location", F.when(known, F.col("floor_location")).otherwise(F.col("_floor")))
     master = checkpointed(venue.with_brand_metrics(
         master.drop("_floor"), "mall_id", "brand_id", given.chains, tx.brand_key(F.col("canonical_brand_name"))
     ))

@@ -285,12 +285,10 @@ def _(spark, sf):
     source = rules.classify(raw.drop("category_l1", "category_l2"), "category_raw", MAPPING)
     unmapped = F.col("mapping_status") == "unmapped"
     eligible = source.where(~unmapped)
-    found = resolve.deduplicate(eligible, cost=cost(), **DEDUP)
-    instances = resolve.with_representative(
-        found.select("mall_id", "brand_id", "floor_location", "representative"),
-        eligible.withColumnRenamed("mall_id", "_m").withColumnRenamed("brand_id", "_b"), "record_id", ["category_l1", "rating"],
+    instances = checkpointed(
+        resolve.deduplicate(eligible, cost=cost(), carry=["category_l1", "rating"], **DEDUP)
+        .select("mall_id", "brand_id", "floor_location", "category_l1", "rating")
     )
-    instances = checkpointed(instances.drop("representative"))
     return venue.venue_metrics(
         source, unmapped, unmapped, instances, "mall_id", "brand_id", "category_l1", "floor_location", "rating",
         chain(instances), 4,
