@@ -67,11 +67,16 @@ def preprocess(
     aliases: DataFrame,
     manual: DataFrame,
     switches: CleaningSwitches = CleaningSwitches(),
+    factored: bool = False,
 ) -> DataFrame:
-    """Classify, rename and judge every card; ``analysis_eligible`` splits the result."""
+    """Classify, rename and judge every card; ``analysis_eligible`` splits the result.
+
+    ``factored`` classifies distinct category texts and joins them back, which pays when a
+    long rule table meets many rows per text.
+    """
     given = F.col("merchant_name_normalized")
     named = df.withColumn("_name", F.when(given != "", given).otherwise(F.col("merchant_name_raw")))
-    rows = apply_aliases(rl.classify(named, "category_raw", mapping), aliases, "_name").drop("_name")
+    rows = apply_aliases(rl.classify(named, "category_raw", mapping, factored), aliases, "_name").drop("_name")
     rows = rl.pair_exclusion_flag(rows, manual, "mall_name", "canonical_brand_name")
     is_new = tx.has_exact_token(F.col("metadata_text"), switches.new_store_tokens)
     unrated = (F.col("rating_status") == "unrated") | (F.col("card_type") == "unrated")
@@ -388,10 +393,10 @@ def merged_text(long: DataFrame, keys: Sequence[str], value: str, out: str, long
 
     Longer groups get NULL: their values stay readable, whole, in ``long`` itself.
     """
-    values = long.where(F.col(value) != "").select(*keys, value).distinct()
+    values = long.select(*keys, value).distinct().where(F.col(value).cast("string") != "")
     sizes = values.groupBy(*keys).agg(F.count("*").alias("_n"))
     small = values.join(sizes.where(F.col("_n") <= longest), list(keys))
-    joined = small.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list(value)), " | ").alias(out))
+    joined = small.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list(value)).cast("array<string>"), " | ").alias(out))
     return sizes.drop("_n").join(joined, list(keys), "left")
 
 

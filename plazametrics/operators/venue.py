@@ -12,7 +12,7 @@ from ..functions.numeric import information, ratio, round_exact
 from ..functions.text import UNMAPPED
 from ..session import checkpointed
 from .quantiles import grouped_median
-from .resolve import first_mode
+from .resolve import first_mode, merged_text
 
 
 def cells(df: DataFrame, venue: str, item: str, weight: str | None = None) -> DataFrame:
@@ -46,16 +46,18 @@ def with_brand_metrics(df: DataFrame, venue: str, brand: str, chains: DataFrame,
 def brand_summary(
     df: DataFrame, venue: str, brand: str, name: str, l1: str, l2: str, ordinal: str, chain: Column
 ) -> DataFrame:
-    """One row per brand: coverage, size, chain flag, main categories and venue list."""
+    """One row per brand: coverage, size, chain flag, main categories and venue list.
+
+    The list is NULL for brands in more venues than :func:`merged_text` joins; they stay
+    whole in :func:`cells`.
+    """
     coverage = brand_coverage(df, venue, brand).select(
         brand, "mall_coverage_count", F.col("brand_store_instance_count").alias("store_instance_count")
     )
     head = df.withColumn("_chain", chain).groupBy(brand).agg(
         F.min_by(F.struct(F.col(name).alias("name"), "_chain"), ordinal).alias("_h")
     )
-    places = df.select(brand, venue).distinct().groupBy(brand).agg(
-        F.array_sort(F.collect_list(venue)).alias("mall_names")
-    )
+    places = merged_text(df, [brand], venue, "mall_names")
     return (
         coverage.join(head, brand)
         .join(first_mode(df, [brand], l1, ordinal, "category_l1"), brand)

@@ -61,7 +61,7 @@ def build_master(given: MasterInputs) -> dict[str, DataFrame]:
     """
     judged = checkpointed(
         resolve.preprocess(
-            given.cards, given.mapping, given.exclusions, given.aliases, given.manual, given.switches
+            given.cards, given.mapping, given.exclusions, given.aliases, given.manual, given.switches, factored=True
         ).withColumn("canonical_brand_name", tx.clean(F.col("canonical_brand_name")))
         .withColumn("source_name", F.col("canonical_brand_name"))
     )

@@ -261,13 +261,11 @@ def _(spark, sf):
     return explore.facets(listings(spark, sf), "mall_id", "floor")
 
 
-@query("fil11_numeric_order", """SELECT label, row_number() OVER (ORDER BY cast(substr(label, 2) AS bigint)) AS place FROM
-  (SELECT DISTINCT 'F' || p_size AS label FROM part)""")
+@query("fil11_numeric_order", """SELECT DISTINCT 'F' || p_size AS label, cast(p_size AS bigint) AS number FROM part""")
 def _(spark, sf):
-    from pyspark.sql import Window
-
     labels = table(spark, sf, "part").select(F.concat(F.lit("F"), F.col("p_size").cast("string")).alias("label")).distinct()
-    return labels.withColumn("place", F.row_number().over(Window.orderBy(explore.numeric_sort_key(F.col("label")))))
+    keyed = labels.withColumn("_key", explore.numeric_sort_key(F.col("label")))
+    return keyed.orderBy("_key").select("label", F.col("_key.n").alias("number"))
 
 
 RELATION_SQL = """h AS (SELECT DISTINCT mall_id, brand_id FROM listings), s AS (SELECT mall_id, count(*) AS n FROM h GROUP BY ALL),
@@ -301,11 +299,9 @@ def _(spark, sf):
     return explore.venue_detail(shares, "mall_id", "dining_share", "retail_share").drop("color")
 
 
-@query("ui2_mall_list", "SELECT s_suppkey, s_name, row_number() OVER (ORDER BY s_name) AS place FROM supplier")
+@query("ui2_mall_list", "SELECT s_suppkey, s_name FROM supplier")
 def _(spark, sf):
-    from pyspark.sql import Window
-
-    return table(spark, sf, "supplier").select("s_suppkey", "s_name", F.row_number().over(Window.orderBy("s_name")).alias("place"))
+    return table(spark, sf, "supplier").select("s_suppkey", "s_name").orderBy("s_name")
 
 
 @query("ui3_visible_set", with_listings(f", {RELATION_SQL} SELECT DISTINCT mall_id FROM (SELECT s_suppkey AS mall_id FROM supplier WHERE contains(s_name, '99') UNION ALL SELECT 5 UNION ALL SELECT peer FROM top WHERE venue = 5 AND rank <= 3)"))

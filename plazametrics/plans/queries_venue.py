@@ -332,8 +332,7 @@ def _(spark, sf):
   array_to_string(list_sort(list(DISTINCT mall_id)), ' | ') AS mall_names FROM listings GROUP BY brand_id"""))
 def _(spark, sf):
     rows = listings(spark, sf)
-    summary = venue.brand_summary(rows, "mall_id", "brand_id", "name", "category_l1", "category_l2", "record_id", chain(rows))
-    return summary.withColumn("mall_names", F.array_join(F.transform("mall_names", lambda x: x.cast("string")), " | "))
+    return venue.brand_summary(rows, "mall_id", "brand_id", "name", "category_l1", "category_l2", "record_id", chain(rows))
 
 
 # ---------------------------------------------------------------- features
