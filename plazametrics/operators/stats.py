@@ -30,8 +30,9 @@ def pearson(a: Column, b: Column) -> Column:
     """Correlation aggregate; NULL below three complete pairs or without variation."""
     both = a.isNotNull() & b.isNotNull()
     x, y = F.when(both, a.cast("double")), F.when(both, b.cast("double"))
-    usable = (F.count(x) >= 3) & (F.stddev_pop(x) > 0) & (F.stddev_pop(y) > 0)
-    return F.when(usable, F.corr(x, y))
+    # Built from its parts: the corr aggregate itself fails on a constant column.
+    scale = F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))
+    return F.when(F.count(x) >= 3, F.covar_pop(x, y) / scale)
 
 
 def usable_features(df: DataFrame, columns: Sequence[str]) -> list[str]:
@@ -48,7 +49,7 @@ def missing_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def correlation_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Marginal correlation of each unordered column pair, one pass over the rows."""
     named = {
-        f"{a}|{b}": F.corr(a, b) for i, a in enumerate(columns) for b in columns[i + 1:]
+        f"{a}|{b}": pearson(F.col(a), F.col(b)) for i, a in enumerate(columns) for b in columns[i + 1:]
     }
     wide = df.agg(*[value.alias(name) for name, value in named.items()])
     long = wide.unpivot([], list(named), "pair", "marginal_corr")
@@ -62,17 +63,30 @@ def verdict(partial: Column, marginal: Column) -> Column:
 
 
 def partial_correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Marginal and partial correlation of each pair, all other columns held fixed."""
+    """Marginal and partial correlation of each pair, all other columns held fixed.
+
+    A column without variation takes no part; its correlations are NULL.
+    """
     columns = list(columns)
     m = moments(df.select(F.array(*[F.col(c).cast("double") for c in columns]).alias("x")), "x")[()]
     cov = m.scatter()
-    scale = np.sqrt(np.diag(cov))
-    corr = cov / np.outer(scale, scale)
-    precision = np.linalg.inv(corr)
-    root = np.sqrt(np.diag(precision))
-    partial = -precision / np.outer(root, root)
+    floor = 1e-12 * np.maximum(np.diag(m.gram), 1e-300)
+    varying = np.flatnonzero(np.diag(cov) > floor)
+    scale = np.sqrt(np.diag(cov)[varying])
+    corr = np.full(cov.shape, np.nan)
+    partial = np.full(cov.shape, np.nan)
+    if len(varying):
+        inner = cov[np.ix_(varying, varying)] / np.outer(scale, scale)
+        precision = np.linalg.pinv(inner, hermitian=True)
+        root = np.sqrt(np.diag(precision))
+        corr[np.ix_(varying, varying)] = inner
+        partial[np.ix_(varying, varying)] = -precision / np.outer(root, root)
+
+    def known(value: float) -> float | None:
+        return None if np.isnan(value) else float(value)
+
     rows = [
-        (columns[i], columns[j], float(corr[i, j]), float(partial[i, j]))
+        (columns[i], columns[j], known(corr[i, j]), known(partial[i, j]))
         for i in range(len(columns)) for j in range(i + 1, len(columns))
     ]
     table = df.sparkSession.createDataFrame(
@@ -209,7 +223,7 @@ def average_ranks(df: DataFrame, value: str, out: str) -> DataFrame:
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     ranked = average_ranks(average_ranks(df.select(a, b).dropna(), a, "_ra"), b, "_rb")
-    return ranked.agg(F.count("*").alias("n"), F.round(F.corr("_ra", "_rb"), 4).alias("spearman"))
+    return ranked.agg(F.count("*").alias("n"), F.round(pearson(F.col("_ra"), F.col("_rb")), 4).alias("spearman"))
 
 
 def regression(df: DataFrame, target: str, columns: Sequence[str]) -> DataFrame:

@@ -26,8 +26,7 @@ EXPERIENTIAL = (
 ).split()
 DINING, RETAIL = "美食", "购物"
 FEATURE_COLUMNS = (
-    "standardization_loo local_only_rate function_rarity_loo subculture_index light_consumption_index "
-    "experiential_share sitdown_price_log"
+    "standardization_loo local_only_rate function_rarity_loo sitdown_price_log subculture_index experiential_share"
 ).split()
 
 
@@ -148,7 +147,7 @@ def analyse(master: DataFrame, features: DataFrame, archetype_count: int = 3) ->
     holdout = composition.holdout_reconstruction(vectors, "mall_name")
     stability = composition.loading_stability(vectors, "mall_name", max_k=min(4, len(labels)))
     factors = composition.consensus(
-        composition.suggested_factors(parallel), holdout.orderBy("holdout_rmse", "k").first()["k"],
+        composition.suggested_factors(parallel), composition.best_holdout(holdout),
         stability.where("stable").count(),
     )
     loadings, scores = composition.clr_factors(vectors, "mall_name", factors)

@@ -363,7 +363,7 @@ def _(spark, sf):
     parallel = composition.suggested_factors(composition.parallel_analysis(data, "mall_id", reps=50))
     holdout = composition.holdout_reconstruction(data, "mall_id", iterations=20)
     stability = composition.loading_stability(data, "mall_id")
-    best = holdout.orderBy("holdout_rmse", "k").first()["k"]
+    best = composition.best_holdout(holdout)
     stable = stability.where("stable").count()
     chosen = composition.consensus(parallel, best, stable)
     return composition.selection_table(holdout, stability).withColumn("consensus_k", F.lit(chosen))

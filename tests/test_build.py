@@ -108,6 +108,21 @@ def test_features_and_profiles(spark, built):
         build.profiles(features, scores.limit(3), mixtures)
 
 
+def test_analysis_tables(built):
+    _, out = built
+    master = out["master_stores"]
+    features = build.build_features(master).cache()
+    tables_ = build.analyse(master, features)
+    rows = {name: df.collect() for name, df in tables_.items()}
+    assert len(rows["archetype_mixtures"]) == len(rows["compositional_factor_scores"]) == len(rows["mall_category_counts"]) == 9
+    assert len(rows["brand_sensitivity"]) == 6 and len(rows["compositional_pca_sensitivity"]) == 5
+    assert all(r["cooccurrence"] >= 5 for r in rows["brand_colocation"])
+    constant = [r for r in rows["partial_correlations"] if "subculture_index" in (r["feature_a"], r["feature_b"])]
+    assert constant and all(r["marginal_corr"] is None for r in constant)
+    joined = build.profiles(features, tables_["compositional_factor_scores"], tables_["archetype_mixtures"])
+    assert joined.count() == 9
+
+
 def test_stages_publish_or_leave_results_alone(spark, tmp_path):
     staging, current = str(tmp_path / "staging"), str(tmp_path / "current")
     table = spark.range(3).toDF("x")
