@@ -52,7 +52,7 @@ def preflight(tables: dict[str, DataFrame]) -> None:
         raise ValueError(f"empty inputs: {', '.join(sorted(empty))}")
 
 
-def build_master(given: MasterInputs) -> dict[str, DataFrame]:
+def master_tables(given: MasterInputs) -> dict[str, DataFrame]:
     """Classify, correct, deduplicate and measure the cards.
 
     Two tables feed several consumers and are written out once: the judged cards and the
@@ -116,7 +116,7 @@ def build_master(given: MasterInputs) -> dict[str, DataFrame]:
     }
 
 
-def build_features(master: DataFrame, details: DataFrame | None = None) -> DataFrame:
+def feature_table(master: DataFrame, details: DataFrame | None = None) -> DataFrame:
     """The venue feature table, with location and opening year where metadata has them."""
     level1, level2 = F.col("category_l1"), F.col("category_l2")
     shares = {

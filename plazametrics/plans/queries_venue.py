@@ -61,7 +61,7 @@ def _(spark, sf):
 
 
 def manual_list(spark, sf) -> DataFrame:
-    """Hand-made exclusions: every part of size 1 is refused in the venue of its own number."""
+    """Hand-made exclusions: small parts are refused in one venue each."""
     parts = table(spark, sf, "part").where("p_size <= 5")
     name = F.concat(F.col("p_name"), F.lit("  "), F.lpad(F.col("p_partkey").cast("string"), 6, "0"))
     return parts.select(F.expr("cast(p_partkey % 100 as string)").alias("mall_name"), name.alias("merchant_name"))
@@ -592,11 +592,11 @@ def _(spark, sf):
 # ---------------------------------------------------------------- metadata
 
 META_SQL = f"""{PLACE_SQL}, meta AS (SELECT mall_id, CASE WHEN mall_id % 7 = 0 THEN '' ELSE cast(longitude AS varchar) END AS longitude,
-  CASE WHEN mall_id % 11 = 0 THEN '' ELSE cast(latitude AS varchar) END AS latitude, CASE WHEN mall_id % 5 = 0 THEN '[]' ELSE district END AS district FROM places WHERE mall_id % 13 <> 0)"""
+  CASE WHEN mall_id % 11 = 0 THEN '' ELSE cast(latitude AS varchar) END AS latitude, CASE WHEN mall_id % 5 = 0 THEN '[]' ELSE district END AS district FROM places WHERE district <> 'District 7')"""
 
 
 def meta(spark, sf) -> DataFrame:
-    return places(spark, sf).where("mall_id % 13 <> 0").select(
+    return places(spark, sf).where("district <> 'District 7'").select(
         "mall_id",
         F.expr("case when mall_id % 7 = 0 then '' else cast(longitude as string) end").alias("longitude"),
         F.expr("case when mall_id % 11 = 0 then '' else cast(latitude as string) end").alias("latitude"),

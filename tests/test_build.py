@@ -58,7 +58,7 @@ def built(spark, card_root):
     none = spark.createDataFrame([], "alias string, canonical_brand_name string")
     manual = spark.createDataFrame([("商场1", "不存在")], "mall_name string, merchant_name string")
     chains = spark.createDataFrame([("品牌名字一二三四五六一",)], "chain_key string")
-    return cards.cache(), build.build_master(build.MasterInputs(cards, MAPPING, [], none, manual, chains))
+    return cards.cache(), build.master_tables(build.MasterInputs(cards, MAPPING, [], none, manual, chains))
 
 
 def test_cards_carry_lineage(built):
@@ -99,7 +99,7 @@ def test_typo_is_corrected(built):
 
 def test_features_and_profiles(spark, built):
     _, out = built
-    features = build.build_features(out["master_stores"]).cache()
+    features = build.feature_table(out["master_stores"]).cache()
     assert features.count() == 9
     scores = features.select("mall_name", F.lit(0.0).alias("factor1"))
     mixtures = features.select("mall_name", F.lit(1.0).alias("w_A0"))
@@ -111,7 +111,7 @@ def test_features_and_profiles(spark, built):
 def test_analysis_tables(built):
     _, out = built
     master = out["master_stores"]
-    features = build.build_features(master).cache()
+    features = build.feature_table(master).cache()
     tables_ = build.analyse(master, features)
     rows = {name: df.collect() for name, df in tables_.items()}
     assert len(rows["archetype_mixtures"]) == len(rows["compositional_factor_scores"]) == len(rows["mall_category_counts"]) == 9
