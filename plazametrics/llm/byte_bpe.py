@@ -22,7 +22,7 @@ from .pretokens import character_classes, cuts_with_blanks
 from .shared import mixed, prefix_hashes, slice_hashes, slices, text_bytes
 
 #: Bytes of text whose distinct words are kept together.
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 48 << 20
 #: A longer word merges every occurrence of the least pair in one step, so that steps follow its distinct pairs.
 LONG_WORD = 128
 _BUCKET_BITS = 16
@@ -112,20 +112,40 @@ class Ranks:
     def rank(self, piece: Column) -> Column:
         return F.element_at(F.get(self.table, F.hash(piece).bitwiseAND(self.mask)), piece)
 
-    def pair_ranks(self, pieces: Column) -> Column:
-        following = F.slice(pieces, F.lit(2), F.size(pieces))
-        return F.zip_with(pieces, following, lambda x, y: F.when(y.isNotNull(), self.rank(F.concat(x, y))))
+    def merged_once(self, word: Column, state: Column) -> Column:
+        """The leftmost pair of least rank joined; unchanged where no pair has a rank.
 
-    def merged_once(self, pieces: Column) -> Column:
-        """The leftmost pair of least rank joined; unchanged where no pair has a rank."""
+        cuts: where pieces begin, and the end; ranks: of pieces k and k + 1 joined, with a null before and after.
+        """
+        cuts, ranks = state["cuts"], state["ranks"]
+        size = F.size(cuts)
+
+        def join(at: Column) -> Column:
+            span = lambda low, high: self.rank(F.substring(word, F.get(cuts, low), F.get(cuts, high) - F.get(cuts, low)))
+            left = F.when(at > 2, span(at - 3, at))
+            right = F.when(at < size - 1, span(at - 2, at + 1))
+            return F.struct(
+                F.concat(F.slice(cuts, F.lit(1), at - 1), F.slice(cuts, at + 1, size)).alias("cuts"),
+                F.concat(F.slice(ranks, F.lit(1), at - 2), F.array(left, right), F.slice(ranks, at + 2, size)).alias("ranks"),
+            )
 
-        def join(ranks: Column) -> Column:
-            least = F.array_min(ranks)
-            at = F.array_position(ranks, least).cast("int")
-            joined = F.concat(F.get(pieces, at - 1), F.get(pieces, at))
-            return F.when(least.isNull(), pieces).otherwise(F.concat(F.slice(pieces, F.lit(1), at - 1), F.array(joined), F.slice(pieces, at + 2, F.size(pieces))))
+        least = F.array_min(ranks)
+        return F.when(least.isNull(), state).otherwise(_bound(F.array_position(ranks, least).cast("int"), join))
+
+    def merged_one_by_one(self, word: Column) -> Column:
+        """Token ids of a word by as many merges as it takes, at most one less than its bytes."""
+        n = F.length(word)
+        none = F.lit(None).cast("int")
+        pairs = F.transform(F.sequence(F.lit(1), n - 1), lambda i: self.rank(F.substring(word, i, F.lit(2))))
+        start = F.struct(F.sequence(F.lit(1), n + 1).alias("cuts"), F.concat(F.array(none), pairs, F.array(none)).alias("ranks"))
+        return F.aggregate(
+            F.sequence(F.lit(2), n), start, lambda s, _: self.merged_once(word, s),
+            lambda s: F.zip_with(F.slice(s["cuts"], F.lit(1), F.size(s["cuts"]) - 1), F.slice(s["cuts"], F.lit(2), F.size(s["cuts"])), lambda x, y: self.rank(F.substring(word, x, y - x))),
+        )
 
-        return _bound(self.pair_ranks(pieces), join)
+    def pair_ranks(self, pieces: Column) -> Column:
+        following = F.slice(pieces, F.lit(2), F.size(pieces))
+        return F.zip_with(pieces, following, lambda x, y: F.when(y.isNotNull(), self.rank(F.concat(x, y))))
 
     def merged_everywhere(self, pieces: Column) -> Column:
         """Every pair of least rank joined, from the left, where they overlap the first of two.
@@ -146,15 +166,17 @@ class Ranks:
 
         return _bound(self.pair_ranks(pieces), join)
 
+    def merged_in_rounds(self, word: Column) -> Column:
+        """Token ids of a word by rounds that merge all of the least pair."""
+        single = F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.substring(word, i, F.lit(1)))
+        start = F.struct(single.alias("p"), F.lit(-1).alias("n"))
+        return F.transform(F.aggregate(F.sequence(F.lit(2), F.length(word)), start, self._step, lambda s: s["p"]), self.rank)
+
     def encode(self, word: Column) -> Column:
         """Token ids of one word (binary, not empty)."""
-        single = F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.substring(word, i, F.lit(1)))
-        steps = F.sequence(F.lit(2), F.length(word))
-        folded = F.when(F.length(word) <= LONG_WORD, F.aggregate(steps, single, lambda p, _: self.merged_once(p))).otherwise(
-            F.aggregate(steps, F.struct(single.alias("p"), F.lit(-1).alias("n")), self._step, lambda s: s["p"])
-        )
         whole = self.rank(word)
-        return F.when(whole.isNotNull(), F.array(whole)).otherwise(F.transform(folded, self.rank))
+        folded = F.when(F.length(word) <= LONG_WORD, self.merged_one_by_one(word)).otherwise(self.merged_in_rounds(word))
+        return _bound(whole, lambda w: F.when(w.isNotNull(), F.array(w)).otherwise(folded))
 
     def _step(self, state: Column, _: Column) -> Column:
         """Merge until a step changes nothing; then pass the state on."""
