@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontamination, line_templates, minhash, quality_mil
+from . import byte_bpe, decontamination, line_templates, minhash, quality_mil, url_filter
+from .url_filter import Rule
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -76,3 +77,12 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
     model = quality_mil.learn(docs, labels.where(~quality_mil.held_out()))
     found = quality_mil.scored(docs, model)
     return found.select("doc_id", quality_mil.held_out().alias("held_out"), "score", (F.col("score") >= quality_mil.THRESHOLD).cast("int").alias("predicted"))
+
+
+#: The rules that the query applies.
+URL_RULES = [Rule("net/", "block"), Rule("example.net/en/", "allow"), Rule("example.com/de/", "block"), Rule("org/fr/", "allow")]
+
+
+@query("op8_url_segmentation")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return url_filter.judged(table(spark, folder, "pages"), URL_RULES)
