@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontamination, line_templates, minhash, quality_mil, url_filter
+from . import byte_bpe, decontamination, line_templates, minhash, personal_data, quality_mil, url_filter
 from .url_filter import Rule
 
 QUERIES: dict = {}
@@ -86,3 +86,11 @@ URL_RULES = [Rule("net/", "block"), Rule("example.net/en/", "allow"), Rule("exam
 @query("op8_url_segmentation")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.judged(table(spark, folder, "pages"), URL_RULES)
+
+
+@query("op10_personal_data")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    rows = personal_data.found(table(spark, folder, "documents").select("doc_id", "text"))
+    base = F.filter("spans", lambda s: s["base"])
+    counts = [F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in personal_data.BASE_KINDS]
+    return rows.select("doc_id", *counts, F.sha2(personal_data.listed(base), 256).alias("base_sha256"), personal_data.listed(F.col("spans")).alias("spans"))
