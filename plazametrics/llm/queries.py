@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontamination, line_templates, minhash, personal_data, quality_mil, url_filter
+from . import byte_bpe, decontamination, line_templates, minhash, personal_data, quality_mil, token_files, url_filter
 from .url_filter import Rule
 
 QUERIES: dict = {}
@@ -94,3 +94,10 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     base = F.filter("spans", lambda s: s["base"])
     counts = [F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in personal_data.BASE_KINDS]
     return rows.select("doc_id", *counts, F.sha2(personal_data.listed(base), 256).alias("base_sha256"), personal_data.listed(F.col("spans")).alias("spans"))
+
+
+@query("op5_token_files")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    path = token_files.shared_path(spark)
+    token_files.write_tokens(table(spark, folder, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
+    return token_files.checksums(token_files.read_tokens(spark, path))
