@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontamination, line_templates, minhash, personal_data, quality_mil, token_files, url_filter
+from . import byte_bpe, decontamination, line_templates, minhash, personal_data, quality_mil, syncmers, token_files, url_filter
 from .url_filter import Rule
 
 QUERIES: dict = {}
@@ -101,3 +101,8 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     path = token_files.shared_path(spark)
     token_files.write_tokens(table(spark, folder, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
     return token_files.checksums(token_files.read_tokens(spark, path))
+
+
+@query("op2_syncmers")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return syncmers.compared(table(spark, folder, "documents"))
