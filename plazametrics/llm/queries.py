@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontamination, line_templates, minhash, personal_data, quality_mil, syncmers, token_files, url_filter
+from . import byte_bpe, decontamination, line_templates, minhash, personal_data, quality_mil, repeats, syncmers, token_files, url_filter
 from .url_filter import Rule
 
 QUERIES: dict = {}
@@ -106,3 +106,9 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
 @query("op2_syncmers")
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     return syncmers.compared(table(spark, folder, "documents"))
+
+
+@query("op7_prefix_doubling")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    found = repeats.without_repeats(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
