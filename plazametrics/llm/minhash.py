@@ -6,8 +6,9 @@ later than every register's. Two documents agree in a register with the probabil
 weighted shingles. Registers are grouped into bands; documents that share a band are candidates.
 
 Documents with the same shingle set are one class and only its representative goes on. Within a band's bucket no
-pairs are enumerated: all members are compared with one centre, first with one, then with another where the bucket
-still holds several groups; only pairs that could still join two groups are compared one by one. Links are the pairs
+pairs are enumerated: all members are compared with one centre, then with another where the bucket still holds several
+groups; documents of buckets that hold several groups even then are joined on their rarest shingles, which finds every
+pair that could still join two groups. Links are the pairs
 whose exact Jaccard similarity of shingle sets reaches the threshold; groups are their connected components, found by
 joins.
 
@@ -23,13 +24,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import BitFilter, Words, mixed, shingle_hashes, shingle_starts, signed, slices, stored
+from .shared import BitFilter, Words, mixed, shingle_hashes, shingle_starts, signed, slices, stored, text_key
 
 SHINGLE = 5
 THRESHOLD = 0.8
 #: A pair of similarity 0.8 shares none of 40 bands of 6 registers with probability 5e-6.
 BANDS, ROWS = 40, 6
+#: Comparisons of a bucket's groups with a centre drawn anew, before what is left is joined by rare shingles.
+STAR_ROUNDS = 2
 _SLICE = 6 << 20
+#: Products such as 0.8 * 35 may come out a little above the whole number.
+SLACK = 1e-9
 _GOLDEN = 0x9E3779B97F4A7C15
 
 
@@ -89,11 +94,11 @@ def set_names(codes: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, n: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, n_shingles, name_a and name_b (of the shingle set), bands (array of hashes; empty without words)."""
+    """doc_id, text_key, n_shingles, name_a and name_b (of the shingle set), bands (array of hashes; empty without words)."""
 
     def signed_rows(batches):
         for part in slices(batches, limit=_SLICE):
-            codes, counts, first = weighted_shingles(part.column(1), n)
+            codes, counts, first = weighted_shingles(part.column(2), n)
             registers = prob_minhash(codes, counts, first, bands * rows).reshape(len(first) - 1, bands, rows)
             total = np.zeros(registers.shape[:2], np.uint64) + np.arange(bands, dtype=np.uint64)
             for r in range(rows):
@@ -102,12 +107,12 @@ def signatures(docs: DataFrame, n: int = SHINGLE, bands: int = BANDS, rows: int
             names = set_names(codes, first)
             ends = np.concatenate([[0], np.cumsum(some * bands)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(np.diff(first), pa.int32()), pa.array(signed(names[:, 0].copy())), pa.array(signed(names[:, 1].copy())),
+                [part.column(0), part.column(1), pa.array(np.diff(first), pa.int32()), pa.array(signed(names[:, 0].copy())), pa.array(signed(names[:, 1].copy())),
                  pa.ListArray.from_arrays(pa.array(ends), pa.array(signed(total[some].reshape(-1))))],
-                names=["doc_id", "n_shingles", "name_a", "name_b", "bands"],
+                names=["doc_id", "text_key", "n_shingles", "name_a", "name_b", "bands"],
             )
 
-    return docs.mapInArrow(signed_rows, "doc_id bigint, n_shingles int, name_a bigint, name_b bigint, bands array<bigint>")
+    return docs.mapInArrow(signed_rows, "doc_id bigint, text_key binary, n_shingles int, name_a bigint, name_b bigint, bands array<bigint>")
 
 
 def shingle_sets(docs: DataFrame, wanted: BitFilter, n: int = SHINGLE) -> DataFrame:
@@ -152,22 +157,42 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     common = F.size(F.array_intersect("of_a", "of_b"))
     return (
         pairs.join(left, "a").join(right, "b")
-        .where(common >= threshold * (F.size("of_a") + F.size("of_b") - common))
+        .where(common >= threshold * (F.size("of_a") + F.size("of_b") - common) - SLACK)
         .select("a", "b")
     )
 
 
+def _prefix_pairs(left_over: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of different labels that may reach the threshold, by prefix filtering: with shingles in order of
+    rarity, two sets that similar share one of the first n - ceil(threshold * n) + 1 of each. What many documents have
+    in common is frequent and stays out of their prefixes."""
+    tokens = left_over.join(sets, "class").select("class", "label", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    often = tokens.groupBy("shingle").agg(F.count(F.lit(1)).alias("often"))
+    ranked = tokens.join(often, "shingle").groupBy("class", "label", "n").agg(F.sort_array(F.collect_list(F.struct("often", "shingle"))).alias("all"))
+    prefix = stored(
+        ranked.select("class", "label", "n", F.explode(F.slice("all", F.lit(1), (F.col("n") - F.ceil(threshold * F.col("n") - SLACK) + 1).cast("int"))).alias("x"))
+        .where("x.often > 1").select("class", "label", "n", F.col("x.shingle").alias("shingle")),
+        "prefix",
+    )
+    one, two = prefix.alias("p"), prefix.alias("q")
+    similar = F.least("p.n", "q.n") >= threshold * F.greatest("p.n", "q.n") - SLACK
+    return (
+        one.join(two, (F.col("p.shingle") == F.col("q.shingle")) & (F.col("p.label") < F.col("q.label")) & similar)
+        .select(F.least("p.class", "q.class").alias("a"), F.greatest("p.class", "q.class").alias("b"))
+    )
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, n: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: doc_id, class_id (least doc_id of equal shingle sets), group_id (least of the group),
+    """One row per document: doc_id, text_key (md5), class_id (least doc_id of equal shingle sets), group_id (least of the group),
     n_class (rows of the class), n_links (other classes that the class is linked with, as far as they were
     compared), kept (the first document of its group)."""
     spark = docs.sparkSession
-    chosen = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    chosen = docs.select(F.col(doc).cast("long").alias("doc_id"), text_key(text).alias("text_key"), F.col(text).cast("string").alias("text"))
     signed_docs = stored(signatures(chosen, n, bands, rows).withColumn("row", F.monotonically_increasing_id()), "signatures")
     # Classes are numbered by their first row; a document without words is a class of its own.
     own = F.when(F.col("n_shingles") == 0, F.col("row"))
     order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row")
-    named = signed_docs.select("name_a", "name_b", own.alias("own"), "n_shingles", "row", "doc_id", order.alias("order"))
+    named = signed_docs.select("name_a", "name_b", own.alias("own"), "n_shingles", "row", "doc_id", "text_key", order.alias("order"))
     classes = stored(
         named.groupBy("name_a", "name_b", "own").agg(F.min("order").alias("first"), F.count(F.lit(1)).alias("n_class"), F.first("n_shingles").alias("n_shingles"))
         .select("name_a", "name_b", "own", F.col("first.row").alias("class"), F.col("first.doc_id").alias("class_id"), "n_class", "n_shingles"),
@@ -180,7 +205,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, n: int = SHIN
     shared = banded.groupBy("bucket").agg(F.min("class").alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", "centre")
     members = stored(banded.join(shared, "bucket"), "members")
     sizes = classes.select(F.col("class").alias("centre"), F.col("n_shingles").alias("n_centre"))
-    similar = lambda x, y: F.least(x, y) >= threshold * F.greatest(x, y)
+    similar = lambda x, y: F.least(x, y) >= threshold * F.greatest(x, y) - SLACK
 
     candidates = members.where("class != centre").select(F.col("centre").alias("a"), F.col("class").alias("b"), "n_shingles").distinct()
     tested = stored(candidates.join(sizes, F.col("a") == F.col("centre")).where(similar(F.col("n_shingles"), F.col("n_centre"))).select("a", "b"), "tested")
@@ -193,18 +218,17 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, n: int = SHIN
     edges = stored(_verified(tested, sets, threshold), "edges")
     labels = components(edges)
 
-    for last in (False, True):
+    for turn in range(STAR_ROUNDS + 1):
         grouped = members.join(labels, F.col("class") == F.col("node"), "left").select("bucket", "class", "n_shingles", F.coalesce("label", "class").alias("label"))
-        mixed_up = grouped.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min(F.struct(F.xxhash64("class"), "class", "n_shingles", "label")).alias("c")).where("low < high")
-        if last:
-            left = grouped.join(mixed_up.select("bucket"), "bucket")
-            right = left.select("bucket", F.col("class").alias("b"), F.col("n_shingles").alias("n_b"), F.col("label").alias("label_b"))
-            pairs = left.join(right, "bucket").where((F.col("label") < F.col("label_b")) & similar(F.col("n_shingles"), F.col("n_b")))
-            pairs = pairs.select(F.least("class", "b").alias("a"), F.greatest("class", "b").alias("b"))
-        else:
-            pairs = grouped.join(mixed_up.select("bucket", "c"), "bucket")
+        centre = F.min(F.struct(F.xxhash64("class", F.lit(turn)), "class", "n_shingles", "label")).alias("c")
+        several = grouped.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), centre).where("low < high")
+        if turn < STAR_ROUNDS:
+            pairs = grouped.join(several.select("bucket", "c"), "bucket")
             pairs = pairs.where((F.col("label") != F.col("c.label")) & similar(F.col("n_shingles"), F.col("c.n_shingles")))
             pairs = pairs.select(F.least("class", "c.class").alias("a"), F.greatest("class", "c.class").alias("b"))
+        else:
+            left_over = grouped.join(several.select("bucket"), "bucket").select("class", "label").distinct()
+            pairs = _prefix_pairs(left_over, sets, threshold)
         fresh = stored(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "fresh")
         if fresh.isEmpty():
             continue
@@ -222,7 +246,15 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, n: int = SHIN
     leaders = of_class.groupBy("label").agg(F.min(F.struct(F.col("class_id").isNull().alias("unknown"), "class_id", "class")).alias("leader"))
     of_class = of_class.join(leaders, "label").select("name_a", "name_b", "own", "class_id", "n_class", "n_links", F.col("leader.class_id").alias("group_id"), F.col("leader.class").alias("leader"))
     return (
-        named.select("doc_id", "row", "name_a", "name_b", "own").alias("d").join(
+        named.select("doc_id", "text_key", "row", "name_a", "name_b", "own").alias("d").join(
             of_class.alias("c"), (F.col("d.name_a") == F.col("c.name_a")) & (F.col("d.name_b") == F.col("c.name_b")) & F.col("d.own").eqNullSafe(F.col("c.own"))
-        ).select("d.doc_id", "class_id", "group_id", "n_class", "n_links", (F.col("row") == F.col("leader")).alias("kept"))
+        ).select("d.doc_id", "text_key", "class_id", "group_id", "n_class", "n_links", (F.col("row") == F.col("leader")).alias("kept"))
     )
+
+
+def without_near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """One row of each group, its first document, with all columns of ``docs``."""
+    found = near_duplicates(docs.select(doc, text), doc=doc, text=text, **options).where("kept").select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key"))
+    kept = docs.join(found, F.col(doc).cast("long").eqNullSafe(F.col("_doc")) & (text_key(text) == F.col("_key")))
+    # Repeated rows of the first document would all have been found.
+    return kept.dropDuplicates(["_doc", "_key"]).drop("_doc", "_key")

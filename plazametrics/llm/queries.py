@@ -62,7 +62,7 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op6_prob_minhash")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
-    return minhash.near_duplicates(table(spark, folder, "documents"))
+    return minhash.near_duplicates(table(spark, folder, "documents")).drop("text_key")
 
 
 @query("op3_line_templates")
