@@ -1,13 +1,69 @@
-"""Corpus pipeline: a list of stages, each from documents to documents."""
+"""Corpus pipeline over the documents table: rejects, cleans, deduplicates, decontaminates, tokenizes.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the one before kept. All but the last return the columns
+of documents: doc_id, text, lang, source, n_chars.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from plazametrics.llm import byte_bpe, decontamination, line_templates, minhash, quality_mil
+from plazametrics.llm.shared import stored
+
+RANKS = "byte_bpe_multi_50k.tiktoken"
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose passages the attention model scores below its threshold go."""
+    return quality_mil.without_low_quality(docs, _table(spark, sf_dir, "labels")).select(*COLUMNS)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines of templates that recur across documents go from every text; n_chars follows."""
+    cleaned = line_templates.without_recurring_lines(docs)
+    return cleaned.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of each group of near-duplicates stays."""
+    return minhash.without_near_duplicates(docs).select(*COLUMNS)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which a window of a benchmark item occurs go."""
+    return decontamination.without_contaminated(docs, _table(spark, sf_dir, "benchmark")).select(*COLUMNS)
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids, and the text that the ids decode to."""
+    found = byte_bpe.encode(docs, public_tokenizers.path(RANKS))
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.decode("decoded", "UTF-8").alias("text"))
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("line dedup", lines),
+    ("MinHash near-dedup", near_duplicates),
+    ("benchmark decontamination", decontaminate),
+    ("byte-level BPE", tokenize),
+]
+
+#: Model, templates, groups and merges are beyond SQL; tests compare each stage with a plain version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
-    for _, stage in STAGES:
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = stored(docs, f"stage{k}")
     return docs
