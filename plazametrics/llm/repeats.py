@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .shared import BitFilter, mixed, powers, prefix_hashes, signed, slice_hashes, slices, stored, text_bytes
 
 LENGTH = 400
-HOT = 256
+HOT = 1024
 _PAIR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -93,12 +93,26 @@ class Anchors:
 ROUNDS = 3
 
 
+class Seen:
+    """Lets each text of a task through once: its copies have the same strings and are found by their digest."""
+
+    def __init__(self):
+        self.keys: set[bytes] = set()
+
+    def first(self, part: pa.RecordBatch) -> pa.RecordBatch:
+        fresh = []
+        for key in part.column(0).to_pylist():
+            fresh.append(key not in self.keys)
+            self.keys.add(key)
+        return part if all(fresh) else part.filter(pa.array(fresh))
+
+
 def _counted(texts: DataFrame, g: Geometry, done: list, rounds: int) -> DataFrame:
     """(name, n): how often each name of this round occurs among the positions that are still in."""
 
     def named(batches):
-        filters = [BitFilter(*b.value) for b in done]
-        for part in slices(batches, "text"):
+        filters, seen = [BitFilter(*b.value) for b in done], Seen()
+        for part in map(seen.first, slices(batches, "text")):
             a = Anchors(part.column(1), g)
             for r, known in enumerate(filters):
                 a.keep(known.has(a.names(g, r)))
@@ -120,51 +134,48 @@ def _windows(left: np.ndarray, left_at: np.ndarray, right: np.ndarray, right_at:
     return rows, before, name
 
 
-def _candidates(texts: DataFrame, g: Geometry, done: list, hot) -> DataFrame:
-    """Rows of positions that are still in: the digest of their common bytes and what stands around them.
+def _live(batches, g: Geometry, done: list, hot, strings: bool):
+    """Slices with their texts' keys, the anchors still in (the hot ones for ``strings``), and their texts."""
+    filters, busy, seen = [BitFilter(*b.value) for b in done], BitFilter(*hot.value), Seen()
+    for part in map(seen.first, slices(batches, "text")):
+        a = Anchors(part.column(1), g)
+        for r, known in enumerate(filters):
+            a.keep(known.has(a.names(g, r)))
+        a.keep(busy.has(a.names(g, ROUNDS - 1)) == strings)
+        yield part.column(0).to_pylist(), a, np.searchsorted(a.offsets, a.at, "right") - 1
 
-    The strings of hot positions are rows of their own, ``strings`` true, with two names for the whole string.
-    """
-    schema = "strings boolean, core binary, key binary, at int, low int, high int, before binary, after binary"
-    empty = b""
 
-    def candidates(batches):
-        filters = [BitFilter(*b.value) for b in done]
-        busy = BitFilter(*hot.value)
-        seen: set[bytes] = set()
-        for part in slices(batches, "text"):
-            keys = part.column(0).to_pylist()
-            fresh = []
-            for key in keys:
-                fresh.append(key not in seen)
-                seen.add(key)
-            a = Anchors(part.column(1), g)
-            doc = np.searchsorted(a.offsets, a.at, "right") - 1
-            live = np.array(fresh, bool)[doc] if len(doc) else np.zeros(0, bool)
-            a.keep(live)
-            for r, known in enumerate(filters):
-                a.keep(known.has(a.names(g, r)))
-            hot_ones = busy.has(a.names(g, ROUNDS - 1))
-            doc = np.searchsorted(a.offsets, a.at, "right") - 1
-            data = a.data.tobytes()
-            base = a.offsets[doc]
-            rows = []
-            for at, low, high, d, b, many in zip(a.at.tolist(), a.low.tolist(), a.high.tolist(), doc.tolist(), base.tolist(), hot_ones.tolist()):
-                if many:
-                    # Two hashes of each whole string, with different bases, as its digest.
-                    starts = np.arange(low, high + 1)
-                    one = mixed(slice_hashes(a.prefix, starts, starts + g.length))
-                    two = _second(a, low, high, g)
-                    names = np.stack([one, two], axis=1).tobytes()
-                    rows += [(True, names[16 * i : 16 * i + 16], keys[d], s - b, 0, 0, empty, empty) for i, s in enumerate(starts.tolist())]
-                else:
-                    core = hashlib.md5(data[at : at + g.core]).digest()
-                    rows.append((False, core, keys[d], at - b, at - high, at - low, data[low:at], data[at + g.core : high + g.length]))
-            columns = list(zip(*rows)) or [[]] * 8
-            kinds = (pa.bool_(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["strings", "core", "key", "at", "low", "high", "before", "after"])
-
-    return texts.mapInArrow(candidates, schema)
+def _batch(rows: list, names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) or [[]] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
+
+
+def _around(texts: DataFrame, g: Geometry, done: list, hot) -> DataFrame:
+    """Positions that are still in, but for hot ones: the digest of their common bytes and what stands around them."""
+
+    def rows_of(batches):
+        for keys, a, doc in _live(batches, g, done, hot, False):
+            data, rows = a.data.tobytes(), []
+            for at, low, high, d, b in zip(a.at.tolist(), a.low.tolist(), a.high.tolist(), doc.tolist(), a.offsets[doc].tolist()):
+                core = hashlib.md5(data[at : at + g.core]).digest()
+                rows.append((core, keys[d], at - b, at - high, at - low, data[low:at], data[at + g.core : high + g.length]))
+            yield _batch(rows, ["core", "key", "at", "low", "high", "before", "after"], [pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()])
+
+    return texts.mapInArrow(rows_of, "core binary, key binary, at int, low int, high int, before binary, after binary")
+
+
+def _strings(texts: DataFrame, g: Geometry, done: list, hot) -> DataFrame:
+    """The strings of hot positions, one a row: two hashes with different bases as their name, text and start."""
+
+    def rows_of(batches):
+        for keys, a, doc in _live(batches, g, done, hot, True):
+            for low, high, d, b in zip(a.low.tolist(), a.high.tolist(), doc.tolist(), a.offsets[doc].tolist()):
+                starts = np.arange(low, high + 1)
+                one = mixed(slice_hashes(a.prefix, starts, starts + g.length))
+                names = np.stack([one, _second(a, low, high, g)], axis=1).tobytes()
+                yield _batch([(names[16 * i : 16 * i + 16], keys[d], s - b) for i, s in enumerate(starts.tolist())], ["name", "key", "start"], [pa.binary(), pa.binary(), pa.int32()])
+
+    return texts.mapInArrow(rows_of, "name binary, key binary, start int")
 
 
 def _second(a: Anchors, low: int, high: int, g: Geometry) -> np.ndarray:
@@ -183,6 +194,10 @@ def _grouped(batches, g: Geometry, rows_at_once: int = 20_000):
 
     def spans(table: pa.Table):
         batch = table.combine_chunks().to_batches()[0]
+        # Copies of a text that other tasks read: the same position again.
+        keys, at = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+        same = [i == 0 or (keys[i], at[i]) != (keys[i - 1], at[i - 1]) for i in range(len(at))]
+        batch = batch if all(same) else batch.filter(pa.array(same))
         core_bytes = batch.column(0)
         core = np.frombuffer(b"".join(core_bytes.to_pylist()), np.uint64).reshape(-1, 2)
         core = mixed(core[:, 0] ^ mixed(core[:, 1]))
@@ -234,18 +249,18 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT, text:
         if r == ROUNDS - 1:
             counted = stored(counted, "names")
             busy = BitFilter.of(counted.where(F.col("n") > hot), "name", 22)
+            any_busy = bool(busy.bits.any())
             busy = sc.broadcast((busy.bits, busy.log2))
         known = BitFilter.of(counted, "name", 26)
         done.append(sc.broadcast((known.bits, known.log2)))
-    rows = stored(_candidates(texts, g, done, busy), "candidates")
-    grouped = rows.where("not strings").dropDuplicates(["core", "key", "at"]).select("core", "key", "at", "low", "high", "before", "after")
-    apart = grouped.repartition("core").sortWithinPartitions("core").mapInArrow(lambda b: _grouped(b, g), "key binary, start int, end int")
-    strings = rows.where("strings").select("core", "key", "at").distinct()
-    again = strings.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("core")
-    hot_ones = strings.join(again, "core").select("key", F.col("at").alias("start"), (F.col("at") + length).alias("end"))
+    apart = _around(texts, g, done, busy).repartition("core").sortWithinPartitions("core", "key", "at")
+    every = apart.mapInArrow(lambda b: _grouped(b, g), "key binary, start int, end int")
+    if any_busy:
+        strings = stored(_strings(texts, g, done, busy).distinct(), "strings")
+        again = strings.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("name")
+        every = every.unionByName(strings.join(again, "name").select("key", "start", (F.col("start") + length).alias("end")))
     copies = texts.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max(F.octet_length("text")).alias("end")).where("n > 1").select("key", F.lit(0).alias("start"), "end")
-    every = apart.unionByName(hot_ones).unionByName(copies)
-    return every.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    return every.unionByName(copies).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
 
 
 def merged(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:

@@ -73,7 +73,7 @@ def powers(base: int, n: int) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64, kept between calls up to one slice's length."""
     have = _powers.get(base)
     if have is None or len(have) < n:
-        size = max(n, min(SLICE_BYTES + 1, 2 * n))
+        size = max(n, min(SLICE_BYTES + 1, 2 * n), 1)
         made = np.full(size, base % (1 << 64), np.uint64)
         made[0] = 1
         have = np.multiply.accumulate(made)
