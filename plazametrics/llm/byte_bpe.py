@@ -1,11 +1,13 @@
 """Byte-level BPE encoding and decoding with a given rank file.
 
 Texts are cut by the tokenizer's pattern; each block of texts keeps its distinct words as byte arrays and every text
-as positions in that list. Spark's higher-order functions then fold the ranked merges over each distinct word: the
-state is an array of byte pieces, the rank table is a literal (an array of small maps, found by hash, because a map's
-look-up is a scan), and each step joins the adjacent pair of least rank. Decoding concatenates the ids' pieces. A word
+as positions in that list. Spark's higher-order functions then fold the ranked merges over each distinct word; the rank table is a literal (an
+array of small maps, found by hash, because a map's look-up is a scan). Decoding concatenates the ids' pieces. A word
 that is in the table is its own token, as in the original. No shuffle: blocks are independent and of bounded size.
 
+Merges are applied in order of rank. That is what merging the least pair again and again does, provided that a merge
+never makes a pair of lower rank than its own: :func:`consistent` checks it for a table.
+
 A null text is empty and has no tokens. Repeated rows are encoded one by one. Other columns are not read.
 """
 
@@ -22,9 +24,10 @@ from .pretokens import character_classes, cuts_with_blanks
 from .shared import mixed, prefix_hashes, slice_hashes, slices, text_bytes
 
 #: Bytes of text whose distinct words are kept together.
-BLOCK_BYTES = 48 << 20
-#: A longer word merges every occurrence of the least pair in one step, so that steps follow its distinct pairs.
-LONG_WORD = 128
+BLOCK_BYTES = 16 << 20
+#: Borders of a word up to this length are the bits of one number; a longer word merges in rounds, each all of the
+#: least pair.
+LONG_WORD = 60
 _BUCKET_BITS = 16
 _BLOCK = "docs array<bigint>, counts array<int>, codes binary, words array<binary>"
 
@@ -34,6 +37,21 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
 
 
+def consistent(ranks: dict[bytes, int]) -> bool:
+    """Whether every entry is encoded as itself, by merges of ranks up to its own."""
+    for entry, own in ranks.items():
+        parts, last = [entry[i : i + 1] for i in range(len(entry))], -1
+        while len(parts) > 1:
+            options = [(ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ranks]
+            if not options:
+                return False
+            rank, i = min(options)
+            if rank < last or rank > own:
+                return False
+            parts[i : i + 2], last = [parts[i] + parts[i + 1]], rank
+    return True
+
+
 def words_by_block(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Blocks of texts: doc ids, words per text, each word's place in the block's list of distinct words."""
     classes = docs.sparkSession.sparkContext.broadcast(character_classes())
@@ -91,8 +109,8 @@ class Ranks:
 
     mask = (1 << _BUCKET_BITS) - 1
 
-    def __init__(self, table: Column, pieces: Column):
-        self.table, self.pieces = table, pieces
+    def __init__(self, table: Column, pieces: Column, longest: int):
+        self.table, self.pieces, self.longest = table, pieces, longest
 
     @classmethod
     def literals(cls, spark, ranks: dict[bytes, int]) -> tuple[Column, Column]:
@@ -112,36 +130,32 @@ class Ranks:
     def rank(self, piece: Column) -> Column:
         return F.element_at(F.get(self.table, F.hash(piece).bitwiseAND(self.mask)), piece)
 
-    def merged_once(self, word: Column, state: Column) -> Column:
-        """The leftmost pair of least rank joined; unchanged where no pair has a rank.
-
-        cuts: where pieces begin, and the end; ranks: of pieces k and k + 1 joined, with a null before and after.
+    def merged_by_rank(self, word: Column) -> Column:
+        """Token ids of a word of at most ``LONG_WORD`` bytes: its substrings in the table, in order of rank, then from
+        the left, folded over a bit set of piece borders. A substring is merged where it is two adjacent pieces by then.
         """
-        cuts, ranks = state["cuts"], state["ranks"]
-        size = F.size(cuts)
-
-        def join(at: Column) -> Column:
-            span = lambda low, high: self.rank(F.substring(word, F.get(cuts, low), F.get(cuts, high) - F.get(cuts, low)))
-            left = F.when(at > 2, span(at - 3, at))
-            right = F.when(at < size - 1, span(at - 2, at + 1))
-            return F.struct(
-                F.concat(F.slice(cuts, F.lit(1), at - 1), F.slice(cuts, at + 1, size)).alias("cuts"),
-                F.concat(F.slice(ranks, F.lit(1), at - 2), F.array(left, right), F.slice(ranks, at + 2, size)).alias("ranks"),
-            )
-
-        least = F.array_min(ranks)
-        return F.when(least.isNull(), state).otherwise(_bound(F.array_position(ranks, least).cast("int"), join))
-
-    def merged_one_by_one(self, word: Column) -> Column:
-        """Token ids of a word by as many merges as it takes, at most one less than its bytes."""
         n = F.length(word)
-        none = F.lit(None).cast("int")
-        pairs = F.transform(F.sequence(F.lit(1), n - 1), lambda i: self.rank(F.substring(word, i, F.lit(2))))
-        start = F.struct(F.sequence(F.lit(1), n + 1).alias("cuts"), F.concat(F.array(none), pairs, F.array(none)).alias("ranks"))
-        return F.aggregate(
-            F.sequence(F.lit(2), n), start, lambda s, _: self.merged_once(word, s),
-            lambda s: F.zip_with(F.slice(s["cuts"], F.lit(1), F.size(s["cuts"]) - 1), F.slice(s["cuts"], F.lit(2), F.size(s["cuts"])), lambda x, y: self.rank(F.substring(word, x, y - x))),
-        )
+        one = F.lit(1).cast("bigint")
+        bit = lambda i: F.call_function("shiftleft", one, i)
+        # rank, start and end of a substring in one number, so that sorting needs no structs
+        packed = F.flatten(F.transform(F.sequence(F.lit(0), n - 2), lambda start: F.transform(
+            F.sequence(start + 2, F.least(n, start + self.longest)),
+            lambda end: self.rank(F.substring(word, start + 1, end - start)).cast("bigint") * 65536 + (start * 256 + end),
+        )))
+        merges = F.array_sort(F.filter(packed, lambda x: x.isNotNull()))
+
+        def merge(borders: Column, x: Column) -> Column:
+            end = bit(x.bitwiseAND(255).cast("int"))
+            start = bit(F.shiftright(x, 8).bitwiseAND(255).cast("int"))
+            inside = borders.bitwiseAND(end - start - start)
+            apart = (F.bit_count(inside) == 1) & (borders.bitwiseAND(start + end) == start + end)
+            return F.when(apart, borders - inside).otherwise(borders)
+
+        def pieces(borders: Column) -> Column:
+            cuts = F.filter(F.sequence(F.lit(0), n), lambda i: borders.bitwiseAND(bit(i)) != 0)
+            return _bound(cuts, lambda c: F.zip_with(F.slice(c, F.lit(1), F.size(c) - 1), F.slice(c, F.lit(2), F.size(c)), lambda x, y: self.rank(F.substring(word, x + 1, y - x))))
+
+        return _bound(F.aggregate(merges, bit(n + 1) - 1, merge), pieces)
 
     def pair_ranks(self, pieces: Column) -> Column:
         following = F.slice(pieces, F.lit(2), F.size(pieces))
@@ -175,7 +189,7 @@ class Ranks:
     def encode(self, word: Column) -> Column:
         """Token ids of one word (binary, not empty)."""
         whole = self.rank(word)
-        folded = F.when(F.length(word) <= LONG_WORD, self.merged_one_by_one(word)).otherwise(self.merged_in_rounds(word))
+        folded = F.when(F.length(word) <= LONG_WORD, self.merged_by_rank(word)).otherwise(self.merged_in_rounds(word))
         return _bound(whole, lambda w: F.when(w.isNotNull(), F.array(w)).otherwise(folded))
 
     def _step(self, state: Column, _: Column) -> Column:
@@ -231,8 +245,9 @@ def _assembled(batches):
 
 def encode(docs: DataFrame, ranks_path: str, doc: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per document: doc_id, ids (array<int>), decoded (binary, the ids' pieces one after another)."""
-    table, pieces = Ranks.literals(docs.sparkSession, read_ranks(ranks_path))
-    by_rank = Ranks(F.col("table"), F.col("pieces"))
+    ranks = read_ranks(ranks_path)
+    table, pieces = Ranks.literals(docs.sparkSession, ranks)
+    by_rank = Ranks(F.col("table"), F.col("pieces"), max(map(len, ranks)))
     blocks = words_by_block(docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")), block_bytes)
     encoded = blocks.withColumns({"table": table, "pieces": pieces}).withColumn("ids", F.transform("words", by_rank.encode))
     decoded = encoded.select("docs", "counts", "codes", "ids", F.transform("ids", by_rank.decode).alias("texts"))

@@ -37,6 +37,12 @@ def test_cuts_equal_the_pattern():
         assert cuts_with_blanks(points, first, table).tolist() == want
 
 
+def test_table_is_consistent():
+    ranks = B.read_ranks(PATH)
+    assert B.consistent(ranks)
+    assert not B.consistent({b"a": 0, b"b": 1, b"c": 2, b"abc": 3, b"ab": 4})
+
+
 def test_ids_and_round_trip(spark, library):
     draw = random.Random(3)
     texts = [None, *ODD, *("".join(draw.choice("ab '\n\tsvelrdm1½é日!") for _ in range(draw.randint(1, 60))) for _ in range(300))]
