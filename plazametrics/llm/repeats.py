@@ -8,8 +8,8 @@ round, and positions whose name is unique are out. Names are hashes rather than
 equality matters here. What is left after the last round (all bytes that every string of an anchor has in common) is
 grouped by the digest of these bytes, and the strings' differing first and last bytes are compared there.
 
-A group of more than ``hot`` positions is not brought together: its strings become rows, which are counted before the
-shuffle and joined with their counts.
+A group of more than ``hot`` positions is not brought together but split by salts: each part finds the strings that it
+has more than once, and then sends every string once, with its place where it is still alone, to be counted over parts.
 
 Texts are UTF-8 bytes; a null text is empty; strings never cross texts. Repeated rows are copies of each other: all
 their bytes go, from every copy, where they have ``length`` or more. Exact copies are found by their digest and looked
@@ -22,10 +22,11 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import BitFilter, mixed, powers, prefix_hashes, signed, slice_hashes, slices, stored, text_bytes
+from .shared import BASE, BitFilter, mixed, prefix_hashes, signed, slice_hashes, slices, stored, text_bytes
 
 LENGTH = 400
 HOT = 1024
@@ -122,103 +123,94 @@ def _counted(texts: DataFrame, g: Geometry, done: list, rounds: int) -> DataFram
     return texts.mapInArrow(named, "name bigint, n bigint").groupBy("name").agg(F.sum("n").alias("n"))
 
 
+OTHER_BASE = 0xC2B2AE3D27D4EB4F
+
+
 def _windows(left: np.ndarray, left_at: np.ndarray, right: np.ndarray, right_at: np.ndarray, g: Geometry, core: np.ndarray, low: np.ndarray, high: np.ndarray):
-    """Row, start and name of every string of the rows; ``low``/``high``: bytes before the anchor at which they start."""
+    """Row, bytes before the anchor, and two names of every string of the rows; ``core``: two numbers a row."""
     rows = np.repeat(np.arange(len(low)), high - low + 1)
     first = np.concatenate([[0], np.cumsum(high - low + 1)])
     before = low[rows] + (np.arange(len(rows)) - first[rows])
-    left_hash, right_hash = prefix_hashes(left), prefix_hashes(right)
-    a = slice_hashes(left_hash, left_at[rows + 1] - before, left_at[rows + 1])
-    b = slice_hashes(right_hash, right_at[rows], right_at[rows] + (g.length - g.core - before))
-    name = mixed(mixed(mixed(core[rows] + before.astype(np.uint64)) ^ a) + b)
-    return rows, before, name
-
-
-def _live(batches, g: Geometry, done: list, hot, strings: bool):
-    """Slices with their texts' keys, the anchors still in (the hot ones for ``strings``), and their texts."""
-    filters, busy, seen = [BitFilter(*b.value) for b in done], BitFilter(*hot.value), Seen()
-    for part in map(seen.first, slices(batches, "text")):
-        a = Anchors(part.column(1), g)
-        for r, known in enumerate(filters):
-            a.keep(known.has(a.names(g, r)))
-        a.keep(busy.has(a.names(g, ROUNDS - 1)) == strings)
-        yield part.column(0).to_pylist(), a, np.searchsorted(a.offsets, a.at, "right") - 1
-
+    names = []
+    for k, base in enumerate((BASE, OTHER_BASE)):
+        a = slice_hashes(prefix_hashes(left, base), left_at[rows + 1] - before, left_at[rows + 1], base)
+        b = slice_hashes(prefix_hashes(right, base), right_at[rows], right_at[rows] + (g.length - g.core - before), base)
+        names.append(mixed(mixed(mixed(core[rows, k] + before.astype(np.uint64)) ^ a) + b))
+    return rows, before, names[0], names[1]
 
-def _batch(rows: list, names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
-    columns = list(zip(*rows)) or [[]] * len(names)
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
 
+def _around(texts: DataFrame, g: Geometry, done: list, hot: list) -> DataFrame:
+    """Positions that are still in: the digest of their common bytes and what stands around them.
 
-def _around(texts: DataFrame, g: Geometry, done: list, hot) -> DataFrame:
-    """Positions that are still in, but for hot ones: the digest of their common bytes and what stands around them."""
+    ``salt`` is -1, or for hot positions a number by which their group is split.
+    """
+    schema = "core binary, salt int, key binary, at int, low int, high int, before binary, after binary"
+    kinds = [pa.binary(), pa.int32(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
 
     def rows_of(batches):
-        for keys, a, doc in _live(batches, g, done, hot, False):
+        filters, seen = [BitFilter(*b.value) for b in done], Seen()
+        tiers = [(BitFilter(*b.value), n) for b, n in hot]
+        for part in map(seen.first, slices(batches, "text")):
+            keys = part.column(0).to_pylist()
+            a = Anchors(part.column(1), g)
+            for r, known in enumerate(filters):
+                a.keep(known.has(a.names(g, r)))
+            doc = np.searchsorted(a.offsets, a.at, "right") - 1
+            salt = np.full(len(a.at), -1)
+            own = np.array([int.from_bytes(k[:4], "little") for k in keys], np.int64)[doc] if len(doc) else salt
+            for busy, n in tiers:
+                salt = np.where(busy.has(a.names(g, ROUNDS - 1)), own % n, salt)
             data, rows = a.data.tobytes(), []
-            for at, low, high, d, b in zip(a.at.tolist(), a.low.tolist(), a.high.tolist(), doc.tolist(), a.offsets[doc].tolist()):
+            for at, low, high, d, b, s in zip(a.at.tolist(), a.low.tolist(), a.high.tolist(), doc.tolist(), a.offsets[doc].tolist(), salt.tolist()):
                 core = hashlib.md5(data[at : at + g.core]).digest()
-                rows.append((core, keys[d], at - b, at - high, at - low, data[low:at], data[at + g.core : high + g.length]))
-            yield _batch(rows, ["core", "key", "at", "low", "high", "before", "after"], [pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()])
-
-    return texts.mapInArrow(rows_of, "core binary, key binary, at int, low int, high int, before binary, after binary")
-
+                rows.append((core, s, keys[d], at - b, at - high, at - low, data[low:at], data[at + g.core : high + g.length]))
+            columns = list(zip(*rows)) or [[]] * 8
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["core", "salt", "key", "at", "low", "high", "before", "after"])
 
-def _strings(texts: DataFrame, g: Geometry, done: list, hot) -> DataFrame:
-    """The strings of hot positions, one a row: two hashes with different bases as their name, text and start."""
-
-    def rows_of(batches):
-        for keys, a, doc in _live(batches, g, done, hot, True):
-            for low, high, d, b in zip(a.low.tolist(), a.high.tolist(), doc.tolist(), a.offsets[doc].tolist()):
-                starts = np.arange(low, high + 1)
-                one = mixed(slice_hashes(a.prefix, starts, starts + g.length))
-                names = np.stack([one, _second(a, low, high, g)], axis=1).tobytes()
-                yield _batch([(names[16 * i : 16 * i + 16], keys[d], s - b) for i, s in enumerate(starts.tolist())], ["name", "key", "start"], [pa.binary(), pa.binary(), pa.int32()])
-
-    return texts.mapInArrow(rows_of, "name binary, key binary, start int")
-
-
-def _second(a: Anchors, low: int, high: int, g: Geometry) -> np.ndarray:
-    """Another hash of the strings that start at low to high."""
-    base = 0xC2B2AE3D27D4EB4F
-    part = a.data[low : high + g.length].astype(np.uint64) + np.uint64(7)
-    total = np.zeros(len(part) + 1, np.uint64)
-    np.cumsum(part * powers(base, len(part)), out=total[1:])
-    n = high - low + 1
-    return mixed((total[g.length : g.length + n] - total[:n]) * powers(pow(base, -1, 1 << 64), n))
+    return texts.mapInArrow(rows_of, schema)
 
 
 def _grouped(batches, g: Geometry, rows_at_once: int = 20_000):
-    """Within sorted groups of one core: the strings that occur more than once, as spans of their texts."""
+    """Within sorted groups of one core and salt: the strings that occur more than once, as spans of their texts.
+
+    Of salted groups also every string, once, as a row with its name, and its place where it occurs once.
+    """
     held: list[pa.RecordBatch] = []
+    names = ["key", "start", "end", "name"]
 
     def spans(table: pa.Table):
         batch = table.combine_chunks().to_batches()[0]
         # Copies of a text that other tasks read: the same position again.
-        keys, at = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+        keys, at = batch.column(2).to_pylist(), batch.column(3).to_pylist()
         same = [i == 0 or (keys[i], at[i]) != (keys[i - 1], at[i - 1]) for i in range(len(at))]
         batch = batch if all(same) else batch.filter(pa.array(same))
-        core_bytes = batch.column(0)
-        core = np.frombuffer(b"".join(core_bytes.to_pylist()), np.uint64).reshape(-1, 2)
-        core = mixed(core[:, 0] ^ mixed(core[:, 1]))
-        low, high = (batch.column(i).to_numpy().astype(np.int64) for i in (3, 4))
-        left, left_at = text_bytes(batch.column(5))
-        right, right_at = text_bytes(batch.column(6))
-        rows, before, name = _windows(left, left_at, right, right_at, g, core, low, high)
-        _, inverse, n = np.unique(name, return_inverse=True, return_counts=True)
+        core = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint64).reshape(-1, 2)
+        salt, at, low, high = (batch.column(i).to_numpy().astype(np.int64) for i in (1, 3, 4, 5))
+        # Strings of different salts are not compared here.
+        core_here = core ^ mixed(salt.astype(np.uint64))[:, None]
+        around = (*text_bytes(batch.column(6)), *text_bytes(batch.column(7)))
+        rows, before, name, _ = _windows(*around, g, core_here, low, high)
+        _, first, inverse, n = np.unique(name, return_index=True, return_inverse=True, return_counts=True)
         hit = np.flatnonzero(n[inverse] > 1)
-        if not len(hit):
-            return
-        rows, before = rows[hit], before[hit]
+        r, back = rows[hit], before[hit]
         new = np.ones(len(hit), bool)
-        new[1:] = (rows[1:] != rows[:-1]) | (before[1:] != before[:-1] + 1)
+        new[1:] = (r[1:] != r[:-1]) | (back[1:] != back[:-1] + 1)
         begin = np.flatnonzero(new)
-        end = np.append(begin[1:], len(hit)) - 1
-        at = batch.column(2).to_numpy().astype(np.int64)[rows[begin]]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(1).take(pa.array(rows[begin])), pa.array(at - before[end], pa.int32()), pa.array(at - before[begin] + g.length, pa.int32())],
-            names=["key", "start", "end"],
-        )
+        end = np.append(begin[1:], len(hit))[: len(begin)] - 1
+        if len(begin):
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(2).take(pa.array(r[begin])), pa.array(at[r[begin]] - back[end], pa.int32()), pa.array(at[r[begin]] - back[begin] + g.length, pa.int32()), pa.nulls(len(begin), pa.binary())],
+                names=names,
+            )
+        split = first[salt[rows[first]] >= 0]
+        if len(split):
+            both = _windows(*around, g, core, low, high)[2:]
+            whole = np.stack([both[0][split], both[1][split]], axis=1).tobytes()
+            alone = n[inverse[split]] == 1
+            r, back = rows[split], before[split]
+            place = lambda values: pa.array(values, pa.int32(), mask=~alone)
+            owner = batch.column(2).take(pa.array(r, mask=~alone))
+            yield pa.RecordBatch.from_arrays([owner, place(at[r] - back), place(at[r] - back + g.length), pa.array([whole[16 * i : 16 * i + 16] for i in range(len(split))], pa.binary())], names=names)
 
     for batch in batches:
         if not batch.num_rows:
@@ -226,9 +218,9 @@ def _grouped(batches, g: Geometry, rows_at_once: int = 20_000):
         held.append(batch)
         if sum(b.num_rows for b in held) >= rows_at_once:
             table = pa.Table.from_batches(held)
-            cores = table.column(0).combine_chunks()
-            last = cores[len(cores) - 1]
-            same = pa.compute.equal(cores, last).to_numpy(zero_copy_only=False)
+            cores, salts = table.column(0).combine_chunks(), table.column(1).combine_chunks()
+            last = len(cores) - 1
+            same = pc.and_(pc.equal(cores, cores[last]), pc.equal(salts, salts[last])).to_numpy(zero_copy_only=False)
             cut = int(np.argmax(same))
             if cut:
                 yield from spans(table.slice(0, cut))
@@ -244,21 +236,27 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT, text:
     plain = F.coalesce(F.col(text), F.lit("")).cast("string")
     texts = docs.select(plain.alias("text")).where(F.octet_length("text") >= length).select(F.unhex(F.md5(F.col("text").cast("binary"))).alias("key"), "text")
     done: list = []
+    tiers: list = []
     for r in range(ROUNDS):
         counted = _counted(texts, g, done, r).where("n > 1")
         if r == ROUNDS - 1:
             counted = stored(counted, "names")
-            busy = BitFilter.of(counted.where(F.col("n") > hot), "name", 22)
-            any_busy = bool(busy.bits.any())
-            busy = sc.broadcast((busy.bits, busy.log2))
+            for least, n in ((hot, 64), (64 * hot, 4096), (4096 * hot, 1 << 18)):
+                busy = BitFilter.of(counted.where(F.col("n") > least), "name", 22)
+                if busy.bits.any():
+                    tiers.append((sc.broadcast((busy.bits, busy.log2)), n))
         known = BitFilter.of(counted, "name", 26)
         done.append(sc.broadcast((known.bits, known.log2)))
-    apart = _around(texts, g, done, busy).repartition("core").sortWithinPartitions("core", "key", "at")
-    every = apart.mapInArrow(lambda b: _grouped(b, g), "key binary, start int, end int")
-    if any_busy:
-        strings = stored(_strings(texts, g, done, busy).distinct(), "strings")
-        again = strings.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("name")
-        every = every.unionByName(strings.join(again, "name").select("key", "start", (F.col("start") + length).alias("end")))
+    apart = _around(texts, g, done, tiers).repartition("core", "salt").sortWithinPartitions("core", "salt", "key", "at")
+    every = apart.mapInArrow(lambda b: _grouped(b, g), "key binary, start int, end int, name binary")
+    if tiers:
+        every = stored(every, "spans")
+        # A salted group gives a place only for a string that is alone there: no more of them than salts meet here.
+        places = F.collect_list(F.when(F.col("key").isNotNull(), F.struct("key", "start", "end"))).alias("places")
+        across = every.where("name is not null").groupBy("name").agg(F.count(F.lit(1)).alias("groups"), places).where("groups > 1")
+        every = every.where("name is null").drop("name").unionByName(across.select(F.inline("places")))
+    else:
+        every = every.drop("name")
     copies = texts.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max(F.octet_length("text")).alias("end")).where("n > 1").select("key", F.lit(0).alias("start"), "end")
     return every.unionByName(copies).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
 
