@@ -22,7 +22,7 @@ CATEGORY_NOISE = rf"(?iu)^(?:{FLOOR_FORM}|\d+/(?:{FLOOR_FORM}|商场内)|月|\.*
 
 @F.pandas_udf(T.StringType())
 def nfkc(values: pd.Series) -> pd.Series:
-    return values.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
+    return values.map(lambda v: v if v is None or v.isascii() else unicodedata.normalize("NFKC", v))
 
 
 def strip(value: Column) -> Column:
@@ -66,7 +66,7 @@ def normalize_floor(value: Column) -> Column:
 
 def has_exact_token(metadata: Column, accepted: Iterable[str]) -> Column:
     """True if one of the ``|``-separated tokens equals an accepted token."""
-    tokens = F.transform(F.split(F.coalesce(metadata, F.lit("")), r"\|"), squeeze)
+    tokens = F.transform(F.split(nfkc(F.coalesce(metadata, F.lit(""))), r"\|"), squeeze)
     return F.arrays_overlap(tokens, F.array(*[F.lit(a) for a in accepted]))
 
 

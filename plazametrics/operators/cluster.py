@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import block_pairs, distances, stack
-from .moments import added, is_few
+from .moments import added
 from .simplex import convex_weights, project_rows
 
 
@@ -50,7 +50,7 @@ def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return distances(x, centres).argmin(axis=1)
 
 
-def lloyd_step(df: DataFrame, vector: str, runs: Sequence[Run], few: bool = False) -> list[np.ndarray]:
+def lloyd_step(df: DataFrame, vector: str, runs: Sequence[Run]) -> list[np.ndarray]:
     """One assign-and-average pass for every run; an empty group keeps its centre."""
     live = [(i, r.centres) for i, r in enumerate(runs) if not r.done]
 
@@ -65,7 +65,7 @@ def lloyd_step(df: DataFrame, vector: str, runs: Sequence[Run], few: bool = Fals
 
     updated = [r.centres.copy() for r in runs]
     parts = df.select(vector).mapInPandas(sums, "run int, sums array<double>")
-    for (run,), flat in added(parts, ["run"], few).items():
+    for (run,), flat in added(parts, ["run"]).items():
         table = flat.reshape(len(updated[run]), -1)
         held = table[:, -1] > 0
         updated[run][held] = table[held, :-1] / table[held, -1:]
@@ -78,11 +78,10 @@ def kmeans(
 ) -> list[Run]:
     """Lloyd's algorithm for every (k, seed) until the centres stand still."""
     runs = random_starts(df, row_id, vector, list(ks), list(seeds))
-    few = is_few(df)
     for _ in range(iterations):
         if all(r.done for r in runs):
             break
-        for run, centres in zip(runs, lloyd_step(df, vector, runs, few)):
+        for run, centres in zip(runs, lloyd_step(df, vector, runs)):
             run.done = run.done or np.allclose(centres, run.centres)
             run.centres = centres
     return runs
@@ -288,7 +287,7 @@ def archetypes(
     width = len(atoms[0][0][1])
     residuals, previous = np.full(restarts, np.inf), np.full(restarts, np.inf)
     live = list(range(restarts))
-    spread, few = None, is_few(df)
+    spread = None
     best: tuple[float, np.ndarray, list[dict]] | None = None
     for _ in range(rounds):
         corners = {r: mixes[r] @ np.stack([x for _, x in atoms[r]]) for r in live}
@@ -306,7 +305,7 @@ def archetypes(
             yield pd.DataFrame({"run": list(totals), "sums": list(totals.values())})
 
         parts = df.select(vector).mapInPandas(sums, "run int, sums array<double>")
-        table = {r: flat for (r,), flat in added(parts, ["run"], few).items()}
+        table = {r: flat for (r,), flat in added(parts, ["run"]).items()}
         if spread is None:
             mean = table[live[0]][k * k + k * width : -2] / table[live[0]][-1]
 

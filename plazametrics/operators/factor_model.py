@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import stack
-from .moments import added, is_few
+from .moments import added
 
 PRIOR_SD_INTERCEPT, PRIOR_SD_LOADING = 3.0, 1.0
 
@@ -82,7 +82,7 @@ def fit(
     bounds the softmax curvature at the current point; a step that does not help is halved.
     """
     first = vectors.select(F.size(counts).alias("width")).first()
-    width, few = first["width"], is_few(vectors)
+    width = first["width"]
     rng = np.random.default_rng(seed)
     models = {k: (np.zeros(width), identified(0.3 * rng.standard_normal((width, k)))) for k in factors}
     good: dict[int, tuple[float, np.ndarray, np.ndarray]] = {}
@@ -116,7 +116,7 @@ def fit(
             yield pd.DataFrame({"k": list(totals), "sums": list(totals.values())})
 
         parts = vectors.select(counts).mapInPandas(sums, "k int, sums array<double>")
-        merged = added(parts, ["k"], few)
+        merged = added(parts, ["k"])
         for k, (mu, load) in live.items():
             flat = merged[(k,)]
             gradient = flat[: width * (k + 1)].reshape(width, k + 1)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,12 +31,18 @@ def key_differences(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 
 
 def strict_join(parts: Sequence[DataFrame], key: str) -> DataFrame:
-    """One-to-one join of tables that must hold the same keys; refuses any difference."""
+    """One-to-one join of tables that must hold the same keys once each; refuses any difference or repeat."""
+    sides = [p.select(F.col(key), F.lit(i).alias("_i")) for i, p in enumerate(parts)]
+    every = sides[0]
+    for side in sides[1:]:
+        every = every.unionByName(side)
+    counts = every.groupBy(key).agg(*[F.count_if(F.col("_i") == i).alias(f"n{i}") for i in range(len(parts))])
+    once = [F.col(f"n{i}") == 1 for i in range(len(parts))]
+    wrong = counts.where(~reduce(and_, once) | F.col(key).isNull()).limit(5).collect()
+    if wrong:
+        raise ValueError(f"keys differ or repeat (key, rows on each side): {[tuple(r) for r in wrong]}")
     result = parts[0]
     for part in parts[1:]:
-        difference = key_differences(result, part, key).limit(5).collect()
-        if difference:
-            raise ValueError(f"keys differ: {[tuple(r) for r in difference]}")
         result = result.join(part, key)
     return result
 
@@ -72,13 +80,15 @@ def merge_seed_years(records: DataFrame, seeds: DataFrame, key: str) -> DataFram
     )
 
 
-def best_candidate(candidates: DataFrame, key: str, wanted: str, ordinal: str) -> DataFrame:
+def best_candidate(candidates: DataFrame, key: str, wanted: str, ordinal: str, venues: DataFrame | None = None) -> DataFrame:
     """Best point of interest per venue and the status of the search.
 
-    The expected district filters candidates only where one of them lies in it. The first
+    ``venues`` holds all keys that were searched for: one without candidates is a ``no_match``. Missing fields of a
+    candidate count as empty. The expected district filters candidates only where one of them lies in it. The first
     candidate wins a tie.
     """
-    expected = F.coalesce("expected_district", F.lit(""))
+    candidates = candidates.na.fill("", ["expected_district", "adname", "typecode", "poi_name"])
+    expected = F.col("expected_district")
     here = F.col("adname") == expected
     hits = candidates.groupBy(key).agg(F.max((expected != "") & here).alias("_hit"))
     pool = candidates.join(hits, key).where(~F.col("_hit") | here)
@@ -98,7 +108,7 @@ def best_candidate(candidates: DataFrame, key: str, wanted: str, ordinal: str) -
         F.when(F.col("b").isNull(), "no_match")
         .when(mismatch, F.concat(F.lit("district_mismatch:"), F.col("b.adname"))).otherwise("ok")
     )
-    every = candidates.select(key).distinct().join(best, key, "left")
+    every = (candidates if venues is None else venues).select(key).distinct().join(best, key, "left")
     found = status == "ok"
     return every.select(
         key, status.alias("status"),

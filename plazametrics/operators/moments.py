@@ -34,24 +34,10 @@ class Moments:
         return self.gram - np.outer(self.total, self.total) / self.n
 
 
-FEW_PARTS = 64
-
-
-def is_few(df: DataFrame) -> bool:
-    """Few enough partitions for one row each to go straight to the driver."""
-    return df.rdd.getNumPartitions() <= FEW_PARTS
-
-
-def added(parts: DataFrame, keys: Sequence[str], few: bool = False) -> dict[tuple, np.ndarray]:
-    """Sum the ``sums`` arrays of each key; on Spark unless there are only ``few`` partial rows."""
+def added(parts: DataFrame, keys: Sequence[str]) -> dict[tuple, np.ndarray]:
+    """Sum the ``sums`` arrays of each key on the executors; one array a key reaches the driver."""
     names = list(keys)
     result: dict[tuple, np.ndarray] = {}
-    if few:
-        for row in parts.select(*names, "sums").collect():
-            key = tuple(row[g] for g in names)
-            values = np.asarray(row["sums"])
-            result[key] = result[key] + values if key in result else values
-        return result
     summed = (
         parts.select(*names, F.posexplode("sums")).groupBy(*names, "pos").agg(F.sum("col").alias("s")).groupBy(*names)
         .agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "s"))), lambda e: e["s"]).alias("sums"))
@@ -62,7 +48,7 @@ def added(parts: DataFrame, keys: Sequence[str], few: bool = False) -> dict[tupl
 
 
 def moments(
-    df: DataFrame, vector: str, groups: Sequence[str] = (), weight: str | None = None, few: bool = False
+    df: DataFrame, vector: str, groups: Sequence[str] = (), weight: str | None = None
 ) -> dict[tuple, Moments]:
     """Weighted moments per group (one entry, keyed ``()``, without groups)."""
     names = list(groups)
@@ -85,7 +71,7 @@ def moments(
     types = dict(df.dtypes)
     schema = ", ".join([f"{g} {types[g]}" for g in names] + ["sums array<double>"])
     result = {}
-    for key, flat in added(df.select(*columns).mapInPandas(reduce_batches, schema), names, few).items():
+    for key, flat in added(df.select(*columns).mapInPandas(reduce_batches, schema), names).items():
         p = int(round((np.sqrt(1 + 4 * (len(flat) - 1)) - 1) / 2))
         result[key] = Moments(flat[0], flat[1 : p + 1], flat[p + 1 :].reshape(p, p))
     return result

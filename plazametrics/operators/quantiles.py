@@ -8,29 +8,33 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+BINS = 64
+
+
 def _binned(df: DataFrame, keys: Sequence[str], value: str, weight: str | None, bins: int) -> DataFrame:
-    """(keys, value) counts with the group's size and an equal-width bin per value."""
+    """(keys, value) counts with the group's size and a bin for each value.
+
+    Bins are cut at approximate quantiles of the group's different values, so that each holds about as many of them
+    however far they lie apart; counts per bin are exact all the same.
+    """
     amount = F.sum(weight) if weight else F.count("*")
     counts = (
         df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v"))
         .agg(amount.cast("bigint").alias("_n")).where(F.col("_n") > 0)
     )
-    span = counts.groupBy(*keys).agg(
-        F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("_size")
-    )
+    cuts = F.percentile_approx("_v", [i / bins for i in range(1, bins)], 20 * bins)
+    span = counts.groupBy(*keys).agg(cuts.alias("_cuts"), F.sum("_n").alias("_size"))
     if keys:
         held = counts.join(span, list(keys))
     else:
-        one = span.select(F.struct("_lo", "_hi", "_size").alias("s")).scalar()
+        one = span.select(F.struct("_cuts", "_size").alias("s")).scalar()
         held = counts.withColumn("_s", one).select("_v", "_n", "_s.*")
-    width = F.col("_hi") - F.col("_lo")
-    place = F.floor((F.col("_v") - F.col("_lo")) / F.nullif(width, F.lit(0.0)) * bins)
-    return held.withColumn("_bin", F.least(F.coalesce(place, F.lit(0)), F.lit(bins - 1)))
+    return held.withColumn("_bin", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))).drop("_cuts")
 
 
 def order_statistics(
     df: DataFrame, keys: Sequence[str], value: str, ranks: dict[str, Column], weight: str | None = None,
-    bins: int = 1024,
+    bins: int = BINS,
 ) -> DataFrame:
     """Values at 1-based ranks per group.
 

@@ -36,12 +36,17 @@ class NameSettings:
     )
 
 
-def apply_aliases(df: DataFrame, aliases: DataFrame, name: str) -> DataFrame:
-    """Append ``canonical_brand_name`` and ``correction_method`` by alias look-up."""
-    book = aliases.select(
-        tx.brand_key(F.col("alias")).alias("_alias_key"), F.col("canonical_brand_name").alias("_target")
-    ).dropDuplicates(["_alias_key"])
-    joined = df.join(book, tx.brand_key(F.col(name)) == F.col("_alias_key"), "left")
+def apply_aliases(df: DataFrame, aliases: DataFrame, name: str, ordinal: str | None = None) -> DataFrame:
+    """Append ``canonical_brand_name`` and ``correction_method`` by alias look-up.
+
+    Inactive rows of the book are not used; of several rows for one alias the last counts, by ``ordinal`` or else by
+    their order in the book. Spellings are compared in NFKC.
+    """
+    place = F.col(ordinal) if ordinal else F.monotonically_increasing_id()
+    book = rl.active_rows(aliases).withColumn("_place", place).select(
+        tx.brand_key(tx.nfkc("alias")).alias("_alias_key"), F.col("canonical_brand_name").alias("_target"), "_place"
+    ).groupBy("_alias_key").agg(F.max_by("_target", "_place").alias("_target"))
+    joined = df.join(book, tx.brand_key(tx.nfkc(F.col(name))) == F.col("_alias_key"), "left")
     return (
         joined.withColumn("canonical_brand_name", F.coalesce("_target", F.col(name)))
         .withColumn(
@@ -74,8 +79,9 @@ def preprocess(
     ``factored`` classifies distinct category texts and joins them back, which pays when a
     long rule table meets many rows per text.
     """
+    cleaned = {c: tx.clean(F.col(c)) for c in ("merchant_name_normalized", "merchant_name_raw", "mall_name") if c in df.columns}
     given = F.col("merchant_name_normalized")
-    named = df.withColumn("_name", F.when(given != "", given).otherwise(F.col("merchant_name_raw")))
+    named = df.withColumns(cleaned).withColumn("_name", F.when(given != "", given).otherwise(F.col("merchant_name_raw")))
     rows = apply_aliases(rl.classify(named, "category_raw", mapping, factored), aliases, "_name").drop("_name")
     rows = rl.pair_exclusion_flag(rows, manual, "mall_name", "canonical_brand_name")
     is_new = tx.has_exact_token(F.col("metadata_text"), switches.new_store_tokens)
@@ -388,16 +394,13 @@ def lineage(
     )
 
 
-def merged_text(long: DataFrame, keys: Sequence[str], value: str, out: str, longest: int = 10_000) -> DataFrame:
-    """Sorted distinct values joined by `` | `` for groups of at most ``longest`` values.
+def merged_text(long: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
+    """Sorted distinct values of each group joined by `` | ``, whole, whatever their number.
 
-    Longer groups get NULL: their values stay readable, whole, in ``long`` itself.
+    The cell is as long as the group has different values; ``long`` holds the same values as rows.
     """
     values = long.select(*keys, value).distinct().where(F.col(value).cast("string") != "")
-    sizes = values.groupBy(*keys).agg(F.count("*").alias("_n"))
-    small = values.join(sizes.where(F.col("_n") <= longest), list(keys))
-    joined = small.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list(value)).cast("array<string>"), " | ").alias(out))
-    return sizes.drop("_n").join(joined, list(keys), "left")
+    return values.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list(value)).cast("array<string>"), " | ").alias(out))
 
 
 def duplicate_audit(

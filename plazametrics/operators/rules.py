@@ -7,13 +7,15 @@ joined back when ``factored`` is asked for, which pays when rows far outnumber v
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import UNMAPPED, squeeze
+from ..functions.numeric import as_bool
+from ..functions.text import UNMAPPED, compact, nfkc
 
 TRUE_WORDS = {"1", "true", "yes", "y"}
 LAST_PRIORITY = 9999
@@ -57,17 +59,23 @@ def rules_from_rows(rows: Iterable[dict]) -> list[Rule]:
     return rules
 
 
+def active_rows(table: DataFrame) -> DataFrame:
+    """Rows of a configuration table that are switched on; all where it has no ``active`` column."""
+    return table.where(as_bool(F.coalesce("active", F.lit("TRUE")))) if "active" in table.columns else table
+
+
 def in_order(rules: Iterable[Rule]) -> list[Rule]:
     return sorted((r for r in rules if r.active), key=lambda r: (r.priority, r.ordinal))
 
 
 def matches(value: Column, match_type: str, pattern: str) -> Column:
-    """Case-insensitive exact, substring or regular-expression test."""
+    """Case-insensitive exact, substring or regular-expression test of a value in NFKC."""
     value = F.coalesce(value, F.lit(""))
+    plain = unicodedata.normalize("NFKC", pattern).strip().lower()
     if match_type == "exact":
-        return F.lower(value) == pattern.strip().lower()
+        return F.lower(value) == plain
     if match_type == "contains":
-        return F.contains(F.lower(value), F.lit(pattern.strip().lower()))
+        return F.contains(F.lower(value), F.lit(plain))
     if match_type == "regex":
         return value.rlike(f"(?iu){pattern}")
     raise ValueError(f"unknown match_type: {match_type}")
@@ -93,9 +101,9 @@ def first_match(value: Column, rules: Iterable[Rule]) -> Column:
 def classify(df: DataFrame, raw: str, rules: Iterable[Rule], factored: bool = False) -> DataFrame:
     """Append the four classification columns."""
     if not factored:
-        tagged = df.withColumn("_class", first_match(F.col(raw), rules))
+        tagged = df.withColumn("_plain", nfkc(raw)).withColumn("_class", first_match(F.col("_plain"), rules))
         return tagged.select(*[F.col(c) for c in df.columns], "_class.*")
-    vocabulary = df.select(raw).distinct().withColumn("_class", first_match(F.col(raw), rules))
+    vocabulary = df.select(raw).distinct().withColumn("_plain", nfkc(raw)).withColumn("_class", first_match(F.col("_plain"), rules))
     vocabulary = vocabulary.select(F.col(raw).alias("_raw"), "_class.*")
     return df.join(vocabulary, F.col(raw).eqNullSafe(F.col("_raw"))).drop("_raw")
 
@@ -106,7 +114,7 @@ def exclusion_reasons(df: DataFrame, rules: Iterable[Rule]) -> Column:
     for rule in in_order(rules):
         if rule.field not in df.columns:
             continue
-        hit = matches(F.col(rule.field), rule.match_type, rule.pattern)
+        hit = matches(nfkc(rule.field), rule.match_type, rule.pattern)
         if rule.action == "keep":
             kept = kept | hit
         elif rule.action == "exclude":
@@ -119,11 +127,11 @@ def exclusion_reasons(df: DataFrame, rules: Iterable[Rule]) -> Column:
 
 
 def pair_exclusion_flag(df: DataFrame, manual: DataFrame, venue: str, name: str) -> DataFrame:
-    """Append ``manual_excluded``: (venue, name) stands in the hand-made list."""
-    listed = manual.select(
-        squeeze(F.col("mall_name")).alias("_venue"), squeeze(F.col("merchant_name")).alias("_name")
+    """Append ``manual_excluded``: (venue, name) stands in an active row of the hand-made list."""
+    listed = active_rows(manual).select(
+        compact(F.col("mall_name")).alias("_venue"), compact(F.col("merchant_name")).alias("_name")
     ).distinct()
-    keyed = df.withColumn("_v", squeeze(F.col(venue))).withColumn("_n", squeeze(F.col(name)))
+    keyed = df.withColumn("_v", compact(F.col(venue))).withColumn("_n", compact(F.col(name)))
     joined = keyed.join(
         listed.withColumn("manual_excluded", F.lit(True)),
         (F.col("_v") == F.col("_venue")) & (F.col("_n") == F.col("_name")),

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .blocks import stack
 from .moments import moments
+from .quantiles import BINS
 
 
 def zscores(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -207,10 +208,9 @@ def average_ranks(df: DataFrame, value: str, out: str) -> DataFrame:
     from pyspark.sql import Window
 
     counts = df.groupBy(value).agg(F.count("*").alias("_n"))
-    span = counts.agg(F.struct(F.min(value).alias("lo"), F.max(value).alias("hi")).alias("s")).scalar()
-    held = counts.withColumn("_s", span)
-    width = F.nullif(F.col("_s.hi") - F.col("_s.lo"), F.lit(0))
-    binned = held.withColumn("_bin", F.coalesce(F.floor((F.col(value) - F.col("_s.lo")) / width * 1024), F.lit(0)))
+    # Cut at approximate quantiles of the different values, so that no bin holds most of them.
+    cuts = counts.agg(F.percentile_approx(value, [i / BINS for i in range(1, BINS)], 20 * BINS)).scalar()
+    binned = counts.withColumn("_cuts", cuts).withColumn("_bin", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
     before = binned.groupBy("_bin").agg(F.sum("_n").alias("_k")).withColumn(
         "_before",
         F.coalesce(F.sum("_k").over(Window.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),

@@ -13,6 +13,7 @@ from ..functions.text import UNMAPPED
 from ..session import checkpointed
 from .quantiles import grouped_median
 from .resolve import first_mode, merged_text
+from .rules import active_rows
 
 
 def cells(df: DataFrame, venue: str, item: str, weight: str | None = None) -> DataFrame:
@@ -37,7 +38,7 @@ def brand_coverage(df: DataFrame, venue: str, brand: str) -> DataFrame:
 
 def with_brand_metrics(df: DataFrame, venue: str, brand: str, chains: DataFrame, key: Column) -> DataFrame:
     """Append coverage and the known-chain flag to every store row."""
-    listed = chains.select(F.col("chain_key")).distinct()
+    listed = active_rows(chains).select(F.col("chain_key")).distinct()
     covered = df.join(brand_coverage(df, venue, brand), brand).withColumn("_key", key)
     flagged = covered.join(listed, F.col("_key") == F.col("chain_key"), "left")
     return flagged.withColumn("known_chain", F.col("chain_key").isNotNull()).drop("_key", "chain_key")
@@ -46,11 +47,7 @@ def with_brand_metrics(df: DataFrame, venue: str, brand: str, chains: DataFrame,
 def brand_summary(
     df: DataFrame, venue: str, brand: str, name: str, l1: str, l2: str, ordinal: str, chain: Column
 ) -> DataFrame:
-    """One row per brand: coverage, size, chain flag, main categories and venue list.
-
-    The list is NULL for brands in more venues than :func:`merged_text` joins; they stay
-    whole in :func:`cells`.
-    """
+    """One row per brand: coverage, size, chain flag, main categories and venue list."""
     coverage = brand_coverage(df, venue, brand).select(
         brand, "mall_coverage_count", F.col("brand_store_instance_count").alias("store_instance_count")
     )

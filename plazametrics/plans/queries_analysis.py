@@ -210,7 +210,7 @@ def _(spark, sf):
 
 @query("clu3_com5_kmedoids_groups")
 def _(spark, sf):
-    return composition.discrete_groups(vectors(spark, sf), "mall_id", seeds=range(10))
+    return composition.discrete_groups(vectors(spark, sf), "mall_id")
 
 
 @query("clu4_clu6_archetype_mixtures")
@@ -360,8 +360,8 @@ def _(spark, sf):
 @query("com12_com14_factor_selection")
 def _(spark, sf):
     data = iterated(vectors(spark, sf))
-    parallel = composition.suggested_factors(composition.parallel_analysis(data, "mall_id", reps=50))
-    holdout = composition.holdout_reconstruction(data, "mall_id", iterations=20)
+    parallel = composition.suggested_factors(composition.parallel_analysis(data, "mall_id"))
+    holdout = composition.holdout_reconstruction(data, "mall_id")
     stability = composition.loading_stability(data, "mall_id")
     best = composition.best_holdout(holdout)
     stable = stability.where("stable").count()

@@ -73,12 +73,15 @@ def _(spark, sf):
 @query("str8_rule_matches", """SELECT doc_id, lower(source) = 'src3' AS exact_hit, contains(lower(text), 'tion') AS contains_hit,
   regexp_matches(text, '(?i)\\bth[aeiou]+\\b') AS regex_hit FROM documents""")
 def _(spark, sf):
+    from ..functions.text import nfkc
     from ..operators.rules import matches
 
+    # Every third source is spelled in full-width letters, and so is the pattern.
+    wide = F.when(F.col("doc_id") % 3 == 0, F.translate("source", "src0123456789", "ｓｒｃ０１２３４５６７８９")).otherwise(F.col("source"))
     return table(spark, sf, "documents").select(
-        "doc_id", matches(F.col("source"), "exact", "SRC3").alias("exact_hit"),
-        matches(F.col("text"), "contains", "TION").alias("contains_hit"),
-        matches(F.col("text"), "regex", r"\bTH[aeiou]+\b").alias("regex_hit"),
+        "doc_id", matches(nfkc(wide), "exact", "ＳＲＣ3").alias("exact_hit"),
+        matches(nfkc("text"), "contains", "TION").alias("contains_hit"),
+        matches(nfkc("text"), "regex", r"\bTH[aeiou]+\b").alias("regex_hit"),
     )
 
 

@@ -495,17 +495,13 @@ def _(spark, sf):
     return pairs.colocation_lift(sold, "o_custkey", "l_partkey")
 
 
-@query("win9_top_lift_edges", """WITH h AS (SELECT DISTINCT c_nationkey AS v, l_partkey AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey),
-  s AS (SELECT b, count(*) AS n FROM h GROUP BY ALL HAVING count(*) BETWEEN 4 AND 12), c AS (SELECT h.* FROM h JOIN s USING (b)),
+@query("win9_top_lift_edges", """WITH h AS (SELECT DISTINCT l_suppkey AS v, l_partkey AS b FROM lineitem),
+  s AS (SELECT b, count(*) AS n FROM h GROUP BY ALL HAVING count(*) BETWEEN 4 AND 30), c AS (SELECT h.* FROM h JOIN s USING (b)),
   p AS (SELECT x.b AS a, y.b AS b, count(*) AS k FROM c x JOIN c y ON x.v = y.v AND x.b < y.b GROUP BY ALL HAVING count(*) >= 5)
   SELECT p.a AS brand_a, p.b AS brand_b, sa.n AS malls_a, sb.n AS malls_b, k AS cooccurrence, round(k * (SELECT count(DISTINCT v) FROM h) / cast(sa.n * sb.n AS double), 4) AS lift
   FROM p JOIN s sa ON sa.b = p.a JOIN s sb ON sb.b = p.b ORDER BY lift DESC, brand_a, brand_b LIMIT 400""")
 def _(spark, sf):
-    sold = (
-        table(spark, sf, "lineitem").join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    )
-    edges = pairs.colocation_lift(sold, "c_nationkey", "l_partkey", max_venues=12)
+    edges = pairs.colocation_lift(table(spark, sf, "lineitem"), "l_suppkey", "l_partkey")
     return edges.orderBy(F.col("lift").desc(), "brand_a", "brand_b").limit(400)
 
 

@@ -22,6 +22,7 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8) -> SparkSession
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
+        .config("plazametrics.spreadTables", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .getOrCreate()
     )
@@ -48,9 +49,5 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def iterated(df: DataFrame) -> DataFrame:
-    """``df`` written out for repeated passes, with at least one partition per core."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    saved = checkpointed(df)
-    if saved.rdd.getNumPartitions() >= cores:
-        return saved
-    return checkpointed(saved.repartition(cores, df.columns[0]))
+    """``df`` dealt out to as many partitions as a shuffle has and written once, for repeated passes."""
+    return checkpointed(df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))

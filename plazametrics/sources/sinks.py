@@ -39,8 +39,9 @@ def write_json(df: DataFrame, path: str) -> None:
 
 
 def script_payload(rows: DataFrame, variable: str) -> DataFrame:
-    """JSON documents as ``window.X = {...};`` script lines."""
-    return rows.select(F.concat(F.lit(f"window.{variable} = "), F.to_json(F.struct("*")), F.lit(";")).alias("value"))
+    """Script lines that append one JSON document each to the list ``window.X``, in any order and any number of files."""
+    line = F.concat(F.lit(f"(window.{variable} = window.{variable} || []).push("), F.to_json(F.struct("*"), {"ignoreNullFields": "false"}), F.lit(");"))
+    return rows.select(line.alias("value"))
 
 
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
@@ -49,11 +50,13 @@ def file_digests(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
-def markdown_table(df: DataFrame, limit: int = 50) -> str:
-    """A report table of the first rows of an ordered result."""
+def markdown_table(df: DataFrame, limit: int) -> str:
+    """A report table of the first ``limit`` rows of an ordered result, and how many are left out."""
     rows = df.limit(limit).collect()
+    left_out = df.count() - len(rows)
     head = f"| {' | '.join(df.columns)} |\n|{'---|' * len(df.columns)}\n"
-    return head + "".join(f"| {' | '.join('' if v is None else str(v) for v in r)} |\n" for r in rows)
+    body = "".join(f"| {' | '.join('' if v is None else str(v) for v in r)} |\n" for r in rows)
+    return head + body + (f"\n{left_out} more rows\n" if left_out else "")
 
 
 # The folder each result table is routed to.

@@ -23,21 +23,15 @@ CARD_COLUMNS = (
 TOKEN_SCHEMA = "text string, score double, box array<int>"
 
 
-# Inputs below this many bytes per core come in too few splits to keep the cores busy.
-SMALL_PER_CORE = 32 << 20
+#: Session setting for files of one row group on one machine: deal every table out to the cores as it is read.
+SPREAD_KEY = "plazametrics.spreadTables"
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """A parquet table; a small one, often a single row group, is spread over the cores.
-
-    Tables of cluster size have more splits than cores and are read as they are.
-    """
+    """A parquet table as it is split by ``spark.sql.files.*``, or dealt out where the session asks for it."""
     df = spark.read.parquet(path)
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    size = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(place).getLength()
-    cores = spark.sparkContext.defaultParallelism
-    if (1 << 20) <= size <= cores * SMALL_PER_CORE:
-        return df.repartition(cores, df.columns[0])
+    if spark.conf.get(SPREAD_KEY, "false") == "true":
+        return df.repartition(spark.sparkContext.defaultParallelism)
     return df
 
 
@@ -72,14 +66,15 @@ def read_cards(spark: SparkSession, root: str, filename: str = "merchant_cards.c
 
 
 def with_lineage(cards: DataFrame, path: Column, venues: DataFrame | None = None) -> DataFrame:
-    folder = F.url_decode(F.regexp_extract(path, r"([^/]+)/[^/]+$", 1))
-    named = cards.withColumn("source_folder", folder).withColumn("source_file", path)
+    # In a path a plus sign is itself; the decoder would take it for a blank.
+    plain = F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+    named = cards.withColumn("source_folder", F.regexp_extract(plain, r"([^/]+)/[^/]+$", 1)).withColumn("source_file", plain)
     owner = named.groupBy("source_folder").agg(
         tx.clean(F.min_by("mall_name", "card_id")).alias("_owner")
     )
     kept = named.join(owner, "source_folder")
     if venues is not None:
-        kept = kept.join(venues.select(F.col("mall_name").alias("_owner")).distinct(), "_owner", "left_semi")
+        kept = kept.join(venues.select(tx.clean(F.col("mall_name")).alias("_owner")).distinct(), "_owner", "left_semi")
     name = tx.clean(F.col("mall_name"))
     return (
         kept.drop("_owner").withColumn("mall_name", name)

@@ -151,7 +151,7 @@ def test_csv_edges(spark, tmp_path):
     sinks.write_csv(out, str(tmp_path / "out"), ["l", "x", "t", "absent"], guard=True)
     back = tables.read_text_csv(spark, str(tmp_path / "out")).first()
     assert tuple(back) == ("a | b", "", "'=1", "")
-    assert "| l | x | t |" in sinks.markdown_table(sinks.flat(out))
+    assert "| l | x | t |" in sinks.markdown_table(sinks.flat(out), 50)
 
 
 def test_rule_files_are_read_in_file_order(spark, tmp_path):
