@@ -3,7 +3,9 @@
 Texts are cut by the tokenizer's pattern; each block of texts keeps its distinct words as byte arrays and every text
 as positions in that list. Spark's higher-order functions then fold the ranked merges over each distinct word; the rank table is a literal (an
 array of small maps, found by hash, because a map's look-up is a scan). Decoding concatenates the ids' pieces. A word
-that is in the table is its own token, as in the original. No shuffle: blocks are independent and of bounded size.
+that is in the table is its own token, as in the original. Words that a bounded sample of documents repeats are encoded
+first and sent along as a table of bounded size, so that blocks only encode the rest. Blocks are independent and of
+bounded size, and nothing of them is shuffled.
 
 Merges are applied in order of rank. That is what merging the least pair again and again does, provided that a merge
 never makes a pair of lower rank than its own: :func:`consistent` checks it for a table.
@@ -21,13 +23,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .pretokens import character_classes, cuts_with_blanks
-from .shared import mixed, prefix_hashes, slice_hashes, slices, text_bytes
+from .shared import BASE, mixed, prefix_hashes, slice_hashes, slices, text_bytes
 
 #: Bytes of text whose distinct words are kept together.
 BLOCK_BYTES = 16 << 20
 #: Borders of a word up to this length are the bits of one number; a longer word merges in rounds, each all of the
 #: least pair.
 LONG_WORD = 60
+#: Documents whose repeated words are encoded first, about, and the most of these words; a cache of bounded size.
+HEAD_SAMPLE, HEAD_WORDS = 16_000, 400_000
+OTHER_BASE = 0xC2B2AE3D27D4EB4F
 _BUCKET_BITS = 16
 _BLOCK = "docs array<bigint>, counts array<int>, codes binary, words array<binary>"
 
@@ -52,12 +57,82 @@ def consistent(ranks: dict[bytes, int]) -> bool:
     return True
 
 
-def words_by_block(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Blocks of texts: doc ids, words per text, each word's place in the block's list of distinct words."""
-    classes = docs.sparkSession.sparkContext.broadcast(character_classes())
+class Cut:
+    """A slice of texts cut into words: where they are, which are the same, and each text's first word."""
+
+    def __init__(self, array: pa.Array, classes: np.ndarray):
+        self.data, offsets = text_bytes(array)
+        chars = np.flatnonzero((self.data & 0xC0) != 0x80)
+        points = np.frombuffer(self.data.tobytes().decode().encode("utf-32-le"), np.uint32)
+        first = np.zeros(len(points), bool)
+        begins = np.searchsorted(chars, offsets)
+        first[begins[:-1][begins[:-1] < len(points)]] = True
+        cuts = cuts_with_blanks(points, first, classes)
+        self.starts = chars[cuts]
+        self.ends = np.append(self.starts[1:], len(self.data))[: len(self.starts)]
+        self.first = np.searchsorted(cuts, begins)
+        self.names = mixed(slice_hashes(prefix_hashes(self.data), self.starts, self.ends))
+
+    def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Names of the distinct words, their first places, each word's number among them, and how often they occur."""
+        return np.unique(self.names, return_index=True, return_inverse=True, return_counts=True)
+
+    def words(self, at: np.ndarray) -> list[bytes]:
+        return [self.data[a:b].tobytes() for a, b in zip(self.starts[at].tolist(), self.ends[at].tolist())]
+
+    def other_names(self, at: np.ndarray) -> np.ndarray:
+        return mixed(slice_hashes(prefix_hashes(self.data, OTHER_BASE), self.starts[at], self.ends[at], OTHER_BASE))
+
+
+class Head:
+    """Words encoded beforehand, by two hashes; a table of bounded size that spares work and changes nothing."""
+
+    def __init__(self, words: list[bytes], ids: list[list[int]], texts: list[bytes]):
+        prefix, at = np.frombuffer(b"".join(words), np.uint8), np.cumsum([0, *map(len, words)])
+        names = [mixed(slice_hashes(prefix_hashes(prefix, b), at[:-1], at[1:], b)) for b in (BASE, OTHER_BASE)]
+        order = np.argsort(names[0])
+        self.names, self.others = names[0][order], names[1][order]
+        self.ids = np.array([i for k in order.tolist() for i in ids[k]], np.int32)
+        self.ids_at = np.cumsum([0, *(len(ids[k]) for k in order.tolist())]).astype(np.int64)
+        self.bytes = np.frombuffer(b"".join(texts[k] for k in order.tolist()), np.uint8)
+        self.bytes_at = np.cumsum([0, *(len(texts[k]) for k in order.tolist())]).astype(np.int64)
+
+    def find(self, names: np.ndarray, others) -> np.ndarray:
+        """Places of the names in the head, -1 where they are not in it."""
+        if not len(self.names):
+            return np.full(len(names), -1)
+        at = np.minimum(np.searchsorted(self.names, names), len(self.names) - 1)
+        hit = np.flatnonzero(self.names[at] == names)
+        hit = hit[self.others[at[hit]] == others(hit)]
+        out = np.full(len(names), -1)
+        out[hit] = at[hit]
+        return out
+
+
+def _head(docs: DataFrame, classes, by_rank: "Ranks", literals, sample: int, most: int) -> Head:
+    """Encode the words that a sample of about ``sample`` documents has more than once, the ``most`` commonest of them."""
+    share = min(1.0, sample / max(docs.count(), 1))
+
+    def counted(batches):
+        table = np.frombuffer(classes.value, np.uint8)
+        for part in slices(batches):
+            cut = Cut(part.column(1), table)
+            _, at, _, n = cut.distinct()
+            yield pa.RecordBatch.from_arrays([pa.array(cut.words(at), pa.binary()), pa.array(n, pa.int64())], names=["word", "n"])
+
+    words = docs.sample(share, 11).mapInArrow(counted, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
+    chosen = words.orderBy(F.desc("n"), "word").limit(most).repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "word")
+    encoded = chosen.withColumns(literals).select("word", "pieces", by_rank.encode(F.col("word")).alias("ids"))
+    rows = encoded.select("word", "ids", by_rank.decode(F.col("ids")).alias("text")).toArrow()
+    return Head(*(rows.column(c).to_pylist() for c in ("word", "ids", "text")))
+
+
+def words_by_block(docs: DataFrame, classes, head, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Blocks of texts: doc ids, words per text, each word's place in the head or, behind it, in the block's own list."""
 
     def blocks(batches):
-        table = np.frombuffer(classes.value, np.uint8)
+        table, known_before = np.frombuffer(classes.value, np.uint8), head.value
+        base = len(known_before.names)
         ids, counts, codes, words, known, held = [], [], [], [], {}, 0
 
         def row():
@@ -68,29 +143,20 @@ def words_by_block(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame
             )
 
         for part in slices(batches):
-            data, offsets = text_bytes(part.column(1))
-            starts_of_chars = np.flatnonzero((data & 0xC0) != 0x80)
-            points = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
-            first = np.zeros(len(points), bool)
-            begins = np.searchsorted(starts_of_chars, offsets)
-            first[begins[:-1][begins[:-1] < len(points)]] = True
-            cuts = cuts_with_blanks(points, first, table)
-            starts = starts_of_chars[cuts]
-            ends = np.append(starts[1:], len(data))[: len(starts)]
-            names = mixed(slice_hashes(prefix_hashes(data), starts, ends))
-            _, at, inverse = np.unique(names, return_index=True, return_inverse=True)
-            local = np.empty(len(at), np.int32)
-            for i, j in enumerate(at.tolist()):
-                word = data[starts[j] : ends[j]].tobytes()
+            cut = Cut(part.column(1), table)
+            names, at, inverse, _ = cut.distinct()
+            local = known_before.find(names, lambda hit: cut.other_names(at[hit]))
+            new = np.flatnonzero(local < 0)
+            for i, word in zip(new.tolist(), cut.words(at[new])):
                 code = known.get(word)
                 if code is None:
                     code = known[word] = len(words)
                     words.append(word)
-                local[i] = code
-            codes.append(local[inverse])
+                local[i] = base + code
+            codes.append(local[inverse].astype(np.int32))
             ids += part.column(0).to_pylist()
-            counts += np.diff(np.searchsorted(cuts, begins)).tolist()
-            held += len(data)
+            counts += np.diff(cut.first).tolist()
+            held += len(cut.data)
             if held >= block_bytes:
                 yield row()
                 ids, counts, codes, words, known, held = [], [], [], [], {}, 0
@@ -214,7 +280,7 @@ def gathered(flat: np.ndarray, offsets: np.ndarray, codes: np.ndarray) -> np.nda
     return flat[at + np.repeat(offsets[codes] - (ends - lengths), lengths)]
 
 
-def _assembled(batches):
+def _assembled(batches, head: Head):
     for batch in batches:
         for r in range(batch.num_rows):
             ids, counts, codes, words = (batch.column(i) for i in range(4))
@@ -223,9 +289,12 @@ def _assembled(batches):
             where = np.frombuffer(codes[r].as_py(), np.int32)
             ends = np.cumsum([0, *counts[r].as_py()])
             encoded, decoded = words[r].values, texts[r].values
-            token_at = encoded.offsets.to_numpy().astype(np.int64)
-            tokens = encoded.values.to_numpy()
-            bytes_, byte_at = text_bytes(decoded)
+            own_at = encoded.offsets.to_numpy().astype(np.int64) if len(encoded) else np.zeros(1, np.int64)
+            token_at = np.concatenate([head.ids_at, len(head.ids) + own_at[1:] - own_at[0]])
+            tokens = np.concatenate([head.ids, encoded.values.to_numpy()[own_at[0] : own_at[-1]]])
+            own_bytes, own_at = text_bytes(decoded)
+            byte_at = np.concatenate([head.bytes_at, len(head.bytes) + own_at[1:]])
+            bytes_ = np.concatenate([head.bytes, own_bytes])
             d = 0
             while d < len(docs):
                 to = min(max(d + 1, int(np.searchsorted(ends, ends[d] + 300_000, "right")) - 1), len(docs))
@@ -243,12 +312,16 @@ def _assembled(batches):
                 d = to
 
 
-def encode(docs: DataFrame, ranks_path: str, doc: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str, doc: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES, sample: int = HEAD_SAMPLE, most: int = HEAD_WORDS) -> DataFrame:
     """One row per document: doc_id, ids (array<int>), decoded (binary, the ids' pieces one after another)."""
-    ranks = read_ranks(ranks_path)
+    sc, ranks = docs.sparkSession.sparkContext, read_ranks(ranks_path)
     table, pieces = Ranks.literals(docs.sparkSession, ranks)
+    literals = {"table": table, "pieces": pieces}
     by_rank = Ranks(F.col("table"), F.col("pieces"), max(map(len, ranks)))
-    blocks = words_by_block(docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")), block_bytes)
-    encoded = blocks.withColumns({"table": table, "pieces": pieces}).withColumn("ids", F.transform("words", by_rank.encode))
+    chosen = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    classes = sc.broadcast(character_classes())
+    head = sc.broadcast(_head(chosen, classes, by_rank, literals, sample, most))
+    blocks = words_by_block(chosen, classes, head, block_bytes)
+    encoded = blocks.withColumns(literals).withColumn("ids", F.transform("words", by_rank.encode))
     decoded = encoded.select("docs", "counts", "codes", "ids", F.transform("ids", by_rank.decode).alias("texts"))
-    return decoded.mapInArrow(_assembled, "doc_id bigint, ids array<int>, decoded binary")
+    return decoded.mapInArrow(lambda b: _assembled(b, head.value), "doc_id bigint, ids array<int>, decoded binary")

@@ -51,7 +51,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
 def text_offsets(array: pa.Array) -> np.ndarray:
     """Byte offsets of the strings or binaries of ``array`` in its data buffer."""
     kind = np.int64 if pa.types.is_large_string(array.type) or pa.types.is_large_binary(array.type) else np.int32
-    if array.buffers()[1] is None:
+    if not len(array) or array.buffers()[1] is None:
         return np.zeros(len(array) + 1, np.int64)
     return np.frombuffer(array.buffers()[1], kind)[array.offset : array.offset + len(array) + 1].astype(np.int64)
 
