@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .blocks import block_pairs, distances, stack
@@ -30,20 +30,41 @@ class Run:
     done: bool = False
 
 
-def starting_rows(df: DataFrame, row_id: str, vector: str, count: int, seed: int) -> list:
-    """A reproducible random sample of rows, chosen by the hash of their id."""
-    return df.orderBy(F.xxhash64(F.lit(seed), row_id), row_id).limit(count).select(row_id, vector).collect()
+def starting_rows(df: DataFrame, row_id: str, vector: str, draws: Sequence[tuple[int, int]]) -> list[list[tuple]]:
+    """For each draw (rows, seed) its own random sample of all rows: those with the least hash of (rows, seed, id).
+
+    One pass serves all draws. A partition sends its least rows of each draw, and the least of these are kept.
+    """
+    hashes = F.array(*[F.xxhash64(F.lit(n), F.lit(seed), row_id) for n, seed in draws])
+    types = dict(df.dtypes)
+
+    def least(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best: list[pd.DataFrame] = [pd.DataFrame()] * len(draws)
+        for pdf in batches:
+            table = np.asarray(pdf["_h"].tolist(), dtype="int64").reshape(len(pdf), -1)
+            for d, (n, _) in enumerate(draws):
+                mine = pdf[[row_id, vector]].assign(draw=d, hash=table[:, d])
+                best[d] = pd.concat([best[d], mine]).nsmallest(n, ["hash", row_id])
+        for part in best:
+            if len(part):
+                yield part[["draw", "hash", row_id, vector]]
+
+    schema = f"draw int, hash bigint, `{row_id}` {types[row_id]}, `{vector}` {types[vector]}"
+    found = df.select(row_id, vector, hashes.alias("_h")).mapInPandas(least, schema)
+    place = F.row_number().over(Window.partitionBy("draw").orderBy("hash", row_id))
+    wanted = F.element_at(F.array(*[F.lit(n) for n, _ in draws]), F.col("draw") + 1)
+    out: list[list[tuple]] = [[] for _ in draws]
+    for row in found.withColumn("_place", place).where(F.col("_place") <= wanted).orderBy("draw", "_place").collect():
+        out[row["draw"]].append((row[row_id], row[vector]))
+    return out
 
 
 def random_starts(df: DataFrame, row_id: str, vector: str, ks: Sequence[int], seeds: Sequence[int]) -> list[Run]:
-    pool = starting_rows(df, row_id, vector, max(ks) * max(len(seeds), 8), seed=0)
-    runs = []
-    for k in ks:
-        for seed in seeds:
-            picked = np.random.default_rng(seed).choice(len(pool), k, replace=False)
-            centres = np.asarray([pool[i][1] for i in picked], dtype="float64")
-            runs.append(Run(k, seed, centres, [pool[i][0] for i in picked]))
-    return runs
+    draws = [(k, seed) for k in ks for seed in seeds]
+    return [
+        Run(k, seed, np.asarray([v for _, v in picked], dtype="float64"), [i for i, _ in picked])
+        for (k, seed), picked in zip(draws, starting_rows(df, row_id, vector, draws))
+    ]
 
 
 def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -274,15 +295,15 @@ def archetypes(
     per partition and corner is sent). Corners are then refitted on the driver over the few
     rows picked so far.
     """
-    pool = starting_rows(df, row_id, vector, max(k * restarts, 16), seed)
-    if not 1 <= k <= len(pool):
+    if k < 1:
+        raise ValueError("the number of archetypes must lie between 1 and the number of rows")
+    starts = starting_rows(df, row_id, vector, [(k, seed * restarts + r) for r in range(restarts)])
+    if len(starts[0]) < k:
         raise ValueError("the number of archetypes must lie between 1 and the number of rows")
-    rng = np.random.default_rng(seed)
     atoms: list[list[tuple]] = []
     mixes: list[np.ndarray] = []
-    for _ in range(restarts):
-        picked = rng.choice(len(pool), k, replace=False)
-        atoms.append([(pool[i][0], np.asarray(pool[i][1], dtype="float64")) for i in picked])
+    for picked in starts:
+        atoms.append([(i, np.asarray(x, dtype="float64")) for i, x in picked])
         mixes.append(np.eye(k))
     width = len(atoms[0][0][1])
     residuals, previous = np.full(restarts, np.inf), np.full(restarts, np.inf)

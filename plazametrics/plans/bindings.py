@@ -119,6 +119,22 @@ def places(spark: SparkSession, sf: str) -> DataFrame:
 
 PLACE_SQL = "places AS (SELECT " + ", ".join(f"{e} AS {n}" for n, e in PLACE.items()) + " FROM supplier)"
 
+# Customers and suppliers that traded with each other: as many pairs as line items at most.
+TRADED_SQL = "traded AS (SELECT DISTINCT o_custkey, l_suppkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
+
+
+def traded(spark: SparkSession, sf: str) -> DataFrame:
+    """All columns of the customer and the supplier of each pair."""
+    pairs = (
+        table(spark, sf, "lineitem").join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+        .select("o_custkey", "l_suppkey").distinct()
+    )
+    return (
+        pairs.join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+        .join(table(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    )
+
+
 # An event is a recognised token on a screen: user group = video, 200 events of all = a frame.
 TOKEN = {
     "video": "user_id % 10",

@@ -10,7 +10,7 @@ from ..functions import text as tx
 from ..functions.similarity import indel_ratio
 from ..sources.tables import missing_to_null, with_lineage
 from ..sources.sinks import file_digests, flat, script_payload
-from .bindings import LISTING_SQL, PLACE_SQL, TOKEN_SQL, listings, places, table, tokens, with_listings
+from .bindings import LISTING_SQL, PLACE_SQL, TOKEN_SQL, TRADED_SQL, listings, places, table, tokens, traded, with_listings
 from .registry import query
 
 
@@ -95,10 +95,10 @@ def _(spark, sf):
     return table(spark, sf, "events").select("event_id", tx.is_category_noise(F.expr(_NOISE)).alias("is_noise"))
 
 
-@query("str10_levenshtein", """SELECT c_custkey, s_suppkey, levenshtein(c_name, s_name) AS distance FROM customer
-  JOIN supplier ON c_nationkey = s_nationkey WHERE levenshtein(c_name, s_name) <= 8""")
+@query("str10_levenshtein", f"""WITH {TRADED_SQL} SELECT c_custkey, s_suppkey, levenshtein(c_name, s_name) AS distance FROM traded JOIN customer ON o_custkey = c_custkey
+  JOIN supplier ON l_suppkey = s_suppkey WHERE levenshtein(c_name, s_name) <= 8""")
 def _(spark, sf):
-    pairs = table(spark, sf, "customer").join(table(spark, sf, "supplier"), F.col("c_nationkey") == F.col("s_nationkey"))
+    pairs = traded(spark, sf)
     near = pairs.where(tx.within_edits(F.col("c_name"), F.col("s_name"), 8))
     return near.select("c_custkey", "s_suppkey", F.levenshtein("c_name", "s_name").alias("distance"))
 
@@ -240,17 +240,14 @@ def _(spark, sf):
 
 @query("str26_match_quality")
 def _(spark, sf):
-    sup = table(spark, sf, "supplier").select("s_nationkey", "s_suppkey", F.lower("s_name").alias("a"))
-    cus = table(spark, sf, "customer").select("c_nationkey", "c_custkey", F.lower("c_name").alias("b"))
-    pairs = sup.join(cus, F.col("s_nationkey") == F.col("c_nationkey"))
-    return pairs.select("s_suppkey", "c_custkey", identity.match_quality(F.col("a"), F.col("b")).alias("quality"))
+    return traded(spark, sf).select("s_suppkey", "c_custkey", identity.match_quality(F.lower("s_name"), F.lower("c_name")).alias("quality"))
 
 
 @query("str27_indel_ratio")
 def _(spark, sf):
-    turns = table(spark, sf, "conversations")
-    named = turns.select("conv_id", "turn", F.split("text", r"\s+")[0].alias("a"), F.element_at(F.split("text", r"\s+"), -1).alias("b"))
-    return named.withColumn("ratio", F.round(indel_ratio("a", "b"), 6))
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", F.col("text").alias("a"))
+    following = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("a").alias("b"))
+    return turns.join(following, ["conv_id", "turn"]).select("conv_id", "turn", F.round(indel_ratio("a", "b"), 6).alias("ratio"))
 
 
 @query("str28_case_insensitive_search", "SELECT page_id, url FROM pages WHERE contains(lower(html), 'tion')")
@@ -406,7 +403,8 @@ def _(spark, sf):
     return raw.select("doc_id", tx.csv_guard(F.col("t")).alias("guarded"))
 
 
-@query("snk3_script_payload")
+@query("snk3_script_payload", f"""WITH {PLACE_SQL} SELECT concat('(window.VENUES = window.VENUES || []).push({{"mall_id":', mall_id, ',"district":',
+  coalesce('"' || district || '"', 'null'), '}});') AS value FROM places""")
 def _(spark, sf):
     return script_payload(places(spark, sf).select("mall_id", "district"), "VENUES")
 

@@ -10,7 +10,7 @@ from ..operators import metadata, pairs, resolve, rules, sensitivity, venue
 from ..operators.quantiles import grouped_median
 from ..session import checkpointed
 from .bindings import (
-    EXCLUSION_LIST, EXCLUSIONS, LISTING_SQL, MAPPED_SQL, MAPPING, PLACE_SQL, listings, places, table, with_listings,
+    EXCLUSION_LIST, EXCLUSIONS, LISTING_SQL, MAPPED_SQL, MAPPING, PLACE_SQL, listings, places, table, traded, with_listings,
 )
 from .registry import query
 
@@ -660,15 +660,14 @@ def _split(columns: str) -> list[str]:
 
 @query("joi15_best_candidate")
 def _(spark, sf):
-    sup, cus = table(spark, sf, "supplier"), table(spark, sf, "customer")
-    pairs_ = sup.join(cus, F.col("s_nationkey") == F.col("c_nationkey")).select(
+    pairs_ = traded(spark, sf).select(
         "s_suppkey", F.concat(F.lit("百联"), F.substring("s_name", -3, 3), F.lit("购物中心")).alias("wanted"),
         F.concat(F.lit("百联"), F.substring("c_name", -3, 3), F.lit("广场")).alias("poi_name"),
         F.concat(F.lit("District "), F.expr("c_custkey % 3")).alias("adname"),
         F.concat(F.lit("District "), F.expr("s_suppkey % 3")).alias("expected_district"),
         F.expr("case when c_custkey % 2 = 0 then '060101' else '050000' end").alias("typecode"), "c_custkey",
     )
-    return metadata.best_candidate(pairs_, "s_suppkey", "wanted", "c_custkey")
+    return metadata.best_candidate(pairs_, "s_suppkey", "wanted", "c_custkey", table(spark, sf, "supplier"))
 
 
 @query("src7_stm9_incremental_work", """SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')""")
