@@ -30,8 +30,9 @@ SHINGLE = 5
 THRESHOLD = 0.8
 #: A pair of similarity 0.8 shares none of 40 bands of 6 registers with probability 5e-6.
 BANDS, ROWS = 40, 6
-#: Comparisons of a bucket's groups with a centre drawn anew, before what is left is joined by rare shingles.
-STAR_ROUNDS = 2
+#: Comparisons of a bucket's groups with a centre drawn anew, before what is left is joined by rare shingles. More of them
+#: leave less to that join and cost a search for components each.
+STAR_ROUNDS = 1
 _SLICE = 6 << 20
 #: Products such as 0.8 * 35 may come out a little above the whole number.
 SLACK = 1e-9
@@ -136,15 +137,18 @@ def shingle_sets(docs: DataFrame, wanted: BitFilter, n: int = SHINGLE) -> DataFr
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, label) for every node of the edges (a, b): the least node that it is connected with."""
+    """(node, label) for every node of the edges (a, b): the least node that it is connected with.
+
+    Each turn takes over the least label of a node's neighbours and of the node that it is labelled with.
+    """
     links = stored(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "links")
-    labels = stored(links.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
+    labels = links.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label"))
+    labels = stored(labels, "labels")
     while True:
-        near = links.join(labels, links["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("near"))
-        lower = labels.join(near, F.col("node") == F.col("a")).select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        # A node's label is a node too: take over the label's label.
-        up = labels.select(F.col("node").alias("up"), F.col("label").alias("over"))
-        after = stored(lower.join(up, F.col("label") == F.col("up"), "left").select("node", "old", F.least("label", "over").alias("label")), "labels")
+        # A node hears from its neighbours and from its own label, as if that were a neighbour too.
+        heard = links.select("a", "b").union(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))
+        near = heard.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("label"))
+        after = stored(near.join(labels.withColumnRenamed("label", "old"), "node"), "labels")
         if after.where("label < old").isEmpty():
             return after.select("node", "label")
         labels = after.select("node", "label")
@@ -202,13 +206,18 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, n: int = SHIN
         signed_docs.join(classes.where("own is null").select(F.col("class").alias("row"), "n_class"), "row")
         .select(F.col("row").alias("class"), "n_shingles", F.explode("bands").alias("bucket"))
     )
-    shared = banded.groupBy("bucket").agg(F.min("class").alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", "centre")
+    shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n_bucket")).where("n_bucket > 1")
     members = stored(banded.join(shared, "bucket"), "members")
+    # A document that is in the large buckets of many bands has most in common with the others: the best centre.
+    central = members.groupBy("class").agg(F.sum("n_bucket").alias("central"))
+    members = stored(members.join(central, "class").select("bucket", "class", "n_shingles", "central"), "members")
+    centres = members.groupBy("bucket").agg(F.max(F.struct("central", "class")).alias("c")).select("bucket", F.col("c.class").alias("centre"))
     sizes = classes.select(F.col("class").alias("centre"), F.col("n_shingles").alias("n_centre"))
     similar = lambda x, y: F.least(x, y) >= threshold * F.greatest(x, y) - SLACK
 
-    candidates = members.where("class != centre").select(F.col("centre").alias("a"), F.col("class").alias("b"), "n_shingles").distinct()
-    tested = stored(candidates.join(sizes, F.col("a") == F.col("centre")).where(similar(F.col("n_shingles"), F.col("n_centre"))).select("a", "b"), "tested")
+    candidates = members.join(centres, "bucket").where("class != centre").select(F.col("centre").alias("a"), F.col("class").alias("b"), "n_shingles").distinct()
+    tested = candidates.join(sizes, F.col("a") == F.col("centre")).where(similar(F.col("n_shingles"), F.col("n_centre")))
+    tested = stored(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "tested")
     wanted = members.select("class").distinct().join(classes, "class").select("class", "name_a", "name_b")
     sets = stored(
         shingle_sets(chosen, BitFilter.of(wanted, "name_a"), n).groupBy("name_a", "name_b").agg(F.first("shingles").alias("shingles"))
@@ -218,10 +227,13 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, n: int = SHIN
     edges = stored(_verified(tested, sets, threshold), "edges")
     labels = components(edges)
 
+    top = F.max(F.struct("central", "class", "n_shingles", "label")).alias("c")
     for turn in range(STAR_ROUNDS + 1):
-        grouped = members.join(labels, F.col("class") == F.col("node"), "left").select("bucket", "class", "n_shingles", F.coalesce("label", "class").alias("label"))
-        centre = F.min(F.struct(F.xxhash64("class", F.lit(turn)), "class", "n_shingles", "label")).alias("c")
-        several = grouped.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), centre).where("low < high")
+        grouped = members.join(labels, F.col("class") == F.col("node"), "left").select("bucket", "class", "n_shingles", "central", F.coalesce("label", "class").alias("label"))
+        grouped = stored(grouped, "grouped")
+        # The next centre: the most central member outside the first centre's group.
+        first = grouped.groupBy("bucket").agg(top).select("bucket", F.col("c.label").alias("first_label"))
+        several = grouped.join(first, "bucket").where("label != first_label").groupBy("bucket").agg(top)
         if turn < STAR_ROUNDS:
             pairs = grouped.join(several.select("bucket", "c"), "bucket")
             pairs = pairs.where((F.col("label") != F.col("c.label")) & similar(F.col("n_shingles"), F.col("c.n_shingles")))
