@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .pretokens import character_classes, cuts_with_blanks
-from .shared import BASE, mixed, prefix_hashes, slice_hashes, slices, text_bytes
+from .shared import BASE, OTHER_BASE, mixed, prefix_hashes, slice_hashes, slices, text_bytes
 
 #: Bytes of text whose distinct words are kept together.
 BLOCK_BYTES = 16 << 20
@@ -32,7 +32,6 @@ BLOCK_BYTES = 16 << 20
 LONG_WORD = 60
 #: Documents whose repeated words are encoded first, about, and the most of these words; a cache of bounded size.
 HEAD_SAMPLE, HEAD_WORDS = 16_000, 400_000
-OTHER_BASE = 0xC2B2AE3D27D4EB4F
 _BUCKET_BITS = 16
 _BLOCK = "docs array<bigint>, counts array<int>, codes binary, words array<binary>"
 

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import BASE, BitFilter, mixed, prefix_hashes, signed, slice_hashes, slices, stored, text_bytes
+from .shared import BASE, OTHER_BASE, BitFilter, mixed, prefix_hashes, signed, slice_hashes, slices, stored, text_bytes
 
 LENGTH = 400
 HOT = 1024
@@ -123,9 +123,6 @@ def _counted(texts: DataFrame, g: Geometry, done: list, rounds: int) -> DataFram
     return texts.mapInArrow(named, "name bigint, n bigint").groupBy("name").agg(F.sum("n").alias("n"))
 
 
-OTHER_BASE = 0xC2B2AE3D27D4EB4F
-
-
 def _windows(left: np.ndarray, left_at: np.ndarray, right: np.ndarray, right_at: np.ndarray, g: Geometry, core: np.ndarray, low: np.ndarray, high: np.ndarray):
     """Row, bytes before the anchor, and two names of every string of the rows; ``core``: two numbers a row."""
     rows = np.repeat(np.arange(len(low)), high - low + 1)

@@ -28,11 +28,13 @@ from pyspark.sql import functions as F
 from ..session import ensure_checkpoint_dir
 from .byte_bpe import gathered
 from .pretokens import character_classes, cuts_without_space
-from .shared import mixed, prefix_hashes, slice_hashes, slices, text_bytes
+from .shared import OTHER_BASE, mixed, prefix_hashes, slice_hashes, slices, text_bytes
 
 END_ID = 1
 #: Distinct pieces that a task remembers before it starts anew.
 REMEMBERED = 400_000
+#: Pieces that are encoded as one text.
+PIECES_AT_ONCE = 1000
 ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 256 << 10
 _ROWS = "doc_id bigint, place bigint, offset bigint, n_tokens bigint, ids array<int>"
@@ -50,7 +52,9 @@ class PieceEncoder:
         self._forget()
 
     def _forget(self):
-        self.known, self.lists, self.held = {}, [], 0
+        # Names of the known pieces in ascending order, other names to tell them by, and where their ids are.
+        self.names, self.others, self.place = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.ids, self.ids_at = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
     def plain(self, array: pa.Array) -> np.ndarray:
         """Whether each text has only characters that stand for themselves after normalisation, but for case."""
@@ -82,6 +86,15 @@ class PieceEncoder:
                 w += 1
         return np.concatenate(lists), np.concatenate([[0], np.cumsum([len(x) for x in lists])])
 
+    def _ids(self, pieces: list[str]) -> list[list[int]]:
+        """Ids of each piece, from one text of all of them with blanks between, cut at its words again."""
+        e = self.tokenizer.encode(" ".join(pieces), add_special_tokens=False)
+        ids, words = e.ids, e.word_ids
+        cuts = [0, *(i for i in range(1, len(words)) if words[i] != words[i - 1]), len(words)]
+        if len(cuts) - 1 != len(pieces):
+            return [e.ids for e in self.tokenizer.encode_batch(pieces, add_special_tokens=False)]
+        return [ids[a:b] for a, b in zip(cuts, cuts[1:])]
+
     def _by_pieces(self, array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         data, offsets = text_bytes(array)
         if not len(data):
@@ -99,20 +112,36 @@ class PieceEncoder:
         starts, ends = cuts_without_space(points, first, self.classes)
         low, high = chars[starts], np.append(chars, len(data))[ends]
         names = mixed(slice_hashes(prefix_hashes(data), low, high))
-        _, at, inverse = np.unique(names, return_index=True, return_inverse=True)
-        pieces = [data[a:b].tobytes() for a, b in zip(low[at].tolist(), high[at].tolist())]
-        if len(self.known) > REMEMBERED:
+        distinct, at, inverse = np.unique(names, return_index=True, return_inverse=True)
+        other = mixed(slice_hashes(prefix_hashes(data, OTHER_BASE), low[at], high[at], OTHER_BASE))
+        if len(self.names) > REMEMBERED:
             self._forget()
-        new = [p for p in pieces if p not in self.known]
-        if new:
-            for piece, e in zip(new, self.tokenizer.encode_batch([p.decode() for p in new], add_special_tokens=False)):
-                self.known[piece] = len(self.lists)
-                self.lists.append(e.ids)
-        mine = [self.lists[self.known[p]] for p in pieces]
-        piece_at = np.concatenate([[0], np.cumsum([len(x) for x in mine])]).astype(np.int64)
-        flat = gathered(np.fromiter((i for x in mine for i in x), np.int32, int(piece_at[-1])), piece_at, inverse)
-        ends_of = np.concatenate([[0], np.cumsum(np.diff(piece_at)[inverse])])
-        return flat, ends_of[np.searchsorted(starts, begins)]
+        codes = self._places(distinct, other, lambda new: [data[a:b].tobytes().decode() for a, b in zip(low[at[new]].tolist(), high[at[new]].tolist())])
+        here = codes[inverse]
+        ends_of = np.concatenate([[0], np.cumsum(np.diff(self.ids_at)[here])])
+        return gathered(self.ids, self.ids_at, here), ends_of[np.searchsorted(starts, begins)]
+
+    def _places(self, names: np.ndarray, others: np.ndarray, pieces) -> np.ndarray:
+        """Where the ids of the named pieces are; ``names`` ascend. New pieces are encoded and remembered."""
+        at = np.searchsorted(self.names, names)
+        known = at < len(self.names)
+        known[known] = self.names[at[known]] == names[known]
+        out = np.full(len(names), -1)
+        out[known] = np.where(self.others[at[known]] == others[known], self.place[at[known]], -1)
+        new = np.flatnonzero(out < 0)
+        if len(new):
+            lists = []
+            wanted = pieces(new)
+            for k in range(0, len(wanted), PIECES_AT_ONCE):
+                lists += self._ids(wanted[k : k + PIECES_AT_ONCE])
+            out[new] = len(self.ids_at) - 1 + np.arange(len(new))
+            self.ids_at = np.concatenate([self.ids_at, self.ids_at[-1] + np.cumsum([len(x) for x in lists])])
+            self.ids = np.concatenate([self.ids, np.array([i for x in lists for i in x], np.int32)])
+            # A piece whose name another has already is encoded again each time.
+            own = new[~known[new]]
+            self.others, self.place = np.insert(self.others, at[own], others[own]), np.insert(self.place, at[own], out[own])
+            self.names = np.insert(self.names, at[own], names[own])
+        return out
 
 
 def ordered_parts(docs: DataFrame, by: str, parts: int) -> DataFrame:
@@ -133,7 +162,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
 
     def encoded(batches):
         encoder, place, offset = PieceEncoder(*shared.value), 0, 0
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", 4 << 20):
             ids, at = encoder.encode(part.column(1))
             n = np.diff(at) + 1
             ends = np.concatenate([[0], np.cumsum(n)])
