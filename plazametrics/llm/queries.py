@@ -92,7 +92,8 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     rows = personal_data.found(table(spark, folder, "documents").select("doc_id", "text"))
     base = F.filter("spans", lambda s: s["base"])
-    counts = [F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in personal_data.BASE_KINDS]
+    number = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long")
+    counts = [number(k).alias(f"n_{k}") for k in personal_data.BASE_KINDS]
     return rows.select("doc_id", *counts, F.sha2(personal_data.listed(base), 256).alias("base_sha256"), personal_data.listed(F.col("spans")).alias("spans"))
 
 
