@@ -6,7 +6,7 @@ so rows are reduced to ``p x p`` sums inside the tasks.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,23 +34,22 @@ class Moments:
         return self.gram - np.outer(self.total, self.total) / self.n
 
 
-def added(parts: DataFrame, keys: Sequence[str]) -> dict[tuple, np.ndarray]:
-    """Sum the ``sums`` arrays of each key on the executors; one array a key reaches the driver."""
+def summed(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row a key with the element-wise sum of its ``sums`` arrays, made on the executors."""
     names = list(keys)
-    result: dict[tuple, np.ndarray] = {}
-    summed = (
+    return (
         parts.select(*names, F.posexplode("sums")).groupBy(*names, "pos").agg(F.sum("col").alias("s")).groupBy(*names)
         .agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "s"))), lambda e: e["s"]).alias("sums"))
     )
-    for row in summed.collect():
-        result[tuple(row[g] for g in names)] = np.asarray(row["sums"])
-    return result
 
 
-def moments(
-    df: DataFrame, vector: str, groups: Sequence[str] = (), weight: str | None = None
-) -> dict[tuple, Moments]:
-    """Weighted moments per group (one entry, keyed ``()``, without groups)."""
+def added(parts: DataFrame, keys: Sequence[str]) -> dict[tuple, np.ndarray]:
+    """:func:`summed` as arrays on the driver."""
+    return {tuple(row[g] for g in keys): np.asarray(row["sums"]) for row in summed(parts, keys).collect()}
+
+
+def moment_parts(df: DataFrame, vector: str, groups: Sequence[str] = (), weight: str | None = None) -> DataFrame:
+    """Partial sums of the weighted moments of each group, one row a task and group."""
     names = list(groups)
 
     def reduce_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -70,11 +69,34 @@ def moments(
     columns = [vector, *names] + ([weight] if weight else [])
     types = dict(df.dtypes)
     schema = ", ".join([f"{g} {types[g]}" for g in names] + ["sums array<double>"])
-    result = {}
-    for key, flat in added(df.select(*columns).mapInPandas(reduce_batches, schema), names).items():
-        p = int(round((np.sqrt(1 + 4 * (len(flat) - 1)) - 1) / 2))
-        result[key] = Moments(flat[0], flat[1 : p + 1], flat[p + 1 :].reshape(p, p))
-    return result
+    return df.select(*columns).mapInPandas(reduce_batches, schema)
+
+
+def unpacked(flat: np.ndarray) -> Moments:
+    p = int(round((np.sqrt(1 + 4 * (len(flat) - 1)) - 1) / 2))
+    return Moments(flat[0], flat[1 : p + 1], flat[p + 1 :].reshape(p, p))
+
+
+def moments(df: DataFrame, vector: str, groups: Sequence[str] = (), weight: str | None = None) -> dict[tuple, Moments]:
+    """Weighted moments per group (one entry, keyed ``()``, without groups)."""
+    return {key: unpacked(flat) for key, flat in added(moment_parts(df, vector, groups, weight), list(groups)).items()}
+
+
+def from_moments(
+    df: DataFrame, vector: str, groups: Sequence[str], measure: Callable[[Moments], Sequence[float]], weight: str | None = None
+) -> dict[tuple, np.ndarray]:
+    """``measure`` of each group's moments, taken in the tasks: its few numbers reach the driver, not the matrices."""
+    names = list(groups)
+    sums = summed(moment_parts(df, vector, groups, weight), names)
+
+    def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = [np.asarray(measure(unpacked(np.asarray(flat))), dtype="float64") for flat in pdf["sums"]]
+            yield pdf[names].assign(found=found)
+
+    types = dict(df.dtypes)
+    schema = ", ".join([f"{g} {types[g]}" for g in names] + ["found array<double>"])
+    return {tuple(r[g] for g in names): np.asarray(r["found"]) for r in sums.mapInPandas(measured, schema).collect()}
 
 
 def principal_axes(scatter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
