@@ -168,20 +168,22 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
 def _prefix_pairs(left_over: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b) of different labels that may reach the threshold, by prefix filtering: with shingles in order of
-    rarity, two sets that similar share one of the first n - ceil(threshold * n) + 1 of each. What many documents have
-    in common is frequent and stays out of their prefixes."""
+    rarity, two sets that similar share one of the first n - ceil(threshold * n) + 1 of each, and enough after the first
+    that they share. What many documents have in common is frequent and stays behind what tells them apart."""
     tokens = left_over.join(sets, "class").select("class", "label", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
     often = tokens.groupBy("shingle").agg(F.count(F.lit(1)).alias("often"))
     ranked = tokens.join(often, "shingle").groupBy("class", "label", "n").agg(F.sort_array(F.collect_list(F.struct("often", "shingle"))).alias("all"))
     prefix = stored(
-        ranked.select("class", "label", "n", F.explode(F.slice("all", F.lit(1), (F.col("n") - F.ceil(threshold * F.col("n") - SLACK) + 1).cast("int"))).alias("x"))
-        .where("x.often > 1").select("class", "label", "n", F.col("x.shingle").alias("shingle")),
+        ranked.select("class", "label", "n", F.posexplode(F.slice("all", F.lit(1), (F.col("n") - F.ceil(threshold * F.col("n") - SLACK) + 1).cast("int"))).alias("at", "x"))
+        .where("x.often > 1").select("class", "label", "n", "at", F.col("x.shingle").alias("shingle")),
         "prefix",
     )
     one, two = prefix.alias("p"), prefix.alias("q")
     similar = F.least("p.n", "q.n") >= threshold * F.greatest("p.n", "q.n") - SLACK
+    # Positional bound: what two sets share from their first common shingle on must be enough.
+    enough = F.least(F.col("p.n") - F.col("p.at"), F.col("q.n") - F.col("q.at")) >= threshold / (1 + threshold) * (F.col("p.n") + F.col("q.n")) - SLACK
     return (
-        one.join(two, (F.col("p.shingle") == F.col("q.shingle")) & (F.col("p.label") < F.col("q.label")) & similar)
+        one.join(two, (F.col("p.shingle") == F.col("q.shingle")) & (F.col("p.label") < F.col("q.label")) & similar & enough)
         .select(F.least("p.class", "q.class").alias("a"), F.greatest("p.class", "q.class").alias("b"))
     )
 
