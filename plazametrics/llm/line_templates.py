@@ -5,9 +5,11 @@ fields and count as one wildcard. Under a path that many documents share, a posi
 of the path's lines have the same token there and variable elsewhere; a line's template is its constants. Templates
 that recur across documents are dropped from every document, if most of the line is constant.
 
-Counts are over different texts. Copies of a text count once, and a template must also come with as many different
-text sketches (least shingle hash) as ``share`` of its texts, so that the lines which a group of near copies has in
-common are no boilerplate: removing those copies is another operator's task.
+Counts are over different texts, and near copies count once: a template must come with enough groups of texts that are
+linked by a Jaccard similarity of shingle sets of ``ALIKE`` or more, so that the lines which a group of near copies has in
+common are no boilerplate: removing those copies is another operator's task. Where a template's lines are a quarter of
+a text's tokens or more, the text is compared without them, so that a long passage does not make unrelated texts alike;
+a text has four such templates at most. A text that has no other lines is compared whole.
 
 Empty lines stay. A null text stays null. Repeated rows are treated alike. All other columns pass unchanged.
 """
@@ -20,12 +22,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .shared import BitFilter, Words, mixed, prefix_hashes, shingle_hashes, shingle_starts, signed, slice_hashes, slices, stored, text_bytes
+from . import minhash
+from .shared import BitFilter, mixed, prefix_hashes, signed, slice_hashes, slices, stored, text_bytes, text_key
 
 DEPTH = 3
 MIN_DOCUMENTS = 10
-SHARE = 0.5
 CONSTANT = 0.6
+#: Texts of this Jaccard similarity are near copies; such a pair shares none of 80 bands of 3 registers with probability 2e-5.
+ALIKE = 0.5
+BANDS, ROWS = 80, 3
+#: A template with this share of a text's tokens is left out where the text is compared.
+LARGE = 0.25
 WILDCARD = np.uint64(0x2A3C2A3E2A3C2A3E)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -69,58 +76,65 @@ class Lines:
         self.path = path
 
 
-def _sketches(array: pa.Array) -> np.ndarray:
-    """The least hash of each text's five-word shingles; of all its words where it has fewer."""
-    words = Words(array)
-    hashes = words.hashes()
-    starts = shingle_starts(words.first, 5)
-    out = np.full(len(words.counts), np.uint64(0xFFFFFFFFFFFFFFFF))
-    doc = np.searchsorted(words.first, starts, "right") - 1
-    np.minimum.at(out, doc, shingle_hashes(hashes, starts, 5))
-    word_doc = np.repeat(np.arange(len(words.counts)), words.counts)
-    short = words.counts[word_doc] < 5
-    np.minimum.at(out, word_doc[short], hashes[short])
-    return out
-
-
 def _paths(batches, depth: int):
     for part in slices(batches):
-        lines, sketch = Lines(part.column(1), depth), _sketches(part.column(1))
+        lines = Lines(part.column(1), depth)
         pair = np.unique(np.stack([lines.doc.astype(np.uint64), lines.path]), axis=1)
         doc = pair[0].astype(np.int64)
-        yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc)), pa.array(signed(sketch[doc])), pa.array(signed(pair[1].copy()))], names=["key", "sketch", "path"])
+        yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc)), pa.array(signed(pair[1].copy()))], names=["key", "path"])
 
 
 def _lines_of(batches, depth: int, known: BitFilter):
     for part in slices(batches):
-        lines, sketch = Lines(part.column(1), depth), _sketches(part.column(1))
+        lines = Lines(part.column(1), depth)
+        tokens_of = np.bincount(lines.doc, lines.length, minlength=part.num_rows).astype(np.int64)
         hit = np.flatnonzero(known.has(lines.path))
         doc = lines.doc[hit]
         ends = np.concatenate([[0], np.cumsum(lines.length[hit])]).astype(np.int32)
         tokens = np.concatenate([lines.tokens[lines.first[i] : lines.first[i + 1]] for i in hit.tolist()] or [lines.tokens[:0]])
         yield pa.RecordBatch.from_arrays(
-            [part.column(0).take(pa.array(doc)), pa.array(signed(sketch[doc])), pa.array(signed(lines.path[hit])), pa.array(lines.number[hit], pa.int32()),
+            [part.column(0).take(pa.array(doc)), pa.array(tokens_of[doc]), pa.array(signed(lines.path[hit])), pa.array(lines.number[hit], pa.int32()),
              pa.ListArray.from_arrays(pa.array(ends), pa.array(signed(tokens)))],
-            names=["key", "sketch", "path", "line", "tokens"],
+            names=["key", "n_text", "path", "line", "tokens"],
         )
 
 
-def _recurring(rows: DataFrame, by: list[str], min_documents: int, share: float) -> DataFrame:
-    """Those ``by`` that enough texts have, in enough different sketches; ``rows``: one per text and ``by``."""
-    per_sketch = rows.groupBy(*by, "sketch").agg(F.count(F.lit(1)).alias("n"))
-    counted = per_sketch.groupBy(*by).agg(F.sum("n").alias("texts"), F.count(F.lit(1)).alias("sketches"))
-    return counted.where((F.col("sketches") >= min_documents) & (F.col("sketches") >= share * F.col("texts"))).select(*by)
+def _frequent(rows: DataFrame, by: list[str], min_documents: int) -> DataFrame:
+    """Those ``by`` that enough texts have; ``rows``: one per text and ``by``."""
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_documents).select(*by)
+
+
+def _recurring(named: DataFrame, texts: DataFrame, min_documents: int) -> DataFrame:
+    """Templates that enough groups of near copies have; ``named``: key, n_text, line, n and template of each line."""
+    frequent = _frequent(named.select("key", "template").distinct(), ["template"], min_documents)
+    held = (
+        named.join(frequent, "template")
+        .groupBy("key", "template").agg(F.sort_array(F.collect_set("line")).alias("lines"), F.sum("n").alias("part"), F.first("n_text").alias("n_text"))
+    )
+    large = (F.col("part") >= LARGE * F.col("n_text")) & (F.col("part") < F.col("n_text"))
+    held = stored(held.select("key", "template", F.when(large, F.col("template")).alias("without"), F.when(large, F.col("lines")).alias("lines")), "held")
+    wanted = held.groupBy("key").agg(F.collect_set(F.struct("without", "lines")).alias("units"))
+    apart = texts.dropDuplicates(["key"]).join(wanted, "key").select("key", "text", F.inline("units"))
+    rest = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("lines", i)), "\n")
+    units = stored(apart.select("key", "without", F.when(F.col("lines").isNull(), F.col("text")).otherwise(rest).alias("text")), "units")
+    groups = minhash.grouped(units.select(F.lit(None).cast("long").alias("doc_id"), "text"), ALIKE, bands=BANDS, rows=ROWS).select("text_key", "leader").distinct()
+    named_units = units.select("key", "without", text_key("text").alias("text_key")).join(groups, "text_key")
+    of = named_units.withColumnsRenamed({"key": "_key", "without": "_without"})
+    return _frequent(
+        held.join(of, (F.col("key") == F.col("_key")) & F.col("without").eqNullSafe(F.col("_without"))).select("template", "leader").distinct(),
+        ["template"], min_documents,
+    )
 
 
-def recurring_lines(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, depth: int = DEPTH, share: float = SHARE, constant: float = CONSTANT, text: str = "text") -> DataFrame:
+def recurring_lines(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, depth: int = DEPTH, constant: float = CONSTANT, text: str = "text") -> DataFrame:
     """(key, lines): for each text with recurring templates its md5 and the numbers of their lines."""
     sc = docs.sparkSession.sparkContext
     texts = docs.where(F.col(text).isNotNull()).select(F.unhex(F.md5(F.col(text).cast("binary"))).alias("key"), F.col(text).cast("string").alias("text"))
-    paths = texts.mapInArrow(lambda b: _paths(b, depth), "key binary, sketch bigint, path bigint").distinct()
-    hot = stored(_recurring(paths, ["path"], min_documents, share), "paths")
+    paths = texts.mapInArrow(lambda b: _paths(b, depth), "key binary, path bigint").distinct()
+    hot = stored(_frequent(paths, ["path"], min_documents), "paths")
     known = BitFilter.of(hot, "path")
     shared = sc.broadcast((known.bits, known.log2))
-    lines = texts.mapInArrow(lambda b: _lines_of(b, depth, BitFilter(*shared.value)), "key binary, sketch bigint, path bigint, line int, tokens array<bigint>")
+    lines = texts.mapInArrow(lambda b: _lines_of(b, depth, BitFilter(*shared.value)), "key binary, n_text bigint, path bigint, line int, tokens array<bigint>")
     lines = stored(lines.dropDuplicates(["key", "line"]).join(hot, "path"), "lines")
 
     totals = lines.groupBy("path").agg(F.count(F.lit(1)).alias("total"))
@@ -134,13 +148,12 @@ def recurring_lines(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, depth:
     held = F.transform("tokens", lambda t, i: F.when((i < depth) | (F.get("constants", i)["token"] == t), t))
     named = (
         lines.join(constants, "path")
-        .select("key", "sketch", "path", "line", F.size("tokens").alias("n"), held.alias("held"))
-        .select("key", "sketch", "line", "path", F.xxhash64("path", "held").alias("template"), (F.size(F.filter("held", lambda x: x.isNotNull())) >= constant * F.col("n")).alias("firm"))
-        .where("firm").select("key", "sketch", "line", "path", "template")
+        .select("key", "n_text", "path", "line", F.size("tokens").alias("n"), held.alias("held"))
+        .select("key", "n_text", "line", "n", F.xxhash64("path", "held").alias("template"), (F.size(F.filter("held", lambda x: x.isNotNull())) >= constant * F.col("n")).alias("firm"))
+        .where("firm").select("key", "n_text", "line", "n", "template")
     )
     named = stored(named, "templates")
-    recurring = _recurring(named.select("key", "sketch", "path", "template").distinct(), ["path", "template"], min_documents, share)
-    return named.join(recurring, ["path", "template"]).groupBy("key").agg(F.sort_array(F.collect_set("line")).alias("lines"))
+    return named.join(_recurring(named, texts, min_documents), "template").groupBy("key").agg(F.sort_array(F.collect_set("line")).alias("lines"))
 
 
 def _without(texts: pa.Array, lines: pa.Array) -> tuple[list, list, list]:

@@ -192,7 +192,11 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, n: int = SHIN
     """One row per document: doc_id, text_key (md5), class_id (least doc_id of equal shingle sets), group_id (least of the group),
     n_class (rows of the class), n_links (other classes that the class is linked with, as far as they were
     compared), kept (the first document of its group)."""
-    spark = docs.sparkSession
+    return grouped(docs, threshold, n, bands, rows, doc, text).select("doc_id", "text_key", "class_id", "group_id", "n_class", "n_links", (F.col("row") == F.col("leader")).alias("kept"))
+
+
+def grouped(docs: DataFrame, threshold: float = THRESHOLD, n: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """As :func:`near_duplicates`, with the numbers of the document's row and of its group's first row instead of kept."""
     chosen = docs.select(F.col(doc).cast("long").alias("doc_id"), text_key(text).alias("text_key"), F.col(text).cast("string").alias("text"))
     signed_docs = stored(signatures(chosen, n, bands, rows).withColumn("row", F.monotonically_increasing_id()), "signatures")
     # Classes are numbered by their first row; a document without words is a class of its own.
@@ -262,7 +266,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, n: int = SHIN
     return (
         named.select("doc_id", "text_key", "row", "name_a", "name_b", "own").alias("d").join(
             of_class.alias("c"), (F.col("d.name_a") == F.col("c.name_a")) & (F.col("d.name_b") == F.col("c.name_b")) & F.col("d.own").eqNullSafe(F.col("c.own"))
-        ).select("d.doc_id", "text_key", "class_id", "group_id", "n_class", "n_links", (F.col("row") == F.col("leader")).alias("kept"))
+        ).select("d.doc_id", "text_key", "class_id", "group_id", "n_class", "n_links", "row", "leader")
     )
 
 

@@ -4,6 +4,8 @@ import random
 
 from plazametrics.llm import line_templates as L
 
+from .test_minhash import shingles
+
 
 def corpus():
     draw = random.Random(6)
@@ -72,3 +74,80 @@ def test_near_copies_keep_their_lines(spark):
     assert all(r.n_dropped == 0 for r in got.where("doc_id between 40 and 64").collect())
     assert got.where("text is null").count() == 1
     assert L.without_recurring_lines(docs.limit(0)).count() == 0
+
+
+def by_force_with_groups(texts, least=10, depth=3, constant=0.6, alike=0.5):
+    """Every rule in plain loops: templates by path, then groups of near copies among their texts."""
+    import collections
+
+    mask = lambda line: tuple("*" if any(c.isdigit() for c in t) else t for t in line.split())
+    distinct = sorted({t for t in texts if t})
+    paths, columns, total = collections.defaultdict(set), collections.Counter(), collections.Counter()
+    for t in distinct:
+        for line in t.split("\n"):
+            m = mask(line)
+            p = (len(m), m[:depth])
+            paths[p].add(t)
+            total[p] += 1
+            columns.update((p, i, x) for i, x in enumerate(m))
+
+    def template(line):
+        m = mask(line)
+        p = (len(m), m[:depth])
+        made = tuple(x if i < depth or 2 * columns[p, i, x] > total[p] else None for i, x in enumerate(m))
+        return (p, made) if m and len(paths[p]) >= least and sum(x is not None for x in made) >= constant * len(m) else None
+
+    holders = collections.defaultdict(set)
+    for t in distinct:
+        for line in t.split("\n"):
+            if template(line):
+                holders[template(line)].add(t)
+    holders = {k: v for k, v in holders.items() if len(v) >= least}
+
+    def unit(t, k):
+        rest = [line for line in t.split("\n") if template(line) != k]
+        whole, other = len(t.split()), len(" ".join(rest).split())
+        return "\n".join(rest) if 4 * (whole - other) >= whole and other else t
+
+    units = sorted({unit(t, k) for k, ts in holders.items() for t in ts})
+    sets, parent = [shingles(u) for u in units], list(range(len(units)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a and sets[j] and len(a & sets[j]) >= alike * len(a | sets[j]):
+                parent[find(i)] = find(j)
+    group = {u: find(i) for i, u in enumerate(units)}
+    drop = {k for k, ts in holders.items() if len({group[unit(t, k)] for t in ts}) >= least}
+    return [t if t is None else "\n".join(line for line in t.split("\n") if template(line) not in drop) for t in texts]
+
+
+def test_long_passages_go_and_hot_near_copies_keep_theirs(spark):
+    draw = random.Random(12)
+    prose = lambda n: " ".join("".join(draw.choice("abcdefgh") for _ in range(draw.randint(2, 7))) for _ in range(n))
+    passages, texts = [prose(n) for n in (55, 200, 400)], corpus()
+    for passage in passages:
+        for _ in range(30):
+            lines = [prose(draw.randint(5, 40)) for _ in range(3)]
+            lines.insert(draw.randint(0, 3), passage)
+            texts.append("\n".join(lines))
+    own = [prose(300), prose(80)]
+    for i in range(120):
+        words = own[1].split()
+        words[draw.randrange(4, 80)] = f"{prose(1)}x{'abcdefghij'[i % 10]}"
+        texts.append("\n".join([own[0], " ".join(words)]))
+    # Twelve groups of near copies that have one footer.
+    footer = prose(60)
+    for _ in range(12):
+        base = prose(60)
+        texts += ["\n".join([base, prose(4), footer]) for _ in range(3)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in L.without_recurring_lines(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == by_force_with_groups(texts)
+    after = [t for t in got.values() if t]
+    assert not any(p in t.split("\n") for p in [*passages, footer] for t in after)
+    assert sum(own[0] in t.split("\n") for t in after) == 120
