@@ -1,9 +1,10 @@
-"""Near-duplicate documents: ProbMinHash signatures over weighted five-word shingles, banding, exact verification.
+"""Near-duplicate documents: ProbMinHash signatures over five-word shingles, banding, exact verification.
 
-Every distinct shingle of a document is a Poisson process whose rate is its count; its arrivals fall on random
+Every distinct shingle of a document is a Poisson process whose rate is its weight; its arrivals fall on random
 registers, each register keeps the shingle that came first, and a shingle stops as soon as its next arrival would be
 later than every register's. Two documents agree in a register with the probability Jaccard similarity of their
-weighted shingles. Registers are grouped into bands; documents that share a band are candidates.
+weighted shingles. All weights are 1, so that this is the Jaccard similarity of shingle sets by which links are verified:
+a passage that a document repeats many times takes no register from the others. Registers are grouped into bands; documents that share a band are candidates.
 
 Documents with the same shingle set are one class and only its representative goes on. Within a band's bucket no
 pairs are enumerated: all members are compared with one centre, then with another where the bucket still holds several
@@ -99,8 +100,8 @@ def signatures(docs: DataFrame, n: int = SHINGLE, bands: int = BANDS, rows: int
 
     def signed_rows(batches):
         for part in slices(batches, limit=_SLICE):
-            codes, counts, first = weighted_shingles(part.column(2), n)
-            registers = prob_minhash(codes, counts, first, bands * rows).reshape(len(first) - 1, bands, rows)
+            codes, _, first = weighted_shingles(part.column(2), n)
+            registers = prob_minhash(codes, np.ones(len(codes)), first, bands * rows).reshape(len(first) - 1, bands, rows)
             total = np.zeros(registers.shape[:2], np.uint64) + np.arange(bands, dtype=np.uint64)
             for r in range(rows):
                 total = mixed(total * np.uint64(_GOLDEN) + registers[:, :, r])

@@ -82,3 +82,14 @@ def test_without_near_duplicates(spark):
     assert kept.columns == docs.columns
     assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect())[-2:] == [(1, "The same words, in here"), (7, "other")]
     assert M.without_near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_a_passage_repeated_many_times(spark):
+    draw = random.Random(9)
+    texts = []
+    for times in (10, 50, 200, 50, 50, 50):
+        words = ["w" + str(draw.getrandbits(40)) for _ in range(104)]
+        texts += [" ".join(words), " ".join(words + words[40:56] * times)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r.doc_id: r.group_id for r in M.near_duplicates(docs).collect()}
+    assert [rows[i] for i in range(len(texts))] == groups(texts) == [i - i % 2 for i in range(len(texts))]
