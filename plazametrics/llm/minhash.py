@@ -191,9 +191,8 @@ def _prefix_pairs(left_over: DataFrame, sets: DataFrame, threshold: float) -> Da
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, n: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, text_key (md5), class_id (least doc_id of equal shingle sets), group_id (least of the group),
-    n_class (rows of the class), n_links (other classes that the class is linked with, as far as they were
-    compared), kept (the first document of its group)."""
-    return grouped(docs, threshold, n, bands, rows, doc, text).select("doc_id", "text_key", "class_id", "group_id", "n_class", "n_links", (F.col("row") == F.col("leader")).alias("kept"))
+    n_class (rows of the class), kept (the first document of its group)."""
+    return grouped(docs, threshold, n, bands, rows, doc, text).select("doc_id", "text_key", "class_id", "group_id", "n_class", (F.col("row") == F.col("leader")).alias("kept"))
 
 
 def grouped(docs: DataFrame, threshold: float = THRESHOLD, n: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, doc: str = "doc_id", text: str = "text") -> DataFrame:
@@ -257,17 +256,16 @@ def grouped(docs: DataFrame, threshold: float = THRESHOLD, n: int = SHINGLE, ban
             edges = edges.union(more)
             labels = components(edges)
 
-    degree = edges.select(F.col("a").alias("node")).union(edges.select("b")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     of_class = (
-        classes.join(labels, F.col("class") == F.col("node"), "left").drop("node").join(degree, F.col("class") == F.col("node"), "left").drop("node")
-        .select("name_a", "name_b", "own", "class", "class_id", "n_class", F.coalesce("label", "class").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+        classes.join(labels, F.col("class") == F.col("node"), "left").drop("node")
+        .select("name_a", "name_b", "own", "class", "class_id", "n_class", F.coalesce("label", "class").alias("label"))
     )
     leaders = of_class.groupBy("label").agg(F.min(F.struct(F.col("class_id").isNull().alias("unknown"), "class_id", "class")).alias("leader"))
-    of_class = of_class.join(leaders, "label").select("name_a", "name_b", "own", "class_id", "n_class", "n_links", F.col("leader.class_id").alias("group_id"), F.col("leader.class").alias("leader"))
+    of_class = of_class.join(leaders, "label").select("name_a", "name_b", "own", "class_id", "n_class", F.col("leader.class_id").alias("group_id"), F.col("leader.class").alias("leader"))
     return (
         named.select("doc_id", "text_key", "row", "name_a", "name_b", "own").alias("d").join(
             of_class.alias("c"), (F.col("d.name_a") == F.col("c.name_a")) & (F.col("d.name_b") == F.col("c.name_b")) & F.col("d.own").eqNullSafe(F.col("c.own"))
-        ).select("d.doc_id", "text_key", "class_id", "group_id", "n_class", "n_links", "row", "leader")
+        ).select("d.doc_id", "text_key", "class_id", "group_id", "n_class", "row", "leader")
     )
 
 

@@ -93,3 +93,8 @@ def test_a_passage_repeated_many_times(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     rows = {r.doc_id: r.group_id for r in M.near_duplicates(docs).collect()}
     assert [rows[i] for i in range(len(texts))] == groups(texts) == [i - i % 2 for i in range(len(texts))]
+
+
+def test_no_column_depends_on_the_comparisons_made(spark):
+    docs = spark.createDataFrame([(1, "a b c d e")], "doc_id long, text string")
+    assert M.near_duplicates(docs).columns == ["doc_id", "text_key", "class_id", "group_id", "n_class", "kept"]
