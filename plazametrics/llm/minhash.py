@@ -37,6 +37,8 @@ STAR_ROUNDS = 1
 _SLICE = 6 << 20
 #: Products such as 0.8 * 35 may come out a little above the whole number.
 SLACK = 1e-9
+#: A character of a word, as :class:`Words` has them.
+_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 _GOLDEN = 0x9E3779B97F4A7C15
 
 
@@ -270,8 +272,10 @@ def grouped(docs: DataFrame, threshold: float = THRESHOLD, n: int = SHINGLE, ban
 
 
 def without_near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """One row of each group, its first document, with all columns of ``docs``."""
-    found = near_duplicates(docs.select(doc, text), doc=doc, text=text, **options).where("kept").select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key"))
-    kept = docs.join(found, F.col(doc).cast("long").eqNullSafe(F.col("_doc")) & (text_key(text) == F.col("_key")))
+    """One row of each group, its first document, and every row without words, with all columns of ``docs``."""
+    has_words = F.coalesce(F.col(text).cast("string"), F.lit("")).rlike(_WORD)
+    some = docs.where(has_words)
+    found = near_duplicates(some.select(doc, text), doc=doc, text=text, **options).where("kept").select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key"))
+    kept = some.join(found, F.col(doc).cast("long").eqNullSafe(F.col("_doc")) & (text_key(text) == F.col("_key")))
     # Repeated rows of the first document would all have been found.
-    return kept.dropDuplicates(["_doc", "_key"]).drop("_doc", "_key")
+    return kept.dropDuplicates(["_doc", "_key"]).drop("_doc", "_key").union(docs.where(~has_words))

@@ -98,3 +98,10 @@ def test_a_passage_repeated_many_times(spark):
 def test_no_column_depends_on_the_comparisons_made(spark):
     docs = spark.createDataFrame([(1, "a b c d e")], "doc_id long, text string")
     assert M.near_duplicates(docs).columns == ["doc_id", "text_key", "class_id", "group_id", "n_class", "kept"]
+
+
+def test_rows_without_words_all_stay(spark):
+    rows = [(None, None, 1), (None, "", 2), (None, None, 3), (5, "!?", 4), (5, "!?", 5), (6, "Words here\n", 6), (6, "Words here\n", 7), (8, "é", 8), (9, "é", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row int")
+    kept = sorted(r.row for r in M.without_near_duplicates(docs).collect())
+    assert kept[:5] == [1, 2, 3, 4, 5] and kept[5] in (6, 7) and kept[6:] == [8]
