@@ -1,7 +1,7 @@
 """URL filter: rules by host and path, and for the rest words of the host and naive Bayes.
 
 Host names are concatenated words. Each label of a host is segmented by a unigram model: Viterbi over the cuts, with
-word counts of the pages' own text; only substrings of labels are joined with the counts, so no word list travels.
+word counts of the pages' visible text, without markup, urls and words that only names of hosts have; only substrings of labels are joined with the counts, so no word list travels.
 Multinomial naive Bayes then scores the segmented host words and the path's words. The rules are a policy about sites
 and languages and say nothing about words, so they are not learned from: a url counts as unwanted where a word of its
 host or path is a seed word, and as wanted otherwise, and the words that stand with the seeds are learned from that.
@@ -67,10 +67,20 @@ def rule_of(host: Column, path: Column, rules: list[Rule]) -> Column:
     return choice
 
 
+def visible(html: Column) -> Column:
+    """Text between the tags: without comments, scripts, styles, tags with their attributes, and urls."""
+    for pattern in (r"(?s)<!--.*?-->", r"(?is)<(script|style)\b.*?</\1\s*>", r"""<[A-Za-z/!?](?:[^'">]++|"[^"]*+"|'[^']*+')*+>""", r"<[A-Za-z/!?][^>]*>", r"""[A-Za-z][A-Za-z0-9+.-]*://[^\s<>"']*"""):
+        html = F.regexp_replace(html, pattern, " ")
+    return html
+
+
 def word_counts(pages: DataFrame, text: str) -> DataFrame:
-    """(word, n): runs of a-z in the pages' text."""
-    words = F.explode(F.split(lower_ascii(F.col(text)), "[^a-z]+"))
-    return pages.select(words.alias("word")).where((F.length("word") > 0) & (F.length("word") <= LONGEST_WORD)).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    """(word, n): runs of a-z in the pages' visible text; words that occur in dotted names alone are left out."""
+    chunks = pages.select(F.explode(F.split(lower_ascii(visible(F.col(text))), "[^a-z0-9.-]+")).alias("chunk")).groupBy("chunk").agg(F.count(F.lit(1)).alias("n"))
+    dotted = F.col("chunk").rlike(r"[a-z0-9-]\.[a-z0-9-]")
+    words = chunks.select(F.explode(F.split("chunk", "[^a-z]+")).alias("word"), "n", F.when(dotted, 0).otherwise(F.col("n")).alias("apart"))
+    counted = words.where((F.length("word") > 0) & (F.length("word") <= LONGEST_WORD)).groupBy("word").agg(F.sum("n").alias("n"), F.sum("apart").alias("apart"))
+    return counted.where("apart > 0").select("word", "n")
 
 
 def segmented(label: str, known: dict[str, float], unknown: float) -> list[str]:

@@ -42,3 +42,13 @@ def test_segmentation_splits_concatenated_names(spark):
     pages = spark.createDataFrame([(i, f"http://{h}.org/", "free casino news free news") for i, h in enumerate(["freecasinonews", "x" * 70, "free"])], "page_id long, url string, html string")
     words = {r.host: r.host_words for r in U.judged(pages, URL_RULES).collect()}
     assert words["freecasinonews.org"] == ["free", "casino", "news", "org"]
+
+
+def test_a_page_that_names_its_own_host(spark):
+    html = """<!-- cheappills --><title>News</title><script>cheappills = "</p>";</script><a title="a > cheappills" href="http://cheappills.net/en/1">Cheap pills, pills</a>
+    <p>cheap news of casinowin.org. See https://cheappills.net/en/1?x=cheappills or cheappills.net: casino win, win"""
+    pages = spark.createDataFrame([(i, f"http://{h}/en/{i}", html) for i, h in enumerate(["cheappills.net", "casinowin.org"])], "page_id long, url string, html string")
+    assert {r.word for r in U.word_counts(pages, "html").collect()} == {"news", "cheap", "pills", "of", "see", "or", "casino", "win"}
+    rows = {r.host: r for r in U.judged(pages, []).collect()}
+    assert rows["cheappills.net"].host_words == ["cheap", "pills", "net"] and rows["casinowin.org"].host_words == ["casino", "win", "org"]
+    assert {r.verdict for r in rows.values()} == {"block"}
