@@ -5,7 +5,7 @@ word counts of the pages' visible text, without markup, urls and words that only
 Multinomial naive Bayes then scores the segmented host words and the path's words. The rules are a policy about sites
 and languages and say nothing about words, so they are not learned from: a url counts as unwanted where a word of its
 host or path is a seed word, and as wanted otherwise, and the words that stand with the seeds are learned from that.
-Counts over all pages are kept in hashed cells, a table of fixed size.
+Counts are kept by word in a table, from which each word's odds are joined to the distinct lists of words that urls have.
 
 Null urls and urls without "://" have an empty host and path; no rule fits them and the method judges them by its
 prior alone. Repeated rows are judged alike. Other columns are not read, but for the text that gives word counts.
@@ -20,7 +20,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CELLS = 1 << 18
+from .shared import stored
+
+#: Words with this share of all words or more, a thousand at most, are broadcast; no other word fills a task.
+COMMON = 0.001
 LONGEST_WORD = 24
 #: A label longer than this is not a legal host label; it is one word.
 LONGEST_LABEL = 63
@@ -129,10 +132,6 @@ def label_words(labels: DataFrame, counts: DataFrame) -> DataFrame:
     return found.select("label", cut("label", "words", F.coalesce("total", F.lit(1))).alias("words"))
 
 
-def cell(word: Column) -> Column:
-    return F.xxhash64(word).bitwiseAND(CELLS - 1)
-
-
 def judged(pages: DataFrame, rules: list[Rule], page: str = "page_id", url: str = "url", text: str = "html", seeds: tuple[str, ...] = SEEDS) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict, host_words, score (log odds of block)."""
     spark = pages.sparkSession
@@ -149,28 +148,26 @@ def judged(pages: DataFrame, rules: list[Rule], page: str = "page_id", url: str
     rows = ruled.join(host_words, F.col("host") == F.col("_host"), "left").drop("_host").withColumn("host_words", F.coalesce("host_words", F.array().cast("array<string>")))
     rows = rows.withColumn("words", F.concat("host_words", F.transform(path_words, lambda w: F.concat(F.lit("/"), w))))
 
+    rows = stored(rows, "urls")
+
     unwanted = F.exists("words", lambda w: F.regexp_replace(w, "^/", "").isin(list(seeds)))
-    learned = rows.select(F.when(unwanted, "block").otherwise("allow").alias("verdict"), "words")
-    counted = learned.select("verdict", F.explode("words").alias("word")).groupBy(cell(F.col("word")).alias("cell"), "verdict").agg(F.count(F.lit(1)).alias("n")).toArrow()
-    classes = learned.groupBy("verdict").count().toArrow().to_pylist()
-    n = {"block": np.zeros(CELLS), "allow": np.zeros(CELLS)}
-    for verdict, table in n.items():
-        mine = np.array([v == verdict for v in counted.column("verdict").to_pylist()], bool)
-        table[counted.column("cell").to_numpy()[mine]] += counted.column("n").to_numpy()[mine]
-    for at in spark.createDataFrame([(w,) for w in seeds], "word string").select(cell(F.col("word")).alias("at")).toArrow().column("at").to_pylist():
-        n["block"][at] += SEED_WEIGHT
-    used = int(((n["block"] + n["allow"]) > 0).sum()) + 1
-    odds = np.log((n["block"] + 1) / (n["block"].sum() + used)) - np.log((n["allow"] + 1) / (n["allow"].sum() + used))
-    prior = {c["verdict"]: c["count"] for c in classes}
-    start = float(np.log((prior.get("block", 0) + 1) / (prior.get("allow", 0) + 1)))
-    # Unseen words say nothing: their odds would only compare the two totals.
-    odds[(n["block"] + n["allow"]) == 0] = 0.0
-    shared = spark.sparkContext.broadcast(odds)
-
-    @F.pandas_udf("double")
-    def log_odds(cells: pd.Series) -> pd.Series:
-        return pd.Series([start + float(shared.value[np.asarray(c, np.int64)].sum()) if len(c) else start for c in cells])
-
-    scored = rows.withColumn("score", log_odds(F.transform("words", cell)))
+    lists = stored(rows.groupBy("words").agg(F.count(F.lit(1)).alias("n")).withColumn("unwanted", unwanted), "words")
+    block, allow = F.when(F.col("unwanted"), F.col("n")).otherwise(0), F.when(F.col("unwanted"), 0).otherwise(F.col("n"))
+    seeded = spark.createDataFrame([(w, SEED_WEIGHT, 0) for w in dict.fromkeys(seeds)], "word string, block bigint, allow bigint")
+    counted = lists.select(F.explode("words").alias("word"), block.alias("block"), allow.alias("allow")).union(seeded)
+    counted = stored(counted.groupBy("word").agg(F.sum("block").alias("block"), F.sum("allow").alias("allow")), "counts")
+    total = counted.agg(F.count(F.lit(1)).alias("words"), F.sum("block").alias("block"), F.sum("allow").alias("allow")).first()
+    used, n_block, n_allow = total.words + 1, total.block or 0, total.allow or 0
+    odds = F.log((F.col("block") + 1) / (n_block + used)) - F.log((F.col("allow") + 1) / (n_allow + used))
+    common = F.col("block") + F.col("allow") >= COMMON * (n_block + n_allow)
+    frequent, others = counted.where(common).select("word", odds.alias("odds")), counted.where(~common).select("word", odds.alias("odds"))
+    classes = lists.agg(F.sum(block).alias("block"), F.sum(allow).alias("allow")).first()
+    start = float(np.log(((classes.block or 0) + 1) / ((classes.allow or 0) + 1)))
+
+    each = lists.select("words", F.explode("words").alias("word"))
+    found = each.join(F.broadcast(frequent), "word").unionByName(each.join(F.broadcast(frequent.select("word")), "word", "left_anti").join(others, "word"))
+    # Added in order of size, so that a score does not depend on the order of rows.
+    scores = found.groupBy("words").agg(F.aggregate(F.sort_array(F.collect_list("odds")), F.lit(start), lambda x, y: x + y).alias("_score")).withColumnRenamed("words", "_words")
+    scored = rows.join(scores, F.col("words") == F.col("_words"), "left").withColumn("score", F.coalesce("_score", F.lit(start)))
     verdict = F.coalesce(F.col("rule.verdict"), F.when(F.col("score") > 0, "block").otherwise("allow"))
     return scored.select("page_id", "host", "path", F.col("rule.name").alias("rule"), verdict.alias("verdict"), "host_words", "score")

@@ -46,9 +46,31 @@ def test_segmentation_splits_concatenated_names(spark):
 
 def test_a_page_that_names_its_own_host(spark):
     html = """<!-- cheappills --><title>News</title><script>cheappills = "</p>";</script><a title="a > cheappills" href="http://cheappills.net/en/1">Cheap pills, pills</a>
-    <p>cheap news of casinowin.org. See https://cheappills.net/en/1?x=cheappills or cheappills.net: casino win, win"""
+    <p>cheap news of casinowin.org. See https://cheappills.net/en/1?x=cheappills and cheappills.net: casino win, win"""
     pages = spark.createDataFrame([(i, f"http://{h}/en/{i}", html) for i, h in enumerate(["cheappills.net", "casinowin.org"])], "page_id long, url string, html string")
-    assert {r.word for r in U.word_counts(pages, "html").collect()} == {"news", "cheap", "pills", "of", "see", "or", "casino", "win"}
-    rows = {r.host: r for r in U.judged(pages, []).collect()}
+    assert {r.word for r in U.word_counts(pages, "html").collect()} == {"news", "cheap", "pills", "of", "see", "and", "casino", "win"}
+    rows = {r.host: r for r in U.judged(pages, [U.Rule("no.rule/", "allow")]).collect()}
     assert rows["cheappills.net"].host_words == ["cheap", "pills", "net"] and rows["casinowin.org"].host_words == ["casino", "win", "org"]
     assert {r.verdict for r in rows.values()} == {"block"}
+
+
+def test_scores_equal_plain_bayes_over_many_words(spark):
+    import collections
+
+    # So many words that hundreds of them would share cells of a hashed table of 2**18.
+    draw = lambda i, k: "".join(chr(97 + (i * 7919 + k * 104729) // 26**j % 26) for j in range(5))
+    many = [[draw(i, k) for k in range(60)] for i in range(300)]
+    paths = [["casino", "win"], ["win", "news"], ["news"], [], *many]
+    pages = spark.createDataFrame([(i, "://" + "/" + "/".join(p), None) for i, p in enumerate(paths)], "page_id long, url string, html string")
+    got = {r.page_id: r.score for r in U.judged(pages, [U.Rule("no.rule/", "allow")]).collect()}
+    n = {"block": collections.Counter(dict.fromkeys(U.SEEDS, U.SEED_WEIGHT)), "allow": collections.Counter()}
+    prior = collections.Counter()
+    for p in paths:
+        verdict = "block" if set(p) & set(U.SEEDS) else "allow"
+        prior[verdict] += 1
+        n[verdict].update("/" + w for w in p)
+    used = len(n["block"].keys() | n["allow"].keys()) + 1
+    rate = lambda v, w: math.log((n[v]["/" + w] + 1) / (sum(n[v].values()) + used))
+    for i, p in enumerate(paths):
+        want = math.log((prior["block"] + 1) / (prior["allow"] + 1)) + sum(rate("block", w) - rate("allow", w) for w in p)
+        assert math.isclose(got[i], want, abs_tol=1e-6), i
