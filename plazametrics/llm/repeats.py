@@ -167,6 +167,14 @@ def _around(texts: DataFrame, g: Geometry, done: list, hot: list) -> DataFrame:
     return texts.mapInArrow(rows_of, schema)
 
 
+def _same_strings(name: np.ndarray, other: np.ndarray):
+    """First row, number of the string for each row, and rows of each string; strings differ where either name does."""
+    _, first, inverse, n = np.unique(name, return_index=True, return_inverse=True, return_counts=True)
+    if (other != other[first][inverse]).any():
+        _, first, inverse, n = np.unique(np.stack([name, other], axis=1), axis=0, return_index=True, return_inverse=True, return_counts=True)
+    return first, inverse.reshape(-1), n
+
+
 def _grouped(batches, g: Geometry, rows_at_once: int = 20_000):
     """Within sorted groups of one core and salt: the strings that occur more than once, as spans of their texts.
 
@@ -186,8 +194,8 @@ def _grouped(batches, g: Geometry, rows_at_once: int = 20_000):
         # Strings of different salts are not compared here.
         core_here = core ^ mixed(salt.astype(np.uint64))[:, None]
         around = (*text_bytes(batch.column(6)), *text_bytes(batch.column(7)))
-        rows, before, name, _ = _windows(*around, g, core_here, low, high)
-        _, first, inverse, n = np.unique(name, return_index=True, return_inverse=True, return_counts=True)
+        rows, before, name, other = _windows(*around, g, core_here, low, high)
+        first, inverse, n = _same_strings(name, other)
         hit = np.flatnonzero(n[inverse] > 1)
         r, back = rows[hit], before[hit]
         new = np.ones(len(hit), bool)

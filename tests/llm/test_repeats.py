@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 from plazametrics.llm import repeats as R
@@ -55,3 +56,11 @@ def test_empty_table_and_clashing_names(spark):
     row = R.without_repeats(docs).first()
     assert (row.doc_id, row.n_bytes, row.n_removed, row.n_spans) == (None, 500, 500, 1)
     assert R.without_repeats(docs.limit(0)).count() == 0
+
+
+def test_strings_with_one_equal_name_differ():
+    name, other = np.array([5, 5, 5, 7, 7], np.uint64), np.array([1, 2, 1, 3, 3], np.uint64)
+    first, inverse, n = R._same_strings(name, other)
+    assert n[inverse].tolist() == [2, 1, 2, 2, 2] and sorted(first.tolist()) == [0, 1, 3]
+    first, inverse, n = R._same_strings(name, name)
+    assert n[inverse].tolist() == [3, 3, 3, 2, 2] and first.tolist() == [0, 3]
