@@ -43,8 +43,11 @@ def starting_rows(df: DataFrame, row_id: str, vector: str, draws: Sequence[tuple
         for pdf in batches:
             table = np.asarray(pdf["_h"].tolist(), dtype="int64").reshape(len(pdf), -1)
             for d, (n, _) in enumerate(draws):
-                mine = pdf[[row_id, vector]].assign(draw=d, hash=table[:, d])
-                best[d] = pd.concat([best[d], mine]).nsmallest(n, ["hash", row_id])
+                # Ids may be of any type that sorts; only rows whose hash can be among the least are sorted by id.
+                own = table[:, d]
+                fits = own <= np.partition(own, n - 1)[n - 1] if n < len(own) else np.ones(len(own), bool)
+                mine = pdf.loc[fits, [row_id, vector]].assign(draw=d, hash=own[fits])
+                best[d] = pd.concat([best[d], mine]).sort_values(["hash", row_id]).head(n)
         for part in best:
             if len(part):
                 yield part[["draw", "hash", row_id, vector]]
