@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontamination, line_templates, minhash, personal_data, quality_mil, repeats, syncmers, token_files, url_filter
+from . import byte_bpe, centroids, decontamination, line_templates, minhash, personal_data, quality_mil, repeats, syncmers, token_files, url_filter
 from .url_filter import Rule
 
 QUERIES: dict = {}
@@ -113,3 +113,28 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     found = repeats.without_repeats(table(spark, folder, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def _op12_sql(k: int = 40, size: int = 64, rounds: int = 5) -> str:
+    """Each round as two tables: the nearest centroid of every vector, and the centroids moved by exact division."""
+    parts = [
+        f"""kept as materialized (select row_number() over () as r, vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v
+  from embeddings where len(embedding) = {size} and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = {size})""",
+        "e as materialized (select r, unnest(v) as x, generate_subscripts(v, 1) as d from kept)",
+        f"c0 as materialized (select row_number() over (order by h nulls last, v) - 1 as c, v from (select sha256('2:' || vec_id) as h, v from kept) qualify row_number() over (order by h nulls last, v) <= {k})",
+    ]
+    for i in range(rounds + 1):
+        parts.append(f"""a{i} as materialized (select r, c, dist from (select k.r, m.c, cast(list_sum(list_transform(generate_series(1, {size}), lambda i: (k.v[i] - m.v[i]) * (k.v[i] - m.v[i]))) as bigint) as dist
+  from kept k, c{i} m) qualify row_number() over (partition by r order by dist, c) = 1)""")
+        if i < rounds:
+            parts.append(f"""c{i + 1} as materialized (select o.c, coalesce(n.v, o.v) as v from c{i} o left join (select c, list(cast((s - ((s % n) + n) % n) // n as bigint) order by d) as v
+  from (select c, d, sum(x) as s, count(*) as n from a{i} join e using (r) group by c, d) group by c) n using (c))""")
+    return f"""with {", ".join(parts)}
+select kept.vec_id, cast(c as int) as cluster, dist as distance, cast(sum(dist) over (partition by c) as bigint) as cluster_inertia,
+  cast(sum(dist) over () as bigint) as inertia, sha256(array_to_string(m.v, ',')) as centroid_sha256
+from a{rounds} join kept using (r) join c{rounds} m using (c)"""
+
+
+@query("op12_simplex_centroids", _op12_sql())
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return centroids.clustered(centroids.fitted(table(spark, folder, "embeddings")))
