@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, centroids, decontamination, line_templates, minhash, personal_data, quality_mil, repeats, syncmers, token_files, url_filter
+from . import byte_bpe, centroids, decontamination, lexical, line_templates, minhash, packing, personal_data, quality_mil, repeats, syncmers, token_files, url_filter
 from .url_filter import Rule
 
 QUERIES: dict = {}
@@ -138,3 +138,30 @@ from a{rounds} join kept using (r) join c{rounds} m using (c)"""
 @query("op12_simplex_centroids", _op12_sql())
 def op12(spark: SparkSession, folder: str) -> DataFrame:
     return centroids.clustered(centroids.fitted(table(spark, folder, "embeddings")))
+
+
+@query("op11_vector_packing")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.packed_documents(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+_TERMS = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+_OP13_SQL = f"""
+with d as materialized (select row_number() over () as r, doc_id, unnest({_TERMS}) as term from documents),
+c as materialized (select r, any_value(doc_id) as doc_id, term, count(*) as tf from d group by r, term),
+lens as materialized (select r, cast(sum(tf) as bigint) as n from c group by r),
+t as (select count(*) as docs, cast(sum(n) as bigint) as terms from lens),
+b as materialized (select distinct q, item_id, term from (select row_number() over () as q, item_id, unnest({_TERMS}) as term from benchmark)),
+w as materialized (select term, cast(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) as bigint) as w
+  from (select term, count(*) as df from c where term in (select term from b) group by term), t),
+m as (select r, 50 + (50 * n * docs) // terms as m from lens, t),
+s as (select q, any_value(item_id) as item_id, r, any_value(doc_id) as doc_id, cast(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) as bigint) as score
+  from b join w using (term) join c using (term) join m using (r) group by q, r)
+select item_id, cast(rank as int) as rank, doc_id, score
+from (select *, row_number() over (partition by q order by score desc, doc_id nulls last) as rank from s where score > 0) where rank <= 50
+"""
+
+
+@query("op13_presence_masks", _OP13_SQL)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical.ranked(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
