@@ -1,8 +1,9 @@
 """All-pairs kernels over vectors, worked block against block.
 
-Rows are hashed into blocks of bounded size. Each unordered pair of blocks meets in one
-task, where numpy does the arithmetic; only what the kernel returns leaves the task. No
-cross join is planned and no task holds more than two blocks.
+Rows are hashed into blocks, and each unordered pair of blocks meets in one task, where numpy does the arithmetic tile
+by tile; only what the kernel returns leaves the task, merged over the tiles. A row is copied once a block: to a fixed
+grid as long as blocks stay within their bound, beyond that to as few blocks as the bound allows. No cross join is
+planned and no task holds more than two blocks.
 """
 
 from __future__ import annotations
@@ -13,39 +14,66 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 Kernel = Callable[[pd.DataFrame, pd.DataFrame, bool], pd.DataFrame]
+#: Blocks of a side while they are small: 10 pairs of blocks keep as many tasks busy.
+GRID = 4
+#: Rows of a block at most (9 MB of 70 numbers a row), and of a tile, whose distances are held at once.
+BLOCK_ROWS, TILE_ROWS = 16384, 1024
 
 
 def block_pairs(
     df: DataFrame, row_id: str, columns: Sequence[str], kernel: Kernel, schema: str,
-    groups: Sequence[str] = (), block_rows: int = 1024, rows: int | None = None,
+    groups: Sequence[str] = (), block_rows: int = BLOCK_ROWS, rows: int | None = None, grid: int = GRID,
+    tile_rows: int = TILE_ROWS, merge: Callable[[pd.DataFrame], pd.DataFrame] | None = None,
 ) -> DataFrame:
-    """Apply ``kernel(left, right, same_block)`` to every unordered pair of blocks.
+    """Apply ``kernel(left, right, same)`` to every unordered pair of tiles of every pair of blocks.
 
     ``groups`` keeps independent point sets apart; ``rows`` is the number of rows of the
-    largest one (counted when not given).
+    largest one (counted when not given). ``merge`` joins the results of a block pair's tiles.
     """
     if rows is None:
         rows = (df.groupBy(*groups).count().agg(F.max("count")).first()[0] if groups else df.count()) or 0
-    blocks = max(1, -(-rows // block_rows))
+    blocks = max(1, min(grid, -(-rows // TILE_ROWS)), -(-rows // block_rows))
     place = F.pmod(F.xxhash64(row_id), F.lit(blocks)).cast("int")
     held = df.select(*groups, row_id, *columns).withColumn("_block", place)
     spread = held.withColumn("_other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     keyed = spread.withColumn("_a", F.least("_block", "_other")).withColumn("_b", F.greatest("_block", "_other"))
     group_names = list(groups)
+    names = StructType.fromDDL(schema).names
+
+    def tiles(part: pd.DataFrame) -> list[pd.DataFrame]:
+        return [part.iloc[i : i + tile_rows].reset_index(drop=True) for i in range(0, len(part), tile_rows)]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b = pdf["_a"].iloc[0], pdf["_b"].iloc[0]
-        left = pdf[pdf["_block"] == a].reset_index(drop=True)
+        left = tiles(pdf[pdf["_block"] == a])
         if a == b:
-            return kernel(left, left, True)
-        right = pdf[pdf["_block"] == b].reset_index(drop=True)
-        return kernel(left, right, False)
+            out = [kernel(x, y, i == j) for i, x in enumerate(left) for j, y in enumerate(left) if i <= j]
+        else:
+            out = [kernel(x, y, False) for x in left for y in tiles(pdf[pdf["_block"] == b])]
+        if not out:
+            # A group that has no rows in one of the two blocks.
+            return pd.DataFrame(columns=names)
+        table = out[0] if len(out) == 1 else pd.concat(out, ignore_index=True)
+        return table if merge is None or len(out) == 1 else merge(table)
 
     return keyed.groupBy(*group_names, "_a", "_b").applyInPandas(run, schema)
 
 
+def summed_rows(table: pd.DataFrame, row_id: str, sums: Sequence[str]) -> pd.DataFrame:
+    """One row an id: arrays in ``sums`` are added, the other columns are the same in all its rows."""
+    codes, _ = pd.factorize(table[row_id])
+    out = table.drop_duplicates(row_id).reset_index(drop=True)
+    for name in sums:
+        flat = np.stack(table[name].tolist())
+        total = np.zeros((len(out), flat.shape[1]))
+        np.add.at(total, codes, flat)
+        out[name] = list(total)
+    return out
+
+
 def stack(column: pd.Series) -> np.ndarray:
     return np.asarray(column.tolist(), dtype="float64").reshape(len(column), -1)
 

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .blocks import block_pairs, distances, stack
+from .blocks import block_pairs, distances, stack, summed_rows
 from .moments import added
 from .simplex import convex_weights, project_rows
 
@@ -161,7 +161,8 @@ def silhouettes(labelled: DataFrame, row_id: str, vector: str, labels: str, grou
 
     parts = block_pairs(
         labelled, row_id, [vector, labels], kernel,
-        f"{row_id} {types[row_id]}, {labels} array<int>, sums array<double>, sizes array<double>", **sizing,
+        f"{row_id} {types[row_id]}, {labels} array<int>, sums array<double>, sizes array<double>",
+        merge=lambda t: summed_rows(t, row_id, ["sums", "sizes"]), **sizing,
     )
     # A row has one part per block, so the lists are as short as the number of blocks.
     rows = parts.groupBy(row_id).agg(
@@ -257,7 +258,8 @@ def kmedoids(
 
         parts = block_pairs(
             labelled, row_id, [vector, "labels"], kernel,
-            f"{row_id} {types[row_id]}, {vector} array<double>, labels array<int>, cost array<double>", **sizing,
+            f"{row_id} {types[row_id]}, {vector} array<double>, labels array<int>, cost array<double>",
+            merge=lambda t: summed_rows(t, row_id, ["cost"]), **sizing,
         )
         costs = (
             parts.select(row_id, vector, "labels", F.posexplode("cost").alias("run", "cost"))

@@ -3,7 +3,8 @@
 ``y_i ~ Multinomial(n_i, softmax(mu + L f_i))`` with normal priors, lower-triangular
 loadings and a positive diagonal, fitted by variational EM: each row's factor scores get a
 Gaussian posterior, solved inside the tasks, and each pass sends the driver one gradient
-and curvature per category and model. Intercepts and loadings are point estimates.
+and curvature per category and model. Intercepts and loadings are point estimates, stepped
+over the free coordinates alone: nothing above the diagonal, the logarithm on it.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import stack
-from .moments import added
+from .moments import added, moments, principal_axes
 
 PRIOR_SD_INTERCEPT, PRIOR_SD_LOADING = 3.0, 1.0
 
@@ -29,6 +30,9 @@ class FactorFit:
     loadings: np.ndarray
     bound: float
     passes: int
+    #: Largest slope of the bound along a free coordinate, and whether no step gains more than the tolerance.
+    gradient: float = 0.0
+    converged: bool = False
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
@@ -36,11 +40,18 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def row_scores(y: np.ndarray, mu: np.ndarray, load: np.ndarray, steps: int = 12) -> tuple[np.ndarray, np.ndarray]:
-    """Posterior mode and covariance of each row's factor scores by damped Newton steps."""
+def row_scores(y: np.ndarray, mu: np.ndarray, load: np.ndarray, steps: int = 30) -> tuple[np.ndarray, np.ndarray]:
+    """Posterior mode and covariance of each row's factor scores by Newton steps, halved while they do not help."""
     n = y.sum(axis=1, keepdims=True)
     f = np.zeros((len(y), load.shape[1]))
     eye = np.eye(load.shape[1])
+
+    def loss(f):
+        logits = mu + f @ load.T
+        top = logits.max(axis=1)
+        return n[:, 0] * (top + np.log(np.exp(logits - top[:, None]).sum(axis=1))) - (y * logits).sum(axis=1) + 0.5 * (f**2).sum(axis=1)
+
+    now = loss(f)
     for step in range(steps + 1):
         p = softmax(mu + f @ load.T)
         gradient = (n * p - y) @ load + f
@@ -51,8 +62,14 @@ def row_scores(y: np.ndarray, mu: np.ndarray, load: np.ndarray, steps: int = 12)
         move = np.linalg.solve(hessian, gradient[:, :, None])[:, :, 0]
         if np.abs(move).max() < 1e-8:
             break
-        length = np.linalg.norm(move, axis=1, keepdims=True)
-        f = f - move * np.minimum(1.0, 3.0 / np.maximum(length, 1e-12))
+        share = np.ones((len(f), 1))
+        for _ in range(30):
+            then = loss(f - share * move)
+            worse = ~(then <= now + 1e-12 * np.abs(now))
+            if not worse.any():
+                break
+            share[worse] /= 2
+        f, now = f - share * move, then
     return f, np.linalg.inv(hessian)
 
 
@@ -64,31 +81,86 @@ def spread_points(f: np.ndarray, cov: np.ndarray) -> np.ndarray:
     return f[:, None, :] + np.swapaxes(steps, 1, 2)
 
 
-def identified(load: np.ndarray) -> np.ndarray:
-    """Zero above the diagonal, positive on it."""
+def rotated(load: np.ndarray) -> np.ndarray:
+    """The same loadings up to a rotation of the factors: zero above the diagonal, positive on it."""
     k = load.shape[1]
-    out = np.where(np.tril(np.ones_like(load)) > 0, load, 0.0)
-    out[np.arange(k), np.arange(k)] = np.maximum(np.abs(out[np.arange(k), np.arange(k)]), 1e-3)
+    q, _ = np.linalg.qr(load[:k].T)
+    out = load @ q
+    out = out * np.where(np.diag(out) < 0, -1.0, 1.0)
+    out[np.triu_indices(k, 1)] = 0.0
+    out[np.arange(k), np.arange(k)] = np.maximum(out[np.arange(k), np.arange(k)], 1e-2)
+    return out
+
+
+def starting_models(vectors: DataFrame, counts: str, factors: Sequence[int], seed: int) -> dict[int, np.ndarray]:
+    """Intercepts and loadings of the leading log-ratio components, slightly moved by the seed."""
+    logs = F.transform(counts, lambda x: F.ln(x + 0.5))
+    mean = F.aggregate(logs, F.lit(0.0), lambda a, x: a + x) / F.size(logs)
+    m = moments(vectors.select(F.transform(logs, lambda x: x - mean).alias("x")), "x")[()]
+    values, axes = principal_axes(m.scatter() / max(m.n, 1.0))
+    rng, out = np.random.default_rng(seed), {}
+    for k in factors:
+        load = (axes[:k] * np.sqrt(values[:k])[:, None]).T + 0.01 * rng.standard_normal((axes.shape[1], k))
+        out[k] = np.hstack([m.mean[:, None], rotated(load)])
     return out
 
 
+class FreeCoordinates:
+    """Steps of intercepts and loadings (one row a category) in the coordinates that may move."""
+
+    def __init__(self, theta: np.ndarray):
+        width, k = theta.shape[0], theta.shape[1] - 1
+        self.free = np.hstack([np.ones((width, 1), bool), np.tril(np.ones((width, k), bool))])
+        self.diagonal = np.zeros((width, k + 1), bool)
+        self.diagonal[np.arange(k), np.arange(k) + 1] = True
+        #: d theta / d coordinate: the value itself where the coordinate is its logarithm.
+        self.scale = np.where(self.diagonal, theta, 1.0) * self.free
+
+    def step(self, gradient: np.ndarray, curvature: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Slope along the coordinates, and the Newton step, the curvature made positive."""
+        slope = gradient * self.scale
+        bent = curvature * self.scale[:, :, None] * self.scale[:, None, :]
+        extra = np.where(self.diagonal, np.abs(slope), 0.0) + ~self.free
+        bent = bent + extra[:, :, None] * np.eye(gradient.shape[1])
+        return slope, np.linalg.solve(bent, slope[:, :, None])[:, :, 0]
+
+    def values(self, theta: np.ndarray) -> np.ndarray:
+        return np.where(self.diagonal, np.log(np.where(self.diagonal, theta, 1.0)), theta)[self.free]
+
+    def mixed(self, theta: np.ndarray, step: np.ndarray, past: list[tuple[np.ndarray, np.ndarray]], memory: int = 8) -> np.ndarray:
+        """The step corrected by how earlier steps changed along the way (Anderson mixing); none is longer than 1."""
+        past.append((self.values(theta), step[self.free]))
+        del past[:-memory]
+        move = past[-1][1]
+        if len(past) > 1:
+            points, steps = (np.diff(np.stack([p[i] for p in past], 1), axis=1) for i in (0, 1))
+            move = move - (points + steps) @ np.linalg.lstsq(steps, move, rcond=1e-8)[0]
+        out = np.zeros(theta.shape)
+        out[self.free] = move / max(1.0, float(np.abs(move).max()))
+        return out
+
+    def moved(self, theta: np.ndarray, step: np.ndarray) -> np.ndarray:
+        return np.where(self.diagonal, theta * np.exp(np.clip(np.where(self.diagonal, step, 0.0), -1.0, 1.0)), theta + step)
+
+
 def fit(
     vectors: DataFrame, counts: str, factors: Sequence[int] = (1, 2, 3, 4), seed: int = 0, passes: int = 60,
-    tolerance: float = 1e-5,
+    tolerance: float = 5e-5,
 ) -> list[FactorFit]:
     """Fit one model per number of factors, all in the same passes over the rows.
 
     A pass returns, per category, the gradient and the curvature ``sum n p x x'``, which
-    bounds the softmax curvature at the current point; a step that does not help is halved.
+    bounds the softmax curvature at the current point; steps are mixed with earlier ones, and
+    halved where the bound sinks. A model is done when a full step promises less than
+    ``tolerance`` of the bound. Rows without counts are left out.
     """
-    first = vectors.select(F.size(counts).alias("width")).first()
-    width = first["width"]
-    rng = np.random.default_rng(seed)
-    models = {k: (np.zeros(width), identified(0.3 * rng.standard_normal((width, k)))) for k in factors}
-    good: dict[int, tuple[float, np.ndarray, np.ndarray]] = {}
+    models = starting_models(vectors, counts, factors, seed)
+    width = len(next(iter(models.values())))
+    best: dict[int, tuple[float, np.ndarray, np.ndarray, float]] = {}
+    past: dict[int, list] = {k: [] for k in factors}
     done: dict[int, FactorFit] = {}
     for i in range(passes):
-        live = {k: m for k, m in models.items() if k not in done}
+        live = {k: (m[:, 0], m[:, 1:]) for k, m in models.items() if k not in done}
         if not live:
             break
         sizes = {k: width * (k + 1) + width * (k + 1) ** 2 + 1 for k in live}
@@ -117,39 +189,80 @@ def fit(
 
         parts = vectors.select(counts).mapInPandas(sums, "k int, sums array<double>")
         merged = added(parts, ["k"])
-        for k, (mu, load) in live.items():
-            flat = merged[(k,)]
-            gradient = flat[: width * (k + 1)].reshape(width, k + 1)
-            curvature = flat[width * (k + 1) : -1].reshape(width, k + 1, k + 1)
+        for k in live:
+            flat, theta = merged[(k,)], models[k]
             precision = np.diag([PRIOR_SD_INTERCEPT**-2] + [PRIOR_SD_LOADING**-2] * k)
-            theta = np.hstack([mu[:, None], load])
-            value = flat[-1] - 0.5 * np.einsum("jk,kl,jl->", theta, precision, theta)
-            last = good.get(k)
-            if i + 1 == passes or (last is not None and abs(value - last[0]) <= tolerance * abs(value)):
-                if last is not None and last[0] > value:
-                    value, theta = last[0], last[1]
-                done[k] = FactorFit(k, theta[:, 0], theta[:, 1:], float(value), i + 1)
-                continue
-            if last is not None and value < last[0]:
-                step = last[2] / 2
-                theta = last[1]
-                good[k] = (last[0], theta, step)
+            value = float(flat[-1] - 0.5 * np.einsum("jk,kl,jl->", theta, precision, theta))
+            last = best.get(k)
+            # Posteriors are Gaussian around their mode, so that the bound may sink a little on the way to a flat point.
+            if last is not None and not value >= last[0] - 1e-4 * abs(last[0]):
+                # Back to the last point, half as far.
+                value, theta, step, slope = last[0], last[1], last[2] / 2, last[3]
+                gain = np.inf if np.abs(step).max() > 1e-6 else 0.0
+                past[k].clear()
             else:
-                step = np.linalg.solve(curvature + precision, (gradient - theta @ precision)[:, :, None])[:, :, 0]
-                good[k] = (value, theta, step)
-            models[k] = ((theta + step)[:, 0], identified((theta + step)[:, 1:]))
+                gradient = flat[: width * (k + 1)].reshape(width, k + 1) - theta @ precision
+                curvature = flat[width * (k + 1) : -1].reshape(width, k + 1, k + 1) + precision
+                free = FreeCoordinates(theta)
+                slopes, step = free.step(gradient, curvature)
+                slope, gain = float(np.abs(slopes).max()), 0.5 * float((slopes * step).sum())
+                step = free.mixed(theta, step, past[k])
+            best[k] = (value, theta, step, slope)
+            if gain <= tolerance * abs(value) or i + 1 == passes or not np.isfinite(value):
+                done[k] = FactorFit(k, theta[:, 0], theta[:, 1:], value, i + 1, slope, bool(gain <= tolerance * abs(value)))
+            else:
+                models[k] = FreeCoordinates(theta).moved(theta, step)
     return [done[k] for k in factors]
 
 
+def mean_probabilities(f: np.ndarray, cov: np.ndarray, mu: np.ndarray, load: np.ndarray) -> np.ndarray:
+    """Category probabilities averaged over each row's posterior."""
+    points = spread_points(f, cov)
+    return sum(softmax(mu + points[:, j, :] @ load.T) for j in range(points.shape[1])) / points.shape[1]
+
+
+COMPARISON = (
+    "n_factors int, inference string, final_loss double, chi_square_discrepancy double, holdout_mae double, "
+    "holdout_mean_log_score double, holdout_store_count bigint, converged boolean"
+)
+
+
+def comparison(vectors: DataFrame, fits: Sequence[FactorFit], train: str = "train", test: str = "test") -> DataFrame:
+    """Each fitted model on the counts it has seen (chi square) and on those held out (absolute error, log score).
+
+    One pass for all models; a task returns four sums a model.
+    """
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        totals = {m.k: np.zeros(5) for m in fits}
+        for pdf in batches:
+            y, h = stack(pdf[train]), stack(pdf[test])
+            n, held = y.sum(axis=1, keepdims=True), h.sum(axis=1, keepdims=True)
+            for m in fits:
+                p = mean_probabilities(*row_scores(y, m.intercept, m.loadings), m.intercept, m.loadings)
+                expected = n * p
+                chi = np.divide((y - expected) ** 2, expected, out=np.zeros_like(y), where=expected > 0).sum()
+                some = held[:, 0] > 0
+                error = np.abs(h - held * p)[some].sum()
+                totals[m.k] += [chi, error, some.sum() * y.shape[1], (h * np.log(np.clip(p, 1e-12, 1.0))).sum(), h.sum()]
+        yield pd.DataFrame({"k": list(totals), "sums": list(totals.values())})
+
+    found = added(vectors.select(train, test).mapInPandas(sums, "k int, sums array<double>"), ["k"])
+    rows = []
+    for m in fits:
+        chi, error, cells, score, count = found[(m.k,)].tolist()
+        rows.append((m.k, "variational_em", round(-m.bound, 1), round(chi, 1), round(error / cells, 4) if cells else None, round(score / max(count, 1.0), 6), int(count), m.converged))
+    return vectors.sparkSession.createDataFrame(rows, COMPARISON)
+
+
 def score_table(vectors: DataFrame, row_id: str, counts: str, model: FactorFit) -> DataFrame:
-    """Factor scores and fitted category probabilities per row."""
+    """Factor scores and category probabilities per row, both as means of the row's posterior."""
     types = dict(vectors.dtypes)
     mu, load = model.intercept, model.loadings
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            f, _ = row_scores(stack(pdf[counts]), mu, load)
-            yield pd.DataFrame({row_id: pdf[row_id], "factors": list(f), "probabilities": list(softmax(mu + f @ load.T))})
+            f, cov = row_scores(stack(pdf[counts]), mu, load)
+            yield pd.DataFrame({row_id: pdf[row_id], "factors": list(f), "probabilities": list(mean_probabilities(f, cov, mu, load))})
 
     return vectors.select(row_id, counts).mapInPandas(
         score, f"{row_id} {types[row_id]}, factors array<double>, probabilities array<double>"

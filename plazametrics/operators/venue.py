@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import information, ratio, round_exact
 from ..functions.text import UNMAPPED
 from ..session import checkpointed
+from .moments import WIDEST
 from .quantiles import grouped_median
 from .resolve import first_mode, merged_text
 from .rules import active_rows
@@ -281,7 +284,7 @@ def venue_features(
     return result
 
 
-def vocabulary(df: DataFrame, category: str, largest: int = 20_000) -> list:
+def vocabulary(df: DataFrame, category: str, largest: int = WIDEST) -> list:
     """Sorted category labels: a dimension of the model, refused when it is not small."""
     labels = [r[0] for r in df.select(category).distinct().sort(category).limit(largest + 1).collect()]
     if len(labels) > largest:
@@ -295,13 +298,30 @@ def count_matrix(df: DataFrame, venue: str, category: str, labels: Sequence | No
     return cells(df, venue, category).groupBy(venue).pivot(category, labels).agg(F.sum("n")).na.fill(0)
 
 
+def dense_counts(cells: DataFrame, venue: str, category: str, count: str, labels: Sequence, name: str) -> DataFrame:
+    """One dense array per venue from long counts, in the order of ``labels``; absent categories are zero."""
+    place = {c: i for i, c in enumerate(labels)}
+    shared = cells.sparkSession.sparkContext.broadcast(place)
+    kinds = dict(cells.dtypes)
+    listed = cells.groupBy(venue).agg(F.collect_list(category).alias("_labels"), F.collect_list(F.col(count).cast("double")).alias("_counts"))
+
+    def filled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        place = shared.value
+        for pdf in batches:
+            out = np.zeros((len(pdf), len(place)))
+            for row, (names, values) in enumerate(zip(pdf["_labels"], pdf["_counts"])):
+                known = [(place[c], v) for c, v in zip(names, values) if c in place]
+                if known:
+                    at, v = zip(*known)
+                    out[row, list(at)] = v
+            yield pd.DataFrame({venue: pdf[venue], name: list(out)})
+
+    return listed.mapInPandas(filled, f"`{venue}` {kinds[venue]}, {name} array<double>")
+
+
 def count_vectors(df: DataFrame, venue: str, category: str, labels: Sequence) -> DataFrame:
     """Same matrix with one dense ``counts`` array per venue, in the order of ``labels``."""
-    by_category = cells(df, venue, category).groupBy(venue).agg(
-        F.map_from_entries(F.collect_list(F.struct(F.col(category), F.col("n")))).alias("_m")
-    )
-    dense = [F.coalesce(F.try_element_at("_m", F.lit(c)), F.lit(0)).cast("double") for c in labels]
-    return by_category.select(venue, F.array(*dense).alias("counts"))
+    return dense_counts(cells(df, venue, category), venue, category, "n", labels, "counts")
 
 
 def matrix_shape(vectors: DataFrame, counts: str = "counts") -> DataFrame:

@@ -11,23 +11,25 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.numeric import number, whole_number
-from ..operators import cluster, composition, metadata, pairs, resolve, rules, sensitivity, stats, venue
+from ..operators import cluster, composition, factor_selection, metadata, pairs, resolve, rules, sensitivity, stats, venue
 from ..session import checkpointed, iterated
 from ..sources import sinks
 
 # Category sets behind the venue features.
-SUBCULTURE = "潮玩礼品 桌游棋牌 VR体验 游戏电竞 密室逃脱 DIY手工 演出活动".split()
-LIGHT = "茶饮果汁 美甲美睫 撸宠购宠".split()
+SUBCULTURE = ("潮玩礼品", "桌游棋牌", "VR体验", "游戏电竞", "密室逃脱", "DIY手工", "演出活动")
+LIGHT = ("茶饮果汁", "美甲美睫", "撸宠购宠")
 SITDOWN = (
-    "日料 西餐 火锅 江浙菜 粤菜 烧烤烤肉 川菜 湘菜 东南亚料理 韩料 北京菜 其它地方菜 自助餐 东北菜 云南菜 西北菜 鲁菜 其它"
-).split()
+    "日料", "西餐", "火锅", "江浙菜", "粤菜", "烧烤烤肉", "川菜", "湘菜", "东南亚料理", "韩料", "北京菜", "其它地方菜", "自助餐",
+    "东北菜", "云南菜", "西北菜", "鲁菜", "其它",
+)
 EXPERIENTIAL = (
-    "密室逃脱 游戏电竞 VR体验 桌游棋牌 DIY手工 演出活动 电影院 儿童乐园 亲子活动 健身中心 球馆 瑜伽普拉提 舞蹈"
-).split()
+    "密室逃脱", "游戏电竞", "VR体验", "桌游棋牌", "DIY手工", "演出活动", "电影院", "儿童乐园", "亲子活动", "健身中心", "球馆",
+    "瑜伽普拉提", "舞蹈",
+)
 DINING, RETAIL = "美食", "购物"
 FEATURE_COLUMNS = (
-    "standardization_loo local_only_rate function_rarity_loo sitdown_price_log subculture_index experiential_share"
-).split()
+    "standardization_loo", "local_only_rate", "function_rarity_loo", "sitdown_price_log", "subculture_index", "experiential_share",
+)
 
 
 @dataclass
@@ -134,8 +136,8 @@ def feature_table(master: DataFrame, details: DataFrame | None = None) -> DataFr
     )
 
 
-def analyse(master: DataFrame, features: DataFrame, archetype_count: int = 3) -> dict[str, DataFrame]:
-    """Statistics, archetypes, overlap sensitivity and log-ratio factors of the venues."""
+def analyse(master: DataFrame, features: DataFrame, archetype_count: int = 3, count_model: bool = True) -> dict[str, DataFrame]:
+    """Statistics, archetypes, overlap sensitivity and factors of the venues; the table of models only with the count model."""
     spark = master.sparkSession
     master = checkpointed(master)
     usable = stats.usable_features(features, FEATURE_COLUMNS)
@@ -143,14 +145,10 @@ def analyse(master: DataFrame, features: DataFrame, archetype_count: int = 3) ->
     fit = cluster.archetypes(z, "mall_name", "x", archetype_count)
     labels = venue.vocabulary(master, "category_l2")
     vectors = iterated(venue.count_vectors(master, "mall_name", "category_l2", labels))
-    parallel = composition.parallel_analysis(vectors, "mall_name")
-    holdout = composition.holdout_reconstruction(vectors, "mall_name")
-    stability = composition.loading_stability(vectors, "mall_name", max_k=min(4, len(labels)))
-    factors = composition.consensus(
-        composition.suggested_factors(parallel), composition.best_holdout(holdout),
-        stability.where("stable").count(),
+    factors = factor_selection.select_factors(
+        master, "mall_name", "category_l2", labels, F.col("source_record_id"), count_model=count_model
     )
-    loadings, scores = composition.clr_factors(vectors, "mall_name", factors)
+    compared = {} if factors.comparison is None else {"compositional_lnm_comparison": factors.comparison}
     cells = sensitivity.identity_cells(
         master, "mall_name", "brand_id", "canonical_brand_name", whole_number(F.col("observations"))
     )
@@ -165,10 +163,13 @@ def analyse(master: DataFrame, features: DataFrame, archetype_count: int = 3) ->
         "brand_sensitivity": sensitivity.sensitivity_grid(cells, "mall_name"),
         "compositional_grouping": composition.aitchison_grouping(vectors, "mall_name"),
         "compositional_pca_sensitivity": composition.pca_sensitivity(vectors, "mall_name", labels),
-        "compositional_parallel_analysis": parallel,
-        "compositional_factor_selection": composition.selection_table(holdout, stability),
-        "compositional_factor_loadings": composition.loading_poles(spark, loadings, labels),
-        "compositional_factor_scores": scores,
+        "compositional_parallel_analysis": factors.parallel,
+        "compositional_factor_selection": factors.table,
+        "compositional_factor_loadings": factor_selection.with_source(
+            composition.loading_poles(spark, factors.loadings, labels), factors.source
+        ),
+        "compositional_factor_scores": factors.scores,
+        **compared,
         "mall_category_counts": venue.count_matrix(master, "mall_name", "category_l2", labels),
     }
 

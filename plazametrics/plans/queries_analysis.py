@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import cluster, composition, factor_model, simplex, stats, venue
+from ..operators import cluster, composition, factor_model, factor_selection, simplex, stats, venue
 from ..session import iterated
 from .bindings import PLACE_SQL, listings, places, table, with_listings
 from .queries_venue import vectors
@@ -357,22 +357,31 @@ def _(spark, sf):
     return factor_model.predictive_checks(table_, "y", "h", "p")
 
 
+@query("com10_com11_fitted_models")
+def _(spark, sf):
+    rows = listings(spark, sf)
+    labels = venue.vocabulary(rows, "category_l1")
+    split = iterated(factor_selection.split_vectors(rows, "mall_id", "category_l1", labels, F.col("record_id")))
+    return factor_model.comparison(split, factor_model.fit(split, "train", (1, 2, 3, 4)))
+
+
+def selection(spark, sf, count_model: bool):
+    rows = listings(spark, sf)
+    return factor_selection.select_factors(
+        rows, "mall_id", "category_l1", venue.vocabulary(rows, "category_l1"), F.col("record_id"), count_model=count_model
+    )
+
+
 @query("com12_com14_factor_selection")
 def _(spark, sf):
-    data = iterated(vectors(spark, sf))
-    parallel = composition.suggested_factors(composition.parallel_analysis(data, "mall_id"))
-    holdout = composition.holdout_reconstruction(data, "mall_id")
-    stability = composition.loading_stability(data, "mall_id")
-    best = composition.best_holdout(holdout)
-    stable = stability.where("stable").count()
-    chosen = composition.consensus(parallel, best, stable)
-    return composition.selection_table(holdout, stability).withColumn("consensus_k", F.lit(chosen))
+    found = selection(spark, sf, count_model=True)
+    votes = {f"vote_{name}": F.lit(k) for name, k in found.votes.items()}
+    return found.table.withColumns({**votes, "selected_k": F.lit(found.selected), "source": F.lit(found.source), "scope": F.lit(found.scope)})
 
 
 @query("com13_com15_clr_factors")
 def _(spark, sf):
-    _, scores = composition.clr_factors(iterated(vectors(spark, sf)), "mall_id", 2)
-    return scores
+    return selection(spark, sf, count_model=False).scores
 
 
 @query("com13_loading_poles")
