@@ -86,15 +86,18 @@ class Cut:
 class Head:
     """Words encoded beforehand, by two hashes; a table of bounded size that spares work and changes nothing."""
 
-    def __init__(self, words: list[bytes], ids: list[list[int]], texts: list[bytes]):
-        prefix, at = np.frombuffer(b"".join(words), np.uint8), np.cumsum([0, *map(len, words)])
-        names = [mixed(slice_hashes(prefix_hashes(prefix, b), at[:-1], at[1:], b)) for b in (BASE, OTHER_BASE)]
+    def __init__(self, words: pa.Array, ids: pa.Array, texts: pa.Array):
+        data, at = text_bytes(words)
+        names = [mixed(slice_hashes(prefix_hashes(data, b), at[:-1], at[1:], b)) for b in (BASE, OTHER_BASE)]
         order = np.argsort(names[0])
         self.names, self.others = names[0][order], names[1][order]
-        self.ids = np.array([i for k in order.tolist() for i in ids[k]], np.int32)
-        self.ids_at = np.cumsum([0, *(len(ids[k]) for k in order.tolist())]).astype(np.int64)
-        self.bytes = np.frombuffer(b"".join(texts[k] for k in order.tolist()), np.uint8)
-        self.bytes_at = np.cumsum([0, *(len(texts[k]) for k in order.tolist())]).astype(np.int64)
+        # Taken from Arrow's buffers: as Python objects, the words of a full head would be a hundred megabytes.
+        ids_at = ids.offsets.to_numpy().astype(np.int64)
+        self.ids = gathered(ids.values.to_numpy(zero_copy_only=False).astype(np.int32), ids_at, order)
+        self.ids_at = np.concatenate([[0], np.cumsum(np.diff(ids_at)[order])])
+        plain, at = text_bytes(texts)
+        self.bytes = gathered(plain, at, order)
+        self.bytes_at = np.concatenate([[0], np.cumsum(np.diff(at)[order])])
 
     def find(self, names: np.ndarray, others) -> np.ndarray:
         """Places of the names in the head, -1 where they are not in it."""
@@ -123,7 +126,7 @@ def _head(docs: DataFrame, classes, by_rank: "Ranks", literals, sample: int, mos
     chosen = words.orderBy(F.desc("n"), "word").limit(most).repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "word")
     encoded = chosen.withColumns(literals).select("word", "pieces", by_rank.encode(F.col("word")).alias("ids"))
     rows = encoded.select("word", "ids", by_rank.decode(F.col("ids")).alias("text")).toArrow()
-    return Head(*(rows.column(c).to_pylist() for c in ("word", "ids", "text")))
+    return Head(*(rows.column(c).combine_chunks() for c in ("word", "ids", "text")))
 
 
 def words_by_block(docs: DataFrame, classes, head, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -180,14 +183,18 @@ class Ranks:
     @classmethod
     def literals(cls, spark, ranks: dict[bytes, int]) -> tuple[Column, Column]:
         rows = pa.table({"piece": pa.array(list(ranks), pa.binary()), "rank": pa.array(list(ranks.values()), pa.int32())})
-        placed = spark.createDataFrame(rows).select("piece", "rank", F.hash("piece").bitwiseAND(cls.mask).alias("at")).toArrow().to_pylist()
-        buckets: list[list] = [[] for _ in range(cls.mask + 1)]
-        by_rank: list = [None] * (max(ranks.values()) + 1)
-        for entry in placed:
-            buckets[entry["at"]].append((entry["piece"], entry["rank"]))
-            by_rank[entry["rank"]] = entry["piece"]
+        at = spark.createDataFrame(rows).select("rank", F.hash("piece").bitwiseAND(cls.mask).alias("at")).toArrow()
+        place = np.zeros(max(ranks.values()) + 1, np.int64)
+        place[at.column("rank").to_numpy()] = at.column("at").to_numpy()
+        order = np.argsort(place[rows.column("rank").to_numpy()], kind="stable")
+        sorted_ = rows.take(pa.array(order)).combine_chunks()
+        ends = np.searchsorted(place[sorted_.column("rank").to_numpy()], np.arange(cls.mask + 2)).astype(np.int32)
+        maps = pa.MapArray.from_arrays(pa.array(ends), sorted_.column("piece").chunk(0), sorted_.column("rank").chunk(0))
+        by_rank: list = [None] * len(place)
+        for piece, rank in ranks.items():
+            by_rank[rank] = piece
         one = pa.table({
-            "buckets": pa.array([buckets], pa.list_(pa.map_(pa.binary(), pa.int32()))), "pieces": pa.array([by_rank], pa.list_(pa.binary())),
+            "buckets": pa.ListArray.from_arrays(pa.array([0, len(maps)], pa.int32()), maps), "pieces": pa.array([by_rank], pa.list_(pa.binary())),
         })
         literal = spark.createDataFrame(one)
         return literal.select("buckets").scalar(), literal.select("pieces").scalar()

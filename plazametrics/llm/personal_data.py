@@ -21,6 +21,8 @@ not read. Work is linear in the text: the expressions start only at a sign that
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -83,7 +85,9 @@ def emails(text: str) -> list[tuple[int, int]]:
 
 
 def ips(text: str) -> list[tuple[int, int]]:
-    return [m.span() for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split("."))]
+    # Leading zeros go first: a part may have more digits than a number is read from.
+    small = lambda part: len(part) <= 3 and int(part or "0") <= 255
+    return [m.span() for m in IP.finditer(text) if all(small(p.lstrip("0")) for p in m.group().split("."))]
 
 
 def _digits(text: str) -> str:
@@ -121,11 +125,15 @@ def spans(text: str) -> list[tuple[str, int, int, float, bool]]:
         if mod97(m.group().replace(" ", "")):
             extra["iban"].append((*m.span(), context_score(text, m.start(), "iban", True)))
     taken = sorted(x for spans_ in base.values() for x in spans_)
+    starts = [a for a, _ in taken]
+    # Spans of different kinds may overlap, so the farthest end of all that start before.
+    reach = list(accumulate((b for _, b in taken), max))
+    free = lambda a, b: not (k := bisect_left(starts, b)) or reach[k - 1] <= a
     out = []
     for kind in KINDS:
         rows = [(kind, a, b, 1.0, True) for a, b in base[kind]]
         # An added span gives way to a base span that it overlaps.
-        rows += [(kind, a, b, s, False) for a, b, s in extra[kind] if s >= KEEP and not any(x < b and a < y for x, y in taken)]
+        rows += [(kind, a, b, s, False) for a, b, s in extra[kind] if s >= KEEP and free(a, b)]
         out += sorted(rows, key=lambda r: r[1:3])
     return out
 

@@ -4,8 +4,9 @@ A document is a bag of passages (runs of ``PASSAGE`` tokens, the last one shorte
 of character classes and of their pairs, token lengths, repetition; a layer turns that into a representation, gated
 attention (tanh times sigmoid) weighs the passages, and the weighted mean is scored. Only document labels are used.
 
-The model is fitted on the driver on a bounded sample of labelled rows: at most ``sample`` documents, those with the
-least hash of their id, and of these the bags of at most ``MOST_PASSAGES`` passages. Scoring covers all documents
+The model is fitted on the driver on a bounded sample of labelled rows: at most ``sample`` labels, those with the
+least hash of their id, of each one document (where an id is repeated, the one of least features), of these the bags of
+at most ``MOST_PASSAGES`` passages, and in that order as many as have ``ALL_PASSAGES`` together. Scoring covers all documents
 whole, inside tasks; the model (a few thousand numbers) travels in the task's code.
 
 A null or empty text is a bag of one passage without tokens. Labels that are null, or whose document is missing, are
@@ -21,11 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .shared import mixed, prefix_hashes, slice_hashes, slices, text_bytes
+from .shared import mixed, prefix_hashes, slice_hashes, slices, stored, text_bytes
 
 PASSAGE = 80
 SAMPLE = 6000
 MOST_PASSAGES = 256
+#: Passages that reach the driver: 64 MB of features.
+ALL_PASSAGES = 200_000
 THRESHOLD = 0.3
 _LOWER, _UPPER, _DIGIT, _BLANK, _BREAK, _STOP, _SYMBOL, _FOREIGN = range(8)
 _CLASS = np.full(256, _SYMBOL, np.uint8)
@@ -136,8 +139,8 @@ class GatedAttention:
         return self
 
 
-def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE, doc: str = "doc_id", text: str = "text") -> GatedAttention | None:
-    """Fit on at most ``sample`` labelled documents; None without labels of both kinds."""
+def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE, all_passages: int = ALL_PASSAGES, doc: str = "doc_id", text: str = "text") -> GatedAttention | None:
+    """Fit on at most ``sample`` labels and ``all_passages`` passages; None without labels of both kinds."""
     known = labels.where(F.col(label).isNotNull() & F.col(doc).isNotNull()).select(F.col(doc).alias("_doc"), F.col(label).cast("double").alias("_y"))
     chosen = known.orderBy(F.xxhash64("_doc"), "_doc", "_y").limit(sample)
     rows = docs.select(F.col(doc).alias("_doc"), F.col(text).cast("string").alias("text")).join(F.broadcast(chosen), "_doc")
@@ -148,7 +151,16 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
             bags = [None if b - a > MOST_PASSAGES else x[a:b].tobytes() for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
             yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("_doc")), part.column(part.schema.get_field_index("_y")), pa.array(bags, pa.binary())], names=["_doc", "_y", "bag"])
 
-    found = rows.mapInArrow(features, "_doc bigint, _y double, bag binary").where("bag is not null").toArrow().sort_by([("_doc", "ascending"), ("_y", "ascending")])
+    bags = rows.mapInArrow(features, "_doc bigint, _y double, bag binary").where("bag is not null")
+    one = stored(bags.groupBy("_doc", "_y").agg(F.min("bag").alias("bag")).withColumn("_h", F.xxhash64("_doc")), "bags")
+    # At most ``sample`` rows of four numbers.
+    sizes = sorted(tuple(r) for r in one.select("_h", "_doc", "_y", F.length("bag") / (4 * FEATURES)).collect())
+    held = int(np.searchsorted(np.cumsum([r[3] for r in sizes]), all_passages, "right"))
+    if not held:
+        return None
+    last = sizes[held - 1]
+    within = (F.col("_h") < last[0]) | ((F.col("_h") == last[0]) & ((F.col("_doc") < last[1]) | ((F.col("_doc") == last[1]) & (F.col("_y") <= last[2]))))
+    found = one.where(within).select("_doc", "_y", "bag").toArrow().sort_by([("_doc", "ascending"), ("_y", "ascending")])
     y = found.column("_y").to_numpy()
     if len(set(y.tolist())) < 2:
         return None

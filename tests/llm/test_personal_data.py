@@ -54,3 +54,16 @@ def test_rows_with_nulls_repeats_and_clashing_names(spark):
     assert sorted((r.doc_id or 0, r.spans) for r in got) == [(0, ""), (1, "email:0:6"), (1, "email:0:6"), (2, ""), (3, "email:40003:40009")]
     assert P.masked(docs).where("doc_id = 1").first().text == "<email>"
     assert P.found(docs.limit(0)).count() == 0
+
+
+def test_long_runs_of_digits_and_many_spans():
+    import time
+
+    assert P.ips("0" * 5000 + ".1.1.1 9" + "9" * 5000 + ".1.1.1 000.00.0.00000255") == [(0, 5006), (10015, 10032)]
+    text = "phone 555 123 4567, mail a@b.co or 4.3.2.1; " * 6000
+    began = time.time()
+    found = P.spans(text)
+    assert time.time() - began < 5 and len(found) > 12000
+    base = sorted((a, b) for _, a, b, _, own in found if own)
+    slow = [(k, a, b) for k, a, b, _, own in P.spans(text[:4400]) if not own]
+    assert all(not any(x < b and a < y for x, y in base if y <= 4400) for _, a, b in slow) and slow

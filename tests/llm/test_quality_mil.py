@@ -44,3 +44,16 @@ def test_score_depends_on_the_text_alone(spark):
     assert len(got) == 4 and len({r.score for r in got if r.text == "a text"}) == 1 and all(0 <= r.score <= 1 for r in got)
     assert {r.score for r in Q.scored(docs, Q.learn(docs, labels.limit(0))).collect()} == {0.5}
     assert Q.without_low_quality(docs.limit(0), labels).count() == 0
+
+
+def test_repeated_ids_and_the_bound_on_passages(spark):
+    good, bad = "The quick fox runs. It was a fine day for all of us here.", "zz## 99 %% @@ ## zz zz 11 ## @@ %%"
+    docs = [(i, good if i % 2 else bad) for i in range(60)] * 3 + [(None, good)]
+    labels = [(i, i % 2) for i in range(60)] + [(0, 1), (None, 1), (99, 0)]
+    d, t = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, quality int")
+    once = Q.learn(d.dropDuplicates(), t)
+    again = Q.learn(d, t)
+    assert all(np.allclose(once.at[k], again.at[k]) for k in once.at)
+    assert Q.learn(d, t, all_passages=0) is None
+    few = Q.learn(d, t, all_passages=9)
+    assert few is not None and not np.allclose(few.at["W"], again.at["W"])
