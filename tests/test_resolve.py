@@ -126,10 +126,13 @@ def test_weak_singletons_follow_the_identity(spark):
 
 
 def test_seed_years(spark):
-    # Five digits, a word, two digits, a unit behind, another century: none is a year.
-    odd = ["19987", "soon", "98", "1998年", "1798"]
+    # Every way out of the form: another length, another century, another sign at each place, something around it.
+    year = "1998"
+    odd = [year[:n] for n in range(4)] + [year + c for c in "0年 x"] + [c + year[1:] for c in "0389"] + [f"{c}8{year[2:]}" for c in "12"]
+    odd += [year[:i] + "x" + year[i + 1:] for i in range(4)] + ["x" + year]
+    odd = sorted(set(odd) - {"", year + " "})
     seeds = spark.createDataFrame(
-        [("TRUE", "good", "1998", "52000"), ("FALSE", "off", "2001", "")] + [("TRUE", y, y, "") for y in odd],
+        [("TRUE", "good", year, "52000"), ("FALSE", "off", "2001", "")] + [("TRUE", y, y, "") for y in odd],
         "active string, mall_name string, opening_year string, commercial_area_sqm string")
     records = spark.createDataFrame([(n, "", "") for n in ("good", "off", *odd)], "mall_name string, opening_year string, commercial_area_sqm string")
     out = {r["mall_name"]: r for r in metadata.merge_seed_years(records, seeds, "mall_name").collect()}
@@ -160,8 +163,6 @@ def test_order_statistics_with_one_far_value(spark):
 
 
 def test_strict_join_refuses_differences(spark):
-    import pytest
-
     a = spark.createDataFrame([("x", 1), ("y", 2)], "k string, a int")
     b = spark.createDataFrame([("x", 1), ("y", 3)], "k string, b int")
     assert metadata.strict_join([a, b], "k").count() == 2
@@ -170,15 +171,24 @@ def test_strict_join_refuses_differences(spark):
 
 
 def test_poi_choice(spark):
-    rows = [
-        (1, "松江万达广场", "万达广场(上海奉贤店)", "奉贤区", "", "060101", 1), (1, "松江万达广场", "万达广场(上海松江店)", "松江区", "", "060101", 2),
-        (2, "静林广场", "静新林广场", "宝山区", "", "060101", 1),
-        (3, "长宁大悦城", "上海长宁大悦城", "黄浦区", "长宁区", "050000", 1),
-        (5, "长宁大悦城", "上海长宁大悦城", None, None, None, 1), (5, "长宁大悦城", "上海长宁大悦城", "长宁区", None, "060101", 2),
-    ]
-    df = spark.createDataFrame(rows, "k int, wanted string, poi_name string, adname string, expected_district string, typecode string, o int")
-    searched = spark.createDataFrame([(k,) for k in (1, 2, 3, 4, 5)], "k int")
+    """Each venue's candidates differ in one thing from those of the others; the names are letters without a meaning."""
+    plain = dict(wanted="wxyz", poi_name="wxyz", adname="P", expected_district="", typecode="060101")
+    cases = {
+        "first of equals": [plain, plain],
+        "better name": [{**plain, "poi_name": "wxyzq"}, plain],
+        "mall code": [{**plain, "typecode": "050000"}, plain],
+        "known district": [{**plain, "adname": "[]"}, plain],
+        "expected district": [{**plain, "expected_district": "Q"}, {**plain, "adname": "Q", "expected_district": "Q"}],
+        "nothing near": [{**plain, "poi_name": "abcd"}],
+        "elsewhere": [{**plain, "expected_district": "Q"}],
+        "null fields": [{**plain, "adname": None, "expected_district": None, "typecode": None}],
+    }
+    columns = list(plain)
+    rows = [(name, *[c[x] for x in columns], place) for name, given in cases.items() for place, c in enumerate(given)]
+    df = spark.createDataFrame(rows, "k string, " + ", ".join(f"{c} string" for c in columns) + ", o int")
+    searched = spark.createDataFrame([(k,) for k in [*cases, "not answered"]], "k string")
     out = {r["k"]: r for r in metadata.best_candidate(df, "k", "wanted", "o", searched).collect()}
-    assert out[1]["status"] == "ok" and out[1]["adname"] == "松江区"
-    assert out[2]["status"] == "no_match" and out[3]["status"] == "district_mismatch:黄浦区"
-    assert out[4]["status"] == "no_match" and out[5]["adname"] == "长宁区"
+    assert {k: r["status"] for k, r in out.items() if r["status"] != "ok"} == {
+        "nothing near": "no_match", "not answered": "no_match", "elsewhere": "district_mismatch:P"}
+    assert out["better name"]["poi_name"] == "wxyz" and out["mall code"]["typecode"] == "060101"
+    assert out["known district"]["adname"] == "P" and out["null fields"]["adname"] == ""

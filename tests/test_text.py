@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import re
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,28 +80,48 @@ def test_keep_rule_clears_reasons(spark):
     assert got == [["r1", "r2"], [], []]
 
 
-# A mark alone, after a label, before a layer word; a decimal, a letter behind it, three digits; the bare basement mark;
-# the phrase for somewhere inside.
-FLOORS = [("L7", "L7"), ("甜品:B3层", "B3"), ("L2.5奶茶", ""), ("B61K店", ""), ("6F", "6F"), ("12F", "12F"), ("LG1", "LG1"), ("LG", "LG"), ("女装:5F层", "5F"), ("商场内", "商场内")]
-# Rating before, price after, both; price alone; a mark misread as a character before the rating; nothing to remove.
-CATEGORIES = [("4.3湘菜馆¥64/人", "湘菜馆"), ("商场内", ""), ("58/人", ""), ("日4.1茶餐厅", "茶餐厅"), ("麻辣烫42/人", "麻辣烫"), ("家居用品", "家居用品")]
+MARKS = [f"{letter}{n}" for letter in ("L", "B", "F", "LG") for n in range(1, 10)] + [f"{n}F" for n in (1, 2, 9, 10, 35, 99)]
+FREE = ["{}", "{}层", "甲乙{}", "丙: {}层", "{} 丁", "戊/{}/己"]
+TOUCHED = ["A{}", "{}Z", "7{}", "{}.5", "3.{}", "{}K庚"]
+
+
+def plain_floor(text):
+    """A run of letters, digits and dots that is a mark; else the whole text without blanks; else the phrase for inside."""
+    for run in re.findall("[A-Z0-9.]+", text.upper()):
+        if run in MARKS or re.fullmatch("[1-9][0-9]?F", run):
+            return run
+    return "LG" if text.replace(" ", "") in ("LG", "LG层") else "商场内" if "商场内" in text else ""
+
+
+def test_floors_of_every_mark_in_every_context(spark):
+    texts = [c.format(m) for m in MARKS for c in FREE + TOUCHED] + [m.lower() for m in MARKS] + ["LG", "LG层", "在商场内", "L0", "0F", "100F", "无"]
+    pairs_of(spark, cd.floor, [(t, plain_floor(t)) for t in dict.fromkeys(texts)])
+    assert sum(plain_floor(c.format(m)) == m for m in MARKS for c in FREE) == len(MARKS) * len(FREE)
+    assert apply(spark, cd.floor, [(c.format("L4"),) for c in TOUCHED]) == [""] * len(TOUCHED)
 
 
-def test_card_extractors(spark):
-    pairs_of(spark, cd.rating, [("★★★★ 4.2 湘菜馆¥64/人 L7", "4.2"), ("已售3.1万", ""), ("¥3.6", "")])
-    assert apply(spark, cd.price, [("★ 4.2 湘菜馆￥64/人 L7",)]) == ["64"]
-    pairs_of(spark, cd.floor, FLOORS)
-    pairs_of(spark, cd.category, CATEGORIES)
+def test_categories_between_what_stands_around_them(spark):
+    before = ["", "4.3", "★★ 0.9 ", "·3·8", "暂无评分 ", "B2层 ", "12F、", "：L6 2.7"]
+    after = ["", "￥64/人", "58/人", " ¥ 9.5/人 三折", "：3F"]
+    kinds = ["丑寅菜", "Vegan", "卯辰午用品"]
+    pairs_of(spark, cd.category, [(x + k + y, k) for x in before for k in kinds for y in after])
+    pairs_of(spark, cd.category, [(x + y, "") for x in before for y in after if y != "：3F"] + [("店内", ""), ("附近", ""), ("申" * 25, "")])
+
+
+def test_ratings_and_prices_of_all_forms(spark):
+    ratings = {f"{a}{n}.{d}{b}": f"{n}.{d}" for n in range(6) for d in (0, 4, 9) for a, b in (("", ""), ("★ ", " 酉"), ("戌", "亥￥7/人"))}
+    ratings |= {"6.1": "", "13.1": "", "￥3.4": "", "3.44": "", "已售2.2": "", "2.2折": "", "1·5": "1.5"}
+    pairs_of(spark, cd.rating, list(ratings.items()))
+    prices = {f"{a}{mark}{n}/人{b}": n for mark in "￥¥" for n in ("5", "120", "8.25") for a, b in (("", ""), ("4.1子", " L2"))}
+    pairs_of(spark, cd.price, list(prices.items()) + [("33/人", ""), ("￥33", "")])
 
 
 def test_floor_tokens_never_become_categories(spark):
-    marks = ["6F", "12F", "LG1", "B3", "L7", "LG"]
-    assert all(apply(spark, cd.is_floor_token, [(m,) for m in marks]))
-    residue = marks + ["、12F", ",6F", " L7"]
-    assert not any(apply(spark, lambda c: cd.is_plausible_category(cd.category(c)), [(m,) for m in residue]))
-    # Names that begin like a floor but go on.
-    names = ["LG洗衣机", "F2速度馆", "B612照相", "L'AMOUR", "B61K店"]
-    assert not any(apply(spark, cd.is_floor_token, [(n,) for n in names]))
+    assert all(apply(spark, cd.is_floor_token, [(m,) for m in MARKS + [m + "层" for m in MARKS]]))
+    edges = ["", "、", ",", " ", "-", "：", "。"]
+    assert not any(apply(spark, lambda c: cd.is_plausible_category(cd.category(c)), [(e + m,) for m in MARKS for e in edges]))
+    # A name goes on behind the mark.
+    assert not any(apply(spark, cd.is_floor_token, [(m + rest,) for m in MARKS for rest in ("x", "9z", "未申", "'酉")]))
 
 
 def test_name_normalisation(spark):
@@ -111,16 +134,46 @@ def test_brand_identities(spark):
     assert apply(spark, identity.strip_suffix, both) == ["LAT:nike", "K:海底捞", "3"]
 
 
-# Places that share words only: another district's branch, one character more, a road entrance, another company's name.
-WRONG = [("江湾印象城", "湾江印象里"), ("东区太阳广场", "太阳广场(上海西区店)"), ("松江万达广场", "万达广场(上海奉贤店)"), ("静林广场", "静新林广场")]
-# The same place with the city, a branch in brackets, a gate, or other letter case.
-RIGHT = [("M88艺术中心", "上海m88艺术中心"), ("TWO ITC", "上海市长宁区Two ITC(东南2门)"), ("松江万达广场", "万达广场(上海松江店)"), ("奉贤吾悦广场", "吾悦广场(上海奉贤店)")]
-
-
-def test_venue_name_matching(spark):
-    quality = lambda a, b: identity.match_quality(identity.venue_match_key(a), identity.venue_match_key(b))
-    assert apply(spark, quality, WRONG) == [0] * len(WRONG)
-    assert all(q > 0 for q in apply(spark, quality, RIGHT))
+def place_names(rng, n, size):
+    """Names of ``size`` characters, none of which two names share."""
+    every = rng.permutation(np.arange(0x5000, 0x7000))
+    return ["".join(map(chr, every[i * size : (i + 1) * size])) for i in range(n)]
+
+
+def plain_quality(a, b):
+    short, long = sorted((a, b), key=len)
+    if not short or a == b:
+        return 3 if a == b and a else 0
+    if short in long:
+        return 2 if len(short) >= 3 else 0
+    hits = at = 0
+    for c in short:
+        found = long.find(c, at)
+        at, hits = (found + 1, hits + 1) if found >= 0 else (at, hits)
+    return int(len(short) >= 4 and hits >= 0.9 * len(short))
+
+
+def test_venue_names_keep_their_key_under_every_decoration(spark):
+    rng = np.random.default_rng(21)
+    names, branches, areas = place_names(rng, 6, 4), place_names(rng, 6, 2), place_names(rng, 6, 3)
+    forms = ["{n}", "上海{n}", "上海市{n}", "{d}区{n}", "上海市{d}区{n}", "{n}(改造中)", "{n}购物中心", "{n}广场", "{n}停车场", "{n}出入口", "{n}12门", "{n}东门", "{n}B区", "上海{n}（三楼）广场"]
+    rows = [(f.format(n=n, d=d), n) for n, d in zip(names, areas) for f in forms]
+    # A branch in brackets moves to the front.
+    rows += [(f"{n}{left}上海{b}{kind}{right}", b + n) for n, b in zip(names, branches) for left, right in ("()", "（）") for kind in "店馆"]
+    rows += [("Mixed Case 9", "mixedcase9"), ("mIXED-case·9", "mixedcase9")]
+    pairs_of(spark, identity.venue_match_key, rows)
+
+
+def test_match_quality_of_edited_names(spark):
+    rng = np.random.default_rng(22)
+    pairs = []
+    for size in (2, 3, 4, 6, 11, 24):
+        for name, other in zip(place_names(rng, 4, size), place_names(rng, 8, size)[4:]):
+            at = int(rng.integers(0, size))
+            pairs += [(name, name), (name, other), (name, name + other), (other + name, name), (name, name[:at] + "一" + name[at:]),
+                      (name, name[:at] + "一" + name[at + 1:]), (name, name[::-1]), (name, name[:at]), (name, "")]
+    quality = apply(spark, identity.match_quality, pairs)
+    assert quality == [plain_quality(a, b) for a, b in pairs] and set(quality) == {0, 1, 2, 3}
 
 
 def test_indel_ratio_against_table():
@@ -131,7 +184,8 @@ def test_indel_ratio_against_table():
                 rows[i + 1][j + 1] = rows[i][j] + 1 if x == y else max(rows[i][j + 1], rows[i + 1][j])
         return 200.0 * rows[-1][-1] / (len(a) + len(b)) if a or b else 100.0
 
-    words = ["", "a", "河畔拉面屋", "河伴拉面屋", "kitten", "sitting", "aaaa", "abab", "青石老街馆", "青石老衔馆"]
+    rng = np.random.default_rng(23)
+    words = ["", *("".join(rng.choice(list("abcé山"), n)) for n in (1, 2, 3, 5, 8, 13, 21))]
     for a in words:
         for b in words:
             assert indel_ratio_text(a, b) == pytest.approx(slow(a, b))
