@@ -245,32 +245,52 @@ def entity_cards(entities: DataFrame, observations: DataFrame) -> DataFrame:
     )
 
 
-def changed_frames(frames: DataFrame, image: str, least: float) -> DataFrame:
+#: Frames of a segment: as many images are in a task's memory.
+SEGMENT = 256
+
+
+def changed_frames(frames: DataFrame, image: str, least: float, segment: int = SEGMENT) -> DataFrame:
     """Frames whose mean absolute difference to the last *kept* frame reaches ``least``.
 
-    The first frame of a video and its last bucket are always kept.
+    The first frame of a video and its last bucket are always kept. A video is cut into segments, all of which are
+    folded at once, as if their first frame were kept. Where the last kept frame before a segment turns out to be
+    another, that segment alone is folded again with it, until nothing changes: then every segment has started from the
+    frame that one pass over the video would have come with.
     """
-    columns = ["video", "bucket", "frame_index", image]
     types = dict(frames.dtypes)
-    last = frames.groupBy("video").agg(F.max("bucket").alias("_last"))
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        video, kept = None, None
-        for pdf in batches:
-            keep = []
-            for v, picture, bucket, final in zip(pdf["video"], pdf[image], pdf["bucket"], pdf["_last"]):
-                picture = np.asarray(picture, dtype="float64")
-                if v != video:
-                    video, kept = v, None
-                changed = kept is None or np.abs(picture - kept).mean() >= least
-                if changed:
-                    kept = picture
-                keep.append(changed or bucket == final)
-            yield pdf.loc[keep, ["video", "bucket", "frame_index"]]
-
-    ordered = (
-        frames.select(*columns).join(last, "video").repartition("video").sortWithinPartitions("video", "bucket")
-    )
-    return ordered.mapInPandas(
-        fold, ", ".join(f"{c} {types[c]}" for c in ("video", "bucket", "frame_index"))
-    )
+    placed = numbered(frames.select("video", "bucket", "frame_index", image), "video", ["bucket"], "_n", start=0)
+    cut = checkpointed(placed.withColumn("_segment", F.floor(F.col("_n") / segment)))
+    key = ["video", "_segment"]
+    folded = f"video {types['video']}, _segment bigint, entry_n bigint, kept array<bigint>, exit_n bigint, exit {types[image]}"
+
+    def fold(rows: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows) or not len(entries):
+            return pd.DataFrame(columns=["video", "_segment", "entry_n", "kept", "exit_n", "exit"])
+        rows, entry = rows.sort_values("_n"), entries.iloc[0]
+        at, last = (None, None) if pd.isna(entry["entry_n"]) else (int(entry["entry_n"]), np.asarray(entry["entry"], dtype="float64"))
+        start, kept = at, []
+        for n, picture in zip(rows["_n"].tolist(), rows[image]):
+            picture = np.asarray(picture, dtype="float64")
+            if last is None or np.abs(picture - last).mean() >= least:
+                at, last = n, picture
+                kept.append(n)
+        first = rows.iloc[0]
+        return pd.DataFrame({"video": [first["video"]], "_segment": [first["_segment"]], "entry_n": pd.array([start], "Int64"), "kept": [kept], "exit_n": [at], "exit": [last]})
+
+    def run(rows: DataFrame, entries: DataFrame) -> DataFrame:
+        return checkpointed(rows.groupBy(*key).cogroup(entries.groupBy(*key)).applyInPandas(fold, folded))
+
+    every = cut.select(*key).distinct()
+    done = run(cut, every.withColumns({"entry_n": F.lit(None).cast("bigint"), "entry": F.lit(None).cast(types[image])}))
+    while True:
+        come = done.select("video", (F.col("_segment") + 1).alias("_segment"), F.col("exit_n").alias("entry_n"), F.col("exit").alias("entry"))
+        other = come.join(done.select(*key, F.col("entry_n").alias("_had")), key).where(~F.col("entry_n").eqNullSafe(F.col("_had"))).drop("_had")
+        other = checkpointed(other)
+        if other.isEmpty():
+            break
+        again = run(cut.join(other.select(*key), key, "left_semi"), other)
+        done = checkpointed(done.join(again.select(*key), key, "left_anti").unionByName(again))
+    kept = done.select("video", F.explode("kept").alias("_n")).withColumn("_kept", F.lit(True))
+    final = cut.groupBy("video").agg(F.max("bucket").alias("_last"))
+    marked = cut.drop(image).join(kept, ["video", "_n"], "left").join(final, "video")
+    return marked.where(F.col("_kept") | (F.col("bucket") == F.col("_last"))).select("video", "bucket", "frame_index")

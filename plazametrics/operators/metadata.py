@@ -80,12 +80,14 @@ def merge_seed_years(records: DataFrame, seeds: DataFrame, key: str) -> DataFram
     )
 
 
-def best_candidate(candidates: DataFrame, key: str, wanted: str, ordinal: str, venues: DataFrame | None = None) -> DataFrame:
+def best_candidate(
+    candidates: DataFrame, key: str, wanted: str, ordinal: str, venues: DataFrame | None = None, carry: Sequence[str] = ()
+) -> DataFrame:
     """Best point of interest per venue and the status of the search.
 
     ``venues`` holds all keys that were searched for: one without candidates is a ``no_match``. Missing fields of a
     candidate count as empty. The expected district filters candidates only where one of them lies in it. The first
-    candidate wins a tie.
+    candidate wins a tie. ``carry`` names further columns of the chosen candidate.
     """
     candidates = candidates.na.fill("", ["expected_district", "adname", "typecode", "poi_name"])
     expected = F.col("expected_district")
@@ -101,7 +103,7 @@ def best_candidate(candidates: DataFrame, key: str, wanted: str, ordinal: str, v
         ),
     )
     best = ranked.where(F.col("quality") > 0).groupBy(key).agg(
-        F.min_by(F.struct("poi_name", "adname", "typecode", "quality", expected.alias("expected")), "_rank").alias("b")
+        F.min_by(F.struct("poi_name", "adname", "typecode", "quality", expected.alias("expected"), *carry), "_rank").alias("b")
     )
     mismatch = (F.col("b.expected") != "") & ~F.col("b.adname").isin("", "[]") & (F.col("b.adname") != F.col("b.expected"))
     status = (
@@ -112,7 +114,7 @@ def best_candidate(candidates: DataFrame, key: str, wanted: str, ordinal: str, v
     found = status == "ok"
     return every.select(
         key, status.alias("status"),
-        *[F.when(found, F.col(f"b.{c}")).alias(c) for c in ("poi_name", "adname", "typecode", "quality")],
+        *[F.when(found, F.col(f"b.{c}")).alias(c) for c in ("poi_name", "adname", "typecode", "quality", *carry)],
     )
 
 

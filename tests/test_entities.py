@@ -121,3 +121,23 @@ def test_numbers_within_groups_of_any_size(spark):
     assert len(got) == len(table)
     for g in {g for g, _ in table}:
         assert [got[g, x] for x in sorted(x for h, x in table if h == g)] == list(range(1, sum(h == g for h, _ in table) + 1))
+
+
+def test_segments_of_frames_fold_like_one_pass(spark):
+    rng = np.random.default_rng(6)
+    frames, want = [], set()
+    for video, n in (("walk", 120), ("still", 60), ("jumps", 90), ("one", 1)):
+        step = {"walk": 0.3, "still": 0.0, "jumps": 3.0, "one": 0.0}[video]
+        pictures = np.cumsum(rng.normal(0, step, (n, 3)), axis=0)
+        last = None
+        for k, p in enumerate(pictures):
+            frames.append((video, 2 * k, 100 + k, [float(x) for x in p]))
+            if last is None or np.abs(p - last).mean() >= 1.0:
+                last = p
+                want.add((video, 2 * k))
+            if k == n - 1:
+                want.add((video, 2 * k))
+    df = spark.createDataFrame(frames, "video string, bucket bigint, frame_index bigint, image array<double>").repartition(3)
+    for segment in (7, 1000):
+        assert {(r["video"], r["bucket"]) for r in entities.changed_frames(df, "image", 1.0, segment).collect()} == want
+    assert entities.changed_frames(df.limit(0), "image", 1.0).collect() == []
