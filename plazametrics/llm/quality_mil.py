@@ -5,8 +5,8 @@ of character classes and of their pairs, token lengths, repetition; a layer turn
 attention (tanh times sigmoid) weighs the passages, and the weighted mean is scored. Only document labels are used.
 
 The model is fitted on the driver on a bounded sample of labelled rows: at most ``sample`` labels, those with the
-least hash of their id, of each one document (where an id is repeated, the one of least features), of these the bags of
-at most ``MOST_PASSAGES`` passages, and in that order as many as have ``ALL_PASSAGES`` together. Scoring covers all documents
+least hash of their id, of their documents (any ``sample`` rows, where ids are repeated) the bags of at most
+``MOST_PASSAGES`` passages, and in that order as many as have ``ALL_PASSAGES`` together. Scoring covers all documents
 whole, inside tasks; the model (a few thousand numbers) travels in the task's code.
 
 A null or empty text is a bag of one passage without tokens. Labels that are null, or whose document is missing, are
@@ -152,7 +152,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
             yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("_doc")), part.column(part.schema.get_field_index("_y")), pa.array(bags, pa.binary())], names=["_doc", "_y", "bag"])
 
     bags = rows.mapInArrow(features, "_doc bigint, _y double, bag binary").where("bag is not null")
-    one = stored(bags.groupBy("_doc", "_y").agg(F.min("bag").alias("bag")).withColumn("_h", F.xxhash64("_doc")), "bags")
+    one = stored(bags.limit(sample).withColumn("_h", F.xxhash64("_doc")), "bags")
     # At most ``sample`` rows of four numbers.
     sizes = sorted(tuple(r) for r in one.select("_h", "_doc", "_y", F.length("bag") / (4 * FEATURES)).collect())
     held = int(np.searchsorted(np.cumsum([r[3] for r in sizes]), all_passages, "right"))
