@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import time
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
@@ -184,14 +183,14 @@ def run_stages(
 ) -> DataFrame:
     """Run stages in order into a staging folder, publish it, and return the manifest.
 
-    The first failing stage stops the run and leaves the published results as they were.
+    The manifest has each table's rows, digest and own seconds, taken while it was written. The first failing stage stops
+    the run and leaves the published results as they were.
     """
     rows = []
     for name, stage in stages:
-        started = time.perf_counter()
-        places = sinks.package(stage(), staging)
-        rows += [(name, table, place.replace(staging, current), round(time.perf_counter() - started, 3)) for table, place in places.items()]
-    manifest = spark.createDataFrame(rows, "stage string, table string, path string, seconds double")
+        for table, done in sinks.package(stage(), staging).items():
+            rows.append((name, table, done.path.replace(staging, current), done.rows, done.digest, done.seconds))
+    manifest = spark.createDataFrame(rows, "stage string, table string, path string, rows bigint, digest string, seconds double")
     sinks.write_json(manifest, f"{staging.rstrip('/')}/manifest")
     sinks.publish(spark, staging, current)
     return manifest

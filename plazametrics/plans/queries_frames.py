@@ -9,7 +9,7 @@ from ..functions import cards as cd
 from ..operators import entities, explore, frames, pairs, venue
 from ..operators.quantiles import trimmed_bounds
 from ..session import checkpointed
-from ..sources.tables import in_reading_order
+from ..sources.tables import frame_tokens, in_reading_order
 from .bindings import (
     FRAME_SQL, PLACE_SQL, TOKEN_SQL, listings, places, table, token_structs, tokens, with_listings,
 )
@@ -55,6 +55,20 @@ def _(spark, sf):
     return rows.select("video", "frame_index", "ord", F.col("token.text").alias("text"), F.col("token.box")[1].alias("y1"))
 
 
+@query("src9_token_payload", f"""WITH {TOKEN_SQL}, kept AS (SELECT video, frame_index, text, score, x1, y1, x2, y2 FROM tokens WHERE event_id % 11 <> 0)
+  SELECT video, frame_index, row_number() OVER (PARTITION BY video, frame_index ORDER BY y1, x1, text) AS ord, text, round(score, 6) AS score, x1, y1, x2, y2 FROM kept""")
+def _(spark, sf):
+    blank = F.when(F.col("event_id") % 11 == 0, "  ").otherwise(F.concat(F.lit(" "), "token.text"))
+    token = F.struct("event_id", blank.alias("text"), F.col("token.score").alias("score"), F.col("token.box").alias("box"))
+    held = token_structs(tokens(spark, sf)).groupBy("video", "frame_index").agg(F.array_sort(F.collect_list(token)).alias("t"))
+    lists = F.struct(*[F.col(f"t.{c}").alias(f"rec_{name}") for c, name in (("text", "texts"), ("score", "scores"), ("box", "boxes"))])
+    # Every other frame has its lists within another object.
+    content = F.when(F.col("frame_index") % 2 == 0, F.to_json(F.struct(lists.alias("res")))).otherwise(F.to_json(lists))
+    rows = in_reading_order(frame_tokens(held.select("video", "frame_index", content.alias("content"))), ["video", "frame_index"])
+    box = [F.col("token.box")[i].alias(c) for i, c in enumerate(("x1", "y1", "x2", "y2"))]
+    return rows.select("video", "frame_index", "ord", F.col("token.text").alias("text"), F.round("token.score", 6).alias("score"), *box)
+
+
 _TITLE = "(starts_with(text, 'Shop') OR (starts_with(text, 'L') AND x1 <= 311))"
 TITLES_SQL = f"""{ORDERED_SQL}, titles AS (SELECT *, y1 + 20.0 AS cy FROM ordered WHERE {_TITLE}),
   anchors AS (SELECT *, y1 + 20.0 AS cy, CASE WHEN starts_with(text, '4.') OR starts_with(text, '暂无') THEN 3 WHEN starts_with(text, '￥') THEN 2 ELSE 1 END AS priority

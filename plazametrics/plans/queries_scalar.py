@@ -9,7 +9,9 @@ from ..functions import geo, identity, numeric
 from ..functions import text as tx
 from ..functions.similarity import indel_ratio
 from ..sources.tables import missing_to_null, with_lineage
-from ..sources.sinks import file_digests, flat, script_payload
+from ..session import shared_folder
+from ..sources.rest import venue_records
+from ..sources.sinks import file_digests, flat, read_ordered, script_payload, write_ordered
 from .bindings import LISTING_SQL, PLACE_SQL, TOKEN_SQL, TRADED_SQL, listings, places, table, tokens, traded, with_listings
 from .registry import query
 
@@ -416,6 +418,33 @@ def _(spark, sf):
     )
 
 
+@query("win11_ordered_table", """SELECT row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS place, c_custkey, c_name, c_acctbal FROM customer""")
+def _(spark, sf):
+    path = shared_folder(spark, "ordered")
+    write_ordered(table(spark, sf, "customer").select("c_custkey", "c_name", "c_acctbal"), path, F.desc("c_acctbal"), F.asc("c_custkey"))
+    return read_ordered(spark, path)
+
+
+@query("src5_search_records", """WITH a AS (SELECT s_name, n_name, s_suppkey, CASE WHEN s_suppkey % 7 = 0 THEN 'api_error:LIMIT' WHEN s_suppkey % 3 = 0 THEN 'no_match'
+    WHEN s_suppkey % 4 = 0 THEN 'district_mismatch:' || n_name ELSE 'ok' END AS st FROM supplier JOIN nation ON s_nationkey = n_nationkey)
+  SELECT s_name AS mall_name, st AS search_status, CASE WHEN st = 'ok' THEN lower(s_name) ELSE '' END AS poi_name, CASE WHEN st = 'ok' THEN n_name ELSE '' END AS district,
+    CASE WHEN st = 'ok' THEN '120.5' ELSE '' END AS longitude, CASE WHEN st = 'ok' THEN '31.25' ELSE '' END AS latitude,
+    CASE WHEN st = 'ok' AND s_suppkey % 2 = 0 THEN '4.5' ELSE '' END AS poi_rating, CASE WHEN st = 'ok' AND s_suppkey % 2 = 0 THEN 'centre' ELSE '' END AS business_area FROM a""")
+def _(spark, sf):
+    known = table(spark, sf, "supplier").join(table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    even = F.col("s_suppkey") % 2 == 0
+    place = lambda name, code: F.concat(
+        F.lit('{"id": 7, "name": "'), name, F.lit('", "adname": "'), F.col("n_name"), F.lit(f'", "location": "120.5,31.25", "typecode": "{code}", "business_area": '),
+        F.when(even, '"centre", "biz_ext": {"rating": "4.5"}}').otherwise('[], "biz_ext": []}'),
+    )
+    found = F.when(F.col("s_suppkey") % 3 == 0, place(F.lit("elsewhere"), "060101")).otherwise(F.concat_ws(", ", place(F.lit("elsewhere"), "060101"), place(F.lower("s_name"), "050000")))
+    answers = known.select(
+        F.col("s_name").alias("mall_name"), F.col("s_name").alias("search_keyword"), F.when(F.col("s_suppkey") % 4 == 0, "NOWHERE").otherwise("").alias("expected_district"),
+        F.when(F.col("s_suppkey") % 7 == 0, "api_error:LIMIT").otherwise("ok").alias("fetch_status"), F.concat(F.lit("["), found, F.lit("]")).alias("pois"),
+    )
+    return venue_records(answers).select("mall_name", "search_status", "poi_name", "district", "longitude", "latitude", "poi_rating", "business_area")
+
+
 @query("snk9_portable_path", """SELECT page_id, CASE WHEN contains(u, '.example.com/') THEN 'com/' || split_part(u, '.example.com/', 2)
   WHEN contains(u, '.example.net/') THEN 'net/' || split_part(u, '.example.net/', 2) ELSE u END AS portable
   FROM (SELECT page_id, replace(url, chr(92), '/') AS u FROM pages)""")

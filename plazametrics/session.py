@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,3 +52,9 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def iterated(df: DataFrame) -> DataFrame:
     """``df`` dealt out to as many partitions as a shuffle has and written once, for repeated passes."""
     return checkpointed(df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"

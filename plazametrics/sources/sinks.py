@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import csv_guard
@@ -78,13 +80,48 @@ def layer_of(table: str) -> str:
     return "machine"
 
 
-def package(tables: dict[str, DataFrame], root: str) -> dict[str, str]:
-    """Write every result to its layer under ``root``; returns the paths."""
-    places = {}
-    for name, df in tables.items():
-        places[name] = f"{root.rstrip('/')}/{layer_of(name)}/{name}"
-        df.write.mode("overwrite").parquet(places[name])
-    return places
+@dataclass(frozen=True)
+class Written:
+    """A result table as it was written: its place, rows, order-independent digest of the rows, and seconds of its own."""
+
+    path: str
+    rows: int
+    digest: str
+    seconds: float
+
+
+def row_digest(df: DataFrame) -> Column:
+    """A number that names the rows whatever their order: two tables of equal rows, repeats included, have the same."""
+    plain = [F.to_json(c) if t.startswith(("map", "struct", "array")) else F.col(c).cast("string") for c, t in df.dtypes]
+    marked = [x for p in plain for x in (p.isNull(), p)]
+    return F.coalesce(F.sum(F.xxhash64(*marked).cast("decimal(38,0)")), F.lit(0)).cast("string")
+
+
+def written(df: DataFrame, path: str, write=None) -> Written:
+    """Write a table and take its count and digest from the rows as they pass: the table is computed once."""
+    seen, started = Observation(), time.perf_counter()
+    passing = df.observe(seen, F.count(F.lit(1)).alias("rows"), row_digest(df).alias("digest"))
+    (write or (lambda d: d.write.mode("overwrite").parquet(path)))(passing)
+    return Written(path, seen.get["rows"], seen.get["digest"], round(time.perf_counter() - started, 3))
+
+
+def package(tables: dict[str, DataFrame], root: str) -> dict[str, Written]:
+    """Write every result to its layer under ``root``."""
+    return {name: written(df, f"{root.rstrip('/')}/{layer_of(name)}/{name}") for name, df in tables.items()}
+
+
+def write_ordered(df: DataFrame, path: str, *order: Column | str) -> None:
+    """Parquet files that hold the rows in order: by file number, then as they stand in a file."""
+    df.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").parquet(path)
+
+
+def read_ordered(spark: SparkSession, path: str, place: str = "place") -> DataFrame:
+    """Rows of :func:`write_ordered` with their place (from 1) in the whole table."""
+    rows = spark.read.parquet(path).select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_index"))
+    sizes = rows.groupBy("_file").agg(F.count("*").alias("_n"))
+    # One row a file: part numbers are padded, so names are in order.
+    before = sizes.select("_file", (F.sum("_n").over(Window.orderBy("_file")) - F.col("_n")).alias("_before"))
+    return rows.join(before, "_file").withColumn(place, F.col("_before") + F.col("_index") + 1).drop("_file", "_index", "_before")
 
 
 def publish(spark: SparkSession, staging: str, current: str) -> None:

@@ -15,12 +15,12 @@ from ..operators.rules import Rule, rules_from_rows
 
 # Columns of a listing-card file.
 CARD_COLUMNS = (
-    "card_id mall_name merchant_name_raw merchant_name_normalized category_raw rating avg_price_yuan "
-    "floor_location card_type research_eligible exclusion_reason rating_status category_status "
-    "detection_method ocr_confidence title_score title_height observations name_variants first_seen_sec "
-    "last_seen_sec evidence_image source_video all_text metadata_text review_status review_reason"
-).split()
-TOKEN_SCHEMA = "text string, score double, box array<int>"
+    "card_id", "mall_name", "merchant_name_raw", "merchant_name_normalized", "category_raw", "rating",
+    "avg_price_yuan", "floor_location", "card_type", "research_eligible", "exclusion_reason", "rating_status",
+    "category_status", "detection_method", "ocr_confidence", "title_score", "title_height", "observations",
+    "name_variants", "first_seen_sec", "last_seen_sec", "evidence_image", "source_video", "all_text",
+    "metadata_text", "review_status", "review_reason",
+)
 
 
 #: Session setting for files of one row group on one machine: deal every table out to the cores as it is read.
@@ -85,15 +85,36 @@ def with_lineage(cards: DataFrame, path: Column, venues: DataFrame | None = None
     )
 
 
-def read_tokens(spark: SparkSession, path: str, schema: str = TOKEN_SCHEMA) -> DataFrame:
-    """Replay of recognised tokens: one JSON list per frame file ``frame_000123.json``."""
-    files = spark.read.option("multiLine", True).schema(schema).json(path)
+LISTED = "array<struct<text:string,score:double,box:array<double>>>"
+
+
+def frame_tokens(frames: DataFrame, content: str = "content") -> DataFrame:
+    """Tokens of recognised frames, one row each (``token``: text, score, box) in place of the JSON ``content``.
+
+    Two forms: a list of tokens; or parallel lists ``rec_texts``, ``rec_scores``, ``rec_boxes``, also within ``res``, as
+    long as the shortest of them, texts trimmed and blank ones dropped. What is neither has no tokens.
+    """
+    whole = F.try_parse_json(content)
+    body = F.coalesce(F.try_variant_get(whole, "$.res", "variant"), whole)
+    texts, scores, boxes = (F.try_variant_get(body, f"$.rec_{c}", f"array<{t}>") for c, t in (("texts", "string"), ("scores", "double"), ("boxes", "array<double>")))
+    numbers = lambda box: F.transform(box, lambda v: v.cast("int"))
+    one = lambda text, score, box: F.struct(text.alias("text"), score.alias("score"), numbers(box).alias("box"))
+    size = F.least(F.size(texts), F.size(scores), F.size(boxes))
+    zipped = F.transform(F.arrays_zip(texts.alias("t"), scores.alias("s"), boxes.alias("b")), lambda x: one(F.trim(x["t"]), x["s"], x["b"]))
+    parallel = F.filter(F.slice(zipped, F.lit(1), size), lambda x: x["text"] != "")
+    listed = F.transform(F.try_variant_get(whole, "$", LISTED), lambda x: one(x["text"], x["score"], x["box"]))
+    return frames.withColumn("token", F.explode(F.coalesce(listed, parallel))).drop(content)
+
+
+def read_tokens(spark: SparkSession, path: str) -> DataFrame:
+    """Replay of recognised tokens: one JSON text per frame file ``frame_000123.json``, in either form."""
+    files = spark.read.text(path, wholetext=True)
     framed = files.select(
         F.regexp_extract("_metadata.file_path", r"([^/]+)/[^/]+$", 1).alias("video"),
         F.regexp_extract("_metadata.file_name", r"frame_(\d+)", 1).cast("bigint").alias("frame_index"),
-        F.struct("text", "score", "box").alias("token"),
+        F.col("value").alias("content"),
     )
-    return in_reading_order(framed, ["video", "frame_index"])
+    return in_reading_order(frame_tokens(framed), ["video", "frame_index"])
 
 
 def in_reading_order(tokens: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -180,6 +180,52 @@ def test_place_search_turns_errors_into_status(spark):
     assert got == {"a": "ok", "b": "api_error:LIMIT", "c": "request_error:TimeoutError"} and rest.MAX_PARALLEL <= 3
 
 
+def test_search_records_from_request_to_venue(spark):
+    asked = []
+
+    def fetch(word):
+        if word == "down":
+            raise ConnectionError
+        place = {"id": "9", "name": "Far Plaza", "adname": "East", "address": [], "location": "1.5,2.5", "typecode": "060101", "business_area": [], "biz_ext": {"rating": []}}
+        return {"status": 1, "pois": [] if word == "none" else [place]}
+
+    wanted = spark.createDataFrame([("Far Plaza",), ("other",), ("none",), ("down",), ("far plaza",)], "mall_name string")
+    aliases = spark.createDataFrame([("other", "Far Plaza", "West"), ("far plaza", "  ", None)], "mall_name string, search_keyword string, expected_district string")
+    out = {r["mall_name"]: r for r in rest.search_records(wanted, fetch, aliases, interval=0.0).collect()}
+    assert {k: r["search_status"] for k, r in out.items()} == {
+        "Far Plaza": "ok", "far plaza": "ok", "other": "district_mismatch:East", "none": "no_match", "down": "request_error:ConnectionError"}
+    best = out["Far Plaza"]
+    assert (best["poi_id"], best["district"], best["longitude"], best["latitude"], best["business_area"], best["poi_rating"]) == ("9", "East", "1.5", "2.5", "", "")
+    assert out["none"]["poi_name"] == "" and best["fetched_at"][4] == "-" and not asked
+
+
+def test_manifest_counts_and_digests_in_the_pass_that_writes(spark, tmp_path):
+    rows = [(1, "a", ["x"]), (2, None, []), (2, None, [])]
+    df = spark.createDataFrame(rows, "k int, t string, l array<string>")
+    one = sinks.written(df.repartition(3), str(tmp_path / "one"))
+    two = sinks.written(df.orderBy(F.desc("k")), str(tmp_path / "two"))
+    assert one.rows == two.rows == 3 and one.digest == two.digest
+    assert sinks.written(df.distinct(), str(tmp_path / "three")).digest != one.digest
+    assert sinks.written(df.limit(0), str(tmp_path / "four")).rows == 0
+
+
+def test_ordered_files(spark, tmp_path):
+    df = spark.range(500).select(((F.col("id") * 37) % 101).alias("a"), "id")
+    sinks.write_ordered(df, str(tmp_path / "o"), F.desc("a"), F.asc("id"))
+    got = [(r["a"], r["id"]) for r in sinks.read_ordered(spark, str(tmp_path / "o")).orderBy("place").collect()]
+    assert got == sorted(((i * 37 % 101, i) for i in range(500)), key=lambda r: (-r[0], r[1]))
+    # Reading the files by name gives the same order.
+    assert [tuple(r) for r in spark.read.parquet(*sorted(str(p) for p in (tmp_path / "o").glob("part-*"))).select("a", "id").collect()][0] == got[0]
+
+
+def test_token_payload_forms(spark):
+    texts = ['{"res": {"rec_texts": [" a ", "", "b", "c"], "rec_scores": [0.5, 1, 0.25], "rec_boxes": [[1, 9, 3, 4], [0, 0, 1, 1], [5.7, 2, 7, 8]]}}',
+             '[{"text": " kept ", "score": 1, "box": [1, 2, 3, 4]}]', '{"rec_texts": []}', "not json", '{"other": 1}', None]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, content string")
+    got = [(r["k"], r["token"]["text"], r["token"]["score"], r["token"]["box"]) for r in tables.frame_tokens(df).collect()]
+    assert sorted(got) == [(0, "a", 0.5, [1, 9, 3, 4]), (0, "b", 0.25, [5, 2, 7, 8]), (1, " kept ", 1.0, [1, 2, 3, 4])]
+
+
 def test_digests(spark, tmp_path):
     (tmp_path / "a.txt").write_text("abc")
     row = sinks.file_digests(spark, str(tmp_path)).first()
