@@ -36,7 +36,12 @@ def _(spark, sf):
     return probed.select("video", "frame_index")
 
 
-@query("ded7_stm4_changed_frames")
+@query("ded7_stm4_changed_frames", f"""WITH RECURSIVE {FRAME_SQL}, b AS (SELECT *, greatest(cast(ceil(frame_index / 50.0) AS bigint) - 1, 0) AS bucket FROM frames),
+  f AS (SELECT video, bucket, frame_index, sharpness, row_number() OVER (PARTITION BY video ORDER BY bucket) AS n, count(*) OVER (PARTITION BY video) AS total
+    FROM (SELECT *, row_number() OVER (PARTITION BY video, bucket ORDER BY sharpness DESC, frame_index) AS r FROM b) WHERE r = 1),
+  s AS (SELECT video, n, sharpness AS last, true AS kept FROM f WHERE n = 1
+    UNION ALL SELECT f.video, f.n, CASE WHEN abs(f.sharpness - s.last) >= 1.0 THEN f.sharpness ELSE s.last END, abs(f.sharpness - s.last) >= 1.0 FROM s JOIN f ON f.video = s.video AND f.n = s.n + 1)
+  SELECT video, bucket, frame_index FROM f JOIN s USING (video, n) WHERE kept OR n = total""")
 def _(spark, sf):
     best = frames.sharpest_per_bucket(frame_view(spark, sf), 50).withColumn("image", F.array("sharpness"))
     return entities.changed_frames(best, "image", 1.0)
