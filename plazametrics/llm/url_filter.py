@@ -1,7 +1,10 @@
 """URL filter: rules by host and path, and for the rest words of the host and naive Bayes.
 
-Host names are concatenated words. Each label of a host is segmented by a unigram model: Viterbi over the cuts, with
-word counts of the pages' visible text, without markup, urls and words that only names of hosts have; only substrings of labels are joined with the counts, so no word list travels.
+Host names are concatenated words. Each label of a host is segmented by a unigram model: Viterbi over the cuts into known
+words of three letters or more. Words are counted in the pages' visible text, without markup, entities, urls and words
+that only names of hosts have, and in host names, where dots and hyphens already part them: once a domain (the last two
+labels), a label's own domain aside. A label that no cut explains stays whole, whatever its length. Only substrings of
+labels are joined with the counts, so no word list travels.
 Multinomial naive Bayes then scores the segmented host words and the path's words. The rules are a policy about sites
 and languages and say nothing about words, so they are not learned from: a url counts as unwanted where a word of its
 host or path is a seed word, and as wanted otherwise, and the words that stand with the seeds are learned from that.
@@ -25,6 +28,8 @@ from .shared import stored
 #: Words with this share of all words or more, a thousand at most, are broadcast; no other word fills a task.
 COMMON = 0.001
 LONGEST_WORD = 24
+#: Parts of a label have so many letters at least; shorter words stand only as a label of their own.
+SHORTEST_PART = 3
 #: A label longer than this is not a legal host label; it is one word.
 LONGEST_LABEL = 63
 #: Words that mark unwanted urls, each counted ``SEED_WEIGHT`` times besides the urls that have it.
@@ -71,8 +76,8 @@ def rule_of(host: Column, path: Column, rules: list[Rule]) -> Column:
 
 
 def visible(html: Column) -> Column:
-    """Text between the tags: without comments, scripts, styles, tags with their attributes, and urls."""
-    for pattern in (r"(?s)<!--.*?-->", r"(?is)<(script|style)\b.*?</\1\s*>", r"""<[A-Za-z/!?](?:[^'">]++|"[^"]*+"|'[^']*+')*+>""", r"<[A-Za-z/!?][^>]*>", r"""[A-Za-z][A-Za-z0-9+.-]*://[^\s<>"']*"""):
+    """Text between the tags: without entities, comments, scripts, styles, tags with their attributes, and urls."""
+    for pattern in (r"&(?:amp;)*(?:#?[A-Za-z0-9]{1,31};)?", r"(?s)<!--.*?-->", r"(?is)<(script|style)\b.*?</\1\s*>", r"""<[A-Za-z/!?](?:[^'">]++|"[^"]*+"|'[^']*+')*+>""", r"<[A-Za-z/!?][^>]*>", r"""[A-Za-z][A-Za-z0-9+.-]*://[^\s<>"']*"""):
         html = F.regexp_replace(html, pattern, " ")
     return html
 
@@ -86,18 +91,28 @@ def word_counts(pages: DataFrame, text: str) -> DataFrame:
     return counted.where("apart > 0").select("word", "n")
 
 
+def host_parts(hosts: DataFrame) -> DataFrame:
+    """(word, hosts): runs of a-z between the dots, hyphens and figures of host names, and how many domains have them."""
+    domain = F.substring_index("host", ".", -2)
+    parts = hosts.select(domain.alias("domain"), F.explode(F.split("host", "[^a-z]+")).alias("word")).where("word != ''").distinct()
+    return parts.groupBy("word").agg(F.count(F.lit(1)).alias("hosts"))
+
+
 def segmented(label: str, known: dict[str, float], unknown: float) -> list[str]:
-    """The most likely words of a label; an unknown stretch costs ``unknown`` a letter and stays whole."""
-    best, back = [0.0], [0]
+    """The most likely cut of a label into known words and runs of figures, or the label as it is.
+
+    ``unknown`` is the cost of a letter of an unknown label, which counts two letters more; a run of figures costs two.
+    """
+    best: list[float] = [0.0] + [-np.inf] * len(label)
+    back = [0] * (len(label) + 1)
     for end in range(1, len(label) + 1):
-        choices = []
         for start in range(max(0, end - LONGEST_WORD), end):
             word = label[start:end]
-            cost = known.get(word)
-            choices.append((best[start] + (cost if cost is not None else unknown * (2 + len(word))), start))
-        score, start = max(choices)
-        best.append(score)
-        back.append(start)
+            cost = 2 * unknown if word.isdigit() else known.get(word) if len(word) >= SHORTEST_PART else None
+            if cost is not None and best[start] + cost > best[end]:
+                best[end], back[end] = best[start] + cost, start
+    if best[-1] <= known.get(label, unknown * (2 + len(label))):
+        return [label]
     words, end = [], len(label)
     while end:
         words.append(label[back[end] : end])
@@ -105,31 +120,33 @@ def segmented(label: str, known: dict[str, float], unknown: float) -> list[str]:
     return words[::-1]
 
 
-def label_words(labels: DataFrame, counts: DataFrame) -> DataFrame:
-    """(label, words) for every distinct label: each group holds only the label's own substrings that are words."""
-    total = F.broadcast(counts.agg(F.sum("n").alias("total")))
-    distinct = labels.select("label").distinct()
+def label_words(labels: DataFrame, counts: DataFrame, hosts: DataFrame) -> DataFrame:
+    """(label, words) for every distinct label: each group holds only the label's own substrings that are words.
+
+    ``counts``: (word, n) of texts; ``hosts``: (word, hosts) of host names, where a label itself counts once less.
+    """
+    known = counts.join(hosts, "word", "full_outer").select("word", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("hosts", F.lit(0)).alias("hosts"))
+    size = float(known.agg(F.sum(F.col("n") + F.col("hosts"))).first()[0] or 1)
+    distinct = labels.select("label").distinct().where("length(label) > 0")
     parts = F.expr(
-        f"case when length(label) > {LONGEST_LABEL} then array() else flatten(transform(sequence(1, length(label)), "
-        f"i -> transform(sequence(1, least({LONGEST_WORD}, length(label) - i + 1)), k -> substr(label, i, k)))) end"
+        f"flatten(transform(sequence(1, length(label)), i -> transform(sequence(1, least({LONGEST_WORD}, length(label) - i + 1)), k -> substr(label, i, k))))"
     )
+    short = F.when(F.length("label") <= LONGEST_LABEL, F.array_distinct(F.concat(parts, F.array("label")))).otherwise(F.array().cast("array<string>"))
+    n = F.col("n") + F.col("hosts") - F.when(F.col("word") == F.col("label"), F.least("hosts", F.lit(1))).otherwise(0)
     found = (
-        distinct.where("length(label) > 0").select("label", F.explode_outer(F.array_distinct(parts)).alias("word"))
-        .join(counts, "word", "left").withColumn("n", F.when(F.length("word") > 1, F.col("n")))
-        .groupBy("label").agg(F.collect_list(F.when(F.col("n").isNotNull(), F.struct("word", "n"))).alias("words"))
-        .crossJoin(total)
+        distinct.select("label", F.explode_outer(short).alias("word")).join(known, "word", "left").withColumn("n", n)
+        .groupBy("label").agg(F.collect_list(F.when(F.col("n") > 0, F.struct("word", "n"))).alias("words"))
     )
 
     @F.pandas_udf("array<string>")
-    def cut(label: pd.Series, words: pd.Series, total: pd.Series) -> pd.Series:
+    def cut(label: pd.Series, words: pd.Series) -> pd.Series:
         out = []
-        for name, known, n in zip(label, words, total):
-            size = float(max(n, 1) if n == n and n is not None else 1)
-            logs = {w["word"]: float(np.log(w["n"] / size)) for w in known}
+        for name, own in zip(label, words):
+            logs = {w["word"]: float(np.log(w["n"] / size)) for w in own}
             out.append([name] if len(name) > LONGEST_LABEL else segmented(name, logs, -float(np.log(size + 1)) / 2))
         return pd.Series(out)
 
-    return found.select("label", cut("label", "words", F.coalesce("total", F.lit(1))).alias("words"))
+    return found.select("label", cut("label", "words").alias("words"))
 
 
 def judged(pages: DataFrame, rules: list[Rule], page: str = "page_id", url: str = "url", text: str = "html", seeds: tuple[str, ...] = SEEDS) -> DataFrame:
@@ -141,7 +158,7 @@ def judged(pages: DataFrame, rules: list[Rule], page: str = "page_id", url: str
     # Each distinct host is cut once; its words are then looked up by host.
     hosts = split.select("host").distinct()
     labels = hosts.select("host", F.posexplode(F.split("host", "[.:@_-]")).alias("at", "label")).where("label != ''")
-    cut = label_words(labels, word_counts(pages, text))
+    cut = label_words(labels, word_counts(pages, text), host_parts(hosts))
     host_words = labels.join(cut, "label").groupBy("host").agg(F.sort_array(F.collect_list(F.struct("at", "words"))).alias("x"))
     host_words = host_words.select(F.col("host").alias("_host"), F.flatten(F.col("x.words")).alias("host_words"))
     path_words = F.filter(F.split(F.regexp_replace(lower_ascii(F.col("path")), "[0-9]+", "0"), "[^a-z0-9]+"), lambda w: w != "")

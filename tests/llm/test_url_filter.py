@@ -38,7 +38,9 @@ def test_hosts_paths_and_rules(spark):
 def test_segmentation_splits_concatenated_names(spark):
     known = {w: math.log(n / 100) for w, n in {"free": 20, "casino": 10, "news": 30, "ca": 2, "sino": 1}.items()}
     assert U.segmented("freecasinonews", known, -2.5) == ["free", "casino", "news"]
-    assert U.segmented("zzqx", known, -2.5) == ["zzqx"]
+    assert U.segmented("zzqx", known, -2.5) == ["zzqx"] and U.segmented("x" * 60, known, -2.5) == ["x" * 60]
+    assert U.segmented("canews", known, -2.5) == ["canews"] and U.segmented("ca", known, -2.5) == ["ca"]
+    assert U.segmented("casino777", known, -2.5) == ["casino", "777"] and U.segmented("newsx", known, -2.5) == ["newsx"]
     pages = spark.createDataFrame([(i, f"http://{h}.org/", "free casino news free news") for i, h in enumerate(["freecasinonews", "x" * 70, "free"])], "page_id long, url string, html string")
     words = {r.host: r.host_words for r in U.judged(pages, URL_RULES).collect()}
     assert words["freecasinonews.org"] == ["free", "casino", "news", "org"]
@@ -73,3 +75,23 @@ def test_scores_equal_plain_bayes_over_many_words(spark):
     for i, p in enumerate(paths):
         want = math.log((prior["block"] + 1) / (prior["allow"] + 1)) + sum(rate("block", w) - rate("allow", w) for w in p)
         assert math.isclose(got[i], want, abs_tol=1e-6), i
+
+
+def test_given_pages(spark):
+    """Names of the given pages and names made of their words."""
+    folder = "/root/testdata/sf0.1"
+    pages = spark.read.parquet(f"{folder}/pages.parquet").select("page_id", "url", "html")
+    common = [r.word for r in U.word_counts(pages, "html").where("length(word) >= 5").orderBy("n", ascending=False).limit(14).collect()]
+    made = [a + b for a, b in zip(common[:7], common[7:])]
+    more = spark.createDataFrame([(10**6 + i, f"https://{h}.example.com/en/1", "") for i, h in enumerate(made + ["x" * 40])], "page_id long, url string, html string")
+    rows = U.judged(pages.union(more), URL_RULES).collect()
+    words = {r.host: r.host_words for r in rows}
+    assert words["x" * 40 + ".example.com"] == ["x" * 40, "example", "com"]
+    assert sum(words[f"{a + b}.example.com"] == [a, b, "example", "com"] for a, b in zip(common[:7], common[7:])) >= 5
+    assert all("example" in w and "amp" not in w for h, w in words.items() if ".example." in h)
+    # What is left are words: some texts end within an entity.
+    assert all(r.n < 50 for r in U.word_counts(pages, "html").where("word = 'amp'").collect())
+    unwanted = [r for r in rows if r.rule is None and any(x in r.host for x in ("casino-win", "free-bets", "spam-farm", "ads-track", "cheap-pills"))]
+    assert len(unwanted) > 90 and {r.verdict for r in unwanted} == {"block"}
+    wanted = [r for r in rows if r.rule is None and not set(r.host_words) & set(U.SEEDS)]
+    assert sum(r.verdict == "allow" for r in wanted) >= 0.95 * len(wanted)
