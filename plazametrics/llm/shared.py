@@ -21,7 +21,7 @@ BASE = 0x9E3779B97F4A7C15
 OTHER_BASE = 0xC2B2AE3D27D4EB4F
 WORD_BASE = 0xD6E8FEB86659FD93
 #: Bytes of text that a task works on at a time; a longer text is a slice of its own.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
