@@ -121,12 +121,12 @@ def feature_table(master: DataFrame, details: DataFrame | None = None) -> DataFr
     """The venue feature table, with location and opening year where metadata has them."""
     level1, level2 = F.col("category_l1"), F.col("category_l2")
     shares = {
-        "subculture_index": level2.isin(SUBCULTURE), "light_consumption_index": level2.isin(LIGHT),
-        "experiential_share": level2.isin(EXPERIENTIAL), "dining_share": level1 == DINING, "retail_share": level1 == RETAIL,
+        "subculture_index": level2.isin(*SUBCULTURE), "light_consumption_index": level2.isin(*LIGHT),
+        "experiential_share": level2.isin(*EXPERIENTIAL), "dining_share": level1 == DINING, "retail_share": level1 == RETAIL,
     }
     priced = master.withColumn("_price", number(F.col("avg_price_yuan"), None)).withColumn("_rating", number(F.col("rating"), None))
     features = venue.venue_features(
-        priced, "mall_name", "brand_id", "category_l1", "category_l2", "_price", "_rating", shares, level2.isin(SITDOWN)
+        priced, "mall_name", "brand_id", "category_l1", "category_l2", "_price", "_rating", shares, level2.isin(*SITDOWN)
     )
     if details is None:
         return features
