@@ -11,7 +11,7 @@ import __spark_entry__ as entry
 from ..compare import connect, differences
 
 FOLDER = "/root/testdata/sf0.001"
-NAMES = {f"op{n}_": None for n in range(1, 11)}
+NAMES = {f"op{n}_": None for n in range(1, 14)}
 
 
 @pytest.fixture(scope="module")
@@ -24,8 +24,23 @@ def test_one_query_each_and_the_pipeline():
     assert "pipeline" in names and all(sum(n.startswith(p) for n in names) == 1 for p in NAMES)
 
 
-def test_decontamination_equals_sql(spark):
-    assert differences(entry.queries()["op1_decontamination"](spark, FOLDER), connect(FOLDER), entry.oracle_sql()["op1_decontamination"]) == ""
+@pytest.mark.parametrize("name", ["op1_decontamination", "op12_simplex_centroids", "op13_presence_masks"])
+def test_equals_sql(spark, name):
+    assert differences(entry.queries()[name](spark, FOLDER), connect(FOLDER), entry.oracle_sql()[name]) == ""
+
+
+def test_packing(spark, documents):
+    pieces, lengths = {}, {}
+    for r in entry.queries()["op11_vector_packing"](spark, FOLDER).collect():
+        pieces.setdefault(r.doc_id, []).append((r.start, r.length, r.doc_tokens))
+        lengths[r.sequence_id] = lengths.get(r.sequence_id, 0) + r.length
+    assert set(pieces) == set(documents) and all(n & (n - 1) == 0 and n <= 2048 for n in lengths.values())
+    for parts in pieces.values():
+        ends = [0]
+        for start, length, total in sorted(parts):
+            assert start == ends[-1]
+            ends.append(start + length)
+        assert ends[-1] == total
 
 
 def test_repeats(spark, documents):
