@@ -21,8 +21,17 @@ CATEGORY_NOISE = rf"(?iu)^(?:{FLOOR_FORM}|\d+/(?:{FLOOR_FORM}|商场内)|月|\.*
 
 
 @F.pandas_udf(T.StringType())
-def nfkc(values: pd.Series) -> pd.Series:
-    return values.map(lambda v: v if v is None or v.isascii() else unicodedata.normalize("NFKC", v))
+def _normalized(values: pd.Series) -> pd.Series:
+    out = values.astype(object)
+    some = out.notna()
+    out[some] = [unicodedata.normalize("NFKC", v) for v in out[some]]
+    return out
+
+
+def nfkc(value: Column | str) -> Column:
+    """NFKC form; ASCII texts are their own form, so that only others (more bytes than characters) go to Python."""
+    text = F.col(value) if isinstance(value, str) else value
+    return F.coalesce(_normalized(F.when(F.octet_length(text) > F.length(text), text)), text)
 
 
 def strip(value: Column) -> Column:
