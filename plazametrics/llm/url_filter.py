@@ -125,7 +125,7 @@ def label_words(labels: DataFrame, counts: DataFrame, hosts: DataFrame) -> DataF
 
     ``counts``: (word, n) of texts; ``hosts``: (word, hosts) of host names, where a label itself counts once less.
     """
-    known = counts.join(hosts, "word", "full_outer").select("word", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("hosts", F.lit(0)).alias("hosts"))
+    known = stored(counts.join(hosts, "word", "full_outer").select("word", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("hosts", F.lit(0)).alias("hosts")), "known")
     size = float(known.agg(F.sum(F.col("n") + F.col("hosts"))).first()[0] or 1)
     distinct = labels.select("label").distinct().where("length(label) > 0")
     parts = F.expr(
