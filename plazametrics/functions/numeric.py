@@ -52,4 +52,14 @@ def composition_color(shares: list[Column]) -> Column:
 
 
 def percent(value: Column) -> Column:
-    return F.concat(F.format_string("%.1f", value * 100), F.lit("%"))
+    """Percentage with one decimal, rounded by the binary value with ties to even, as C's ``%.1f`` does.
+
+    Twenty times the value is kept as a double and its rounding error, which together are exact.
+    """
+    scaled = value * 100
+    twenty = scaled * 16 + scaled * 4
+    error = scaled * 4 - (twenty - scaled * 16)
+    tenths = F.floor(twenty / 2)
+    rest = twenty - tenths * 2
+    up = (rest > 1) | ((rest == 1) & ((error > 0) | ((error == 0) & (tenths % 2 != 0))))
+    return F.concat(F.format_string("%.1f", (tenths + up.cast("int")) / 10), F.lit("%"))

@@ -189,3 +189,13 @@ def test_indel_ratio_against_table():
     for a in words:
         for b in words:
             assert indel_ratio_text(a, b) == pytest.approx(slow(a, b))
+
+
+def test_percent_rounds_as_c_does(spark):
+    import duckdb
+
+    values = [(i / n,) for n in (16, 32, 80, 400, 1000, 2000) for i in range(n + 1)]
+    df = spark.createDataFrame(values, "v double")
+    got = {r[0]: r[1] for r in df.select("v", numeric.percent(F.col("v"))).collect()}
+    assert got == {v: f"{v * 100:.1f}%" for (v,) in values}
+    assert duckdb.connect().execute("SELECT printf('%.1f', 31.25::DOUBLE)").fetchone()[0] + "%" == got[0.3125] == "31.2%"
