@@ -156,7 +156,7 @@ def parse_cards(tokens: DataFrame, g: Geometry) -> tuple[DataFrame, DataFrame]:
     rank = (
         F.col("score") + F.when(F.col("ord") == F.col("anchor_ord"), 0.35).otherwise(0.0)
         + F.when((F.col("t_rating") != "") | (F.col("t_price") != ""), 0.20).otherwise(0.0)
-        - F.least(F.length("t_category"), F.lit(18)) * 0.003
+        - F.least(F.length("t_category"), F.lit(18)) * 3 / 1000
     )
     badge = cd.is_new_store_badge(F.col("norm"), F.col("title"), F.lit(g.width), F.lit(g.height))
     claimed = F.max_by("t_floor", F.when(F.col("row") & F.col("pure_floor"), F.struct("x1", -F.col("ord"))))

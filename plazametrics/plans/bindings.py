@@ -160,7 +160,9 @@ TOKEN_SQL = (
 
 def tokens(spark: SparkSession, sf: str) -> DataFrame:
     events = table(spark, sf, "events").withColumn("get_k", F.get_json_object("props", "$.k"))
-    base = events.select(*[F.expr(e).alias(n) for n, e in TOKEN.items()])
+    # The score as a sum of doubles, as the SQL's division gives it; a decimal would break ties of scores another way.
+    score = F.lit(0.5) + F.col("get_k").cast("bigint") / F.lit(200.0)
+    base = events.select(*[(score if n == "score" else F.expr(e)).alias(n) for n, e in TOKEN.items()])
     return base.withColumn("x2", F.col("x1") + 130).withColumn("y2", F.col("y1") + 40)
 
 

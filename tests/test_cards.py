@@ -150,3 +150,23 @@ def test_bucket_boundary_frame_stays_early(spark):
     df = spark.createDataFrame([("v", i, float(i == 10)) for i in range(21)], "video string, frame_index bigint, sharpness double")
     got = {r["bucket"]: r["frame_index"] for r in frames.sharpest_per_bucket(df, 10).collect()}
     assert got == {0: 10, 1: 11}
+
+
+def test_equal_scores_are_compared_as_the_sql_adds_them(spark, tmp_path):
+    """An unrated anchor and a seven-letter title below whose sums are equal on paper, not in doubles."""
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    from .compare import differences
+
+    con = duckdb.connect()
+    rows = ", ".join(
+        f"({200 * i + e}, 0, '{kind}', '{{\"k\": {k}}}')"
+        for i, low in enumerate((9, 10, 21, 22)) for e, kind, k in ((0, "view", 1), (1, "view", low + 73), (39, "error", low))
+    )
+    con.execute(f"COPY (SELECT event_id::BIGINT AS event_id, user_id::BIGINT AS user_id, event_type, props"
+                f" FROM (VALUES {rows}) AS t(event_id, user_id, event_type, props)) TO '{tmp_path}/events.parquet'")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    name = "win5_category_contest"
+    assert differences(entry.queries()[name](spark, str(tmp_path)), con, entry.oracle_sql()[name]) == ""
