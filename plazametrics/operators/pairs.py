@@ -89,15 +89,18 @@ def pair_count(n: Column) -> Column:
 
 
 def similarity_summary(pairs: DataFrame, value: str, members: Column) -> DataFrame:
-    """Mean, median and maximum over all pairs, the absent ones counting as zero."""
+    """Mean, median and maximum over all pairs, the absent ones counting as zero.
+
+    The pairs are read once, into the number of pairs of each value.
+    """
     total = pair_count(members)
-    listed = pairs.groupBy(value).agg(F.count("*").alias("_w"))
+    listed = checkpointed(pairs.groupBy(value).agg(F.count("*").alias("_w")))
     # The zero row's weight is what the listed pairs leave over.
-    zeros = pairs.agg((total - F.count("*")).alias("_w")).select(F.lit(0.0).alias(value), "_w")
+    zeros = listed.agg((total - F.coalesce(F.sum("_w"), F.lit(0))).alias("_w")).select(F.lit(0.0).alias(value), "_w")
     weighted = listed.unionByName(zeros)
     middle = grouped_median(weighted, [], value, "median", weight="_w").select("median")
-    spread = pairs.agg(
-        (F.sum(value) / total).alias("mean"), F.max(value).alias("max"), total.alias("pair_count")
+    spread = listed.agg(
+        (F.sum(F.col(value) * F.col("_w")) / total).alias("mean"), F.max(value).alias("max"), total.alias("pair_count")
     )
     return spread.select(
         F.round("mean", 6).alias("mean"), F.round(middle.scalar(), 6).alias("median"),
