@@ -77,6 +77,8 @@ def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
 def lloyd_step(df: DataFrame, vector: str, runs: Sequence[Run]) -> list[np.ndarray]:
     """One assign-and-average pass for every run; an empty group keeps its centre."""
     live = [(i, r.centres) for i, r in enumerate(runs) if not r.done]
+    width = live[0][1].shape[1] if live else 0
+    names = [f"s{j}" for j in range(width)] + ["held"]
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         totals = {i: np.zeros((len(c), c.shape[1] + 1)) for i, c in live}
@@ -84,15 +86,20 @@ def lloyd_step(df: DataFrame, vector: str, runs: Sequence[Run]) -> list[np.ndarr
             x = stack(pdf[vector])
             padded = np.hstack([x, np.ones((len(x), 1))])
             for i, centres in live:
-                np.add.at(totals[i], nearest(x, centres), padded)
-        yield pd.DataFrame({"run": list(totals), "sums": [t.ravel() for t in totals.values()]})
+                cells = nearest(x, centres)[:, None] * (width + 1) + np.arange(width + 1)
+                totals[i] += np.bincount(cells.ravel(), padded.ravel(), totals[i].size).reshape(totals[i].shape)
+        keys = [(i, g) for i, total in totals.items() for g in range(len(total))]
+        table = np.concatenate(list(totals.values()))
+        out = pd.DataFrame(keys, columns=["run", "label"]).join(pd.DataFrame(table, columns=names))
+        yield out[out["held"] > 0]
 
     updated = [r.centres.copy() for r in runs]
-    parts = df.select(vector).mapInPandas(sums, "run int, sums array<double>")
-    for (run,), flat in added(parts, ["run"]).items():
-        table = flat.reshape(len(updated[run]), -1)
-        held = table[:, -1] > 0
-        updated[run][held] = table[held, :-1] / table[held, -1:]
+    if not live:
+        return updated
+    parts = df.select(vector).mapInPandas(sums, "run int, label int, " + ", ".join(f"{c} double" for c in names))
+    # One column a number: a single shuffle adds them, and steps of little arithmetic are mostly the start of stages.
+    for run, label, *total, held in parts.groupBy("run", "label").agg(*[F.sum(c) for c in names]).collect():
+        updated[run][label] = np.asarray(total) / held
     return updated
 
 
@@ -172,22 +179,24 @@ def silhouettes(labelled: DataFrame, row_id: str, vector: str, labels: str, grou
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total, count = np.zeros(len(groups)), np.zeros(len(groups))
         for pdf in batches:
-            for marks, sums, sizes in zip(pdf["labels"], pdf["sums"], pdf["sizes"]):
-                s = np.sum([np.asarray(v) for v in sums], axis=0)
-                n = np.sum([np.asarray(v) for v in sizes], axis=0)
-                for run, own in enumerate(marks):
-                    part = slice(offsets[run], offsets[run + 1])
-                    gs, gn = s[part], n[part]
-                    if gn[own] < 2:
-                        continue
-                    others = (gn > 0) & (np.arange(len(gn)) != own)
-                    if not others.any():
-                        continue
-                    a = gs[own] / (gn[own] - 1)
-                    b = (gs[others] / gn[others]).min()
-                    top = max(a, b)
-                    total[run] += (b - a) / top if top > 0 else 0.0
-                    count[run] += 1
+            if not len(pdf):
+                continue
+            marks = stack(pdf["labels"]).astype(int)
+            s, n = (np.stack([np.sum([np.asarray(v) for v in part], axis=0) for part in pdf[c]]) for c in ("sums", "sizes"))
+            rows_at = np.arange(len(pdf))
+            for run in range(len(groups)):
+                part = slice(offsets[run], offsets[run + 1])
+                gs, gn, own = s[:, part], n[:, part], marks[:, run]
+                others = gn > 0
+                others[rows_at, own] = False
+                size = gn[rows_at, own]
+                a = gs[rows_at, own] / np.maximum(size - 1, 1)
+                b = np.where(others, gs / np.maximum(gn, 1), np.inf).min(axis=1)
+                scored = (size >= 2) & others.any(axis=1)
+                a, b = a[scored], b[scored]
+                top = np.maximum(a, b)
+                total[run] += np.divide(b - a, top, out=np.zeros(len(top)), where=top > 0).sum()
+                count[run] += len(top)
         yield pd.DataFrame({"run": range(len(groups)), "total": total, "scored": count})
 
     scored = rows.mapInPandas(score, "run int, total double, scored double")
