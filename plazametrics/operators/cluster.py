@@ -1,7 +1,8 @@
 """K-means, k-medoids, silhouettes and archetypes over vector rows.
 
-Every iteration is one pass over the rows; all restarts and all ``k`` share the pass. The
-driver holds centres and ``k``-sized sums, never rows.
+Every iteration is one pass over the rows; all restarts and all ``k`` share the pass. Restarts
+of k-means over few numbers run apart, each on all rows in one task. The driver holds centres
+and ``k``-sized sums, never rows.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 from .blocks import block_pairs, distances, stack, summed_rows
 from .moments import added
+from .resident import fits, on_all_rows
 from .simplex import convex_weights, project_rows
 
 
@@ -74,6 +76,13 @@ def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return distances(x, centres).argmin(axis=1)
 
 
+def group_sums(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Sums and, last, number of the rows nearest to each centre."""
+    padded = np.hstack([x, np.ones((len(x), 1))])
+    cells = nearest(x, centres)[:, None] * padded.shape[1] + np.arange(padded.shape[1])
+    return np.bincount(cells.ravel(), padded.ravel(), len(centres) * padded.shape[1]).reshape(len(centres), -1)
+
+
 def lloyd_step(df: DataFrame, vector: str, runs: Sequence[Run]) -> list[np.ndarray]:
     """One assign-and-average pass for every run; an empty group keeps its centre."""
     live = [(i, r.centres) for i, r in enumerate(runs) if not r.done]
@@ -84,10 +93,8 @@ def lloyd_step(df: DataFrame, vector: str, runs: Sequence[Run]) -> list[np.ndarr
         totals = {i: np.zeros((len(c), c.shape[1] + 1)) for i, c in live}
         for pdf in batches:
             x = stack(pdf[vector])
-            padded = np.hstack([x, np.ones((len(x), 1))])
             for i, centres in live:
-                cells = nearest(x, centres)[:, None] * (width + 1) + np.arange(width + 1)
-                totals[i] += np.bincount(cells.ravel(), padded.ravel(), totals[i].size).reshape(totals[i].shape)
+                totals[i] += group_sums(x, centres)
         keys = [(i, g) for i, total in totals.items() for g in range(len(total))]
         table = np.concatenate(list(totals.values()))
         out = pd.DataFrame(keys, columns=["run", "label"]).join(pd.DataFrame(table, columns=names))
@@ -109,6 +116,8 @@ def kmeans(
 ) -> list[Run]:
     """Lloyd's algorithm for every (k, seed) until the centres stand still."""
     runs = random_starts(df, row_id, vector, list(ks), list(seeds))
+    if runs and runs[0].centres.size and fits(df.count(), runs[0].centres.shape[1]):
+        return lloyd_runs(df, row_id, vector, runs, iterations)
     for _ in range(iterations):
         if all(r.done for r in runs):
             break
@@ -118,6 +127,30 @@ def kmeans(
     return runs
 
 
+def lloyd_runs(df: DataFrame, row_id: str, vector: str, runs: list[Run], iterations: int) -> list[Run]:
+    """All steps of each run in the task that has drawn it."""
+    starts = [(i, r.centres) for i, r in enumerate(runs)]
+
+    def steps(rows: pd.DataFrame, own: Sequence[tuple[int, np.ndarray]]) -> Iterator[pd.DataFrame]:
+        x = stack(rows.sort_values(row_id)[vector])
+        for i, centres in own:
+            done = False
+            for _ in range(iterations):
+                if done:
+                    break
+                total = group_sums(x, centres)
+                held = total[:, -1:]
+                moved = np.where(held > 0, total[:, :-1] / np.maximum(held, 1), centres)
+                done, centres = np.allclose(moved, centres), moved
+            yield pd.DataFrame({"run": [i], "done": [done], "centres": [centres.ravel()]})
+
+    found = on_all_rows(df, [row_id, vector], starts, steps, "run int, done boolean, centres array<double>")
+    for row in found.collect():
+        run = runs[row["run"]]
+        run.centres, run.done = np.asarray(row["centres"]).reshape(run.centres.shape), row["done"]
+    return runs
+
+
 def label_runs(df: DataFrame, row_id: str, vector: str, runs: Sequence[Run], keep: Sequence[str] = ()) -> DataFrame:
     """Append ``labels``: the nearest centre's number in each run."""
     centres = [r.centres for r in runs]
