@@ -32,3 +32,17 @@ def test_kmeans_of_few_numbers_takes_no_job_a_step(spark, jobs, monkeypatch):
     for a, b in zip(runs, passes):
         assert (a.k, a.seed, a.done, b.done) == (b.k, b.seed, True, True)
         np.testing.assert_allclose(a.centres, b.centres, atol=1e-12)
+
+
+def test_shuffled_columns_and_holdout_of_few_numbers_stay_in_their_tasks(spark, jobs, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(int(i), [float(v) for v in x]) for i, x in enumerate(rng.poisson(rng.gamma(2.0, 4.0, size=(60, 5))))]
+    df = spark.createDataFrame(rows, "v bigint, counts array<double>").repartition(3).checkpoint()
+    work = lambda: (
+        sorted(composition.parallel_analysis(df, "v", reps=12).collect()),
+        sorted(composition.holdout_reconstruction(df, "v", max_k=3, iterations=12).collect()),
+    )
+    found, used = jobs(work)
+    monkeypatch.setattr(resident, "HELD_NUMBERS", 0)
+    passes, each = jobs(work)
+    assert used < each / 2 and found == passes
