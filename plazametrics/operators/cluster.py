@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .blocks import block_pairs, distances, stack, summed_rows
+from .blocks import block_sums, distances, plain_distances, stack
 from .moments import added
 from .resident import fits, on_all_rows
 from .simplex import convex_weights, project_rows
@@ -73,7 +73,7 @@ def random_starts(df: DataFrame, row_id: str, vector: str, ks: Sequence[int], se
 
 
 def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    return distances(x, centres).argmin(axis=1)
+    return plain_distances(x, centres).argmin(axis=1)
 
 
 def group_sums(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -167,72 +167,71 @@ def label_runs(df: DataFrame, row_id: str, vector: str, runs: Sequence[Run], kee
     return df.select(*columns).mapInPandas(assign, schema)
 
 
+class Marks:
+    """Group numbers of several runs as columns of one table, a run's groups beside each other."""
+
+    def __init__(self, groups: Sequence[int]):
+        self.offsets = np.concatenate([[0], np.cumsum(groups)]).astype(int)
+        self.width = int(self.offsets[-1])
+
+    def own(self, labels: pd.Series) -> np.ndarray:
+        """The column of each row's group in each run."""
+        return stack(labels).astype(int) + self.offsets[:-1]
+
+    def table(self, own: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(own), self.width))
+        out[np.arange(len(own))[:, None], own] = 1.0
+        return out
+
+
 def silhouettes(labelled: DataFrame, row_id: str, vector: str, labels: str, groups: Sequence[int], **sizing) -> DataFrame:
     """Mean Euclidean silhouette per run (rows alone in their group are left out).
 
     ``labels`` holds one group number per run and ``groups`` the number of groups of each.
-    Block pairs send per-row distance sums per group, so no pair leaves a task.
+    Block pairs send per-row distance sums per group, so no pair leaves a task. The sizes of the
+    groups are counted once.
     """
     groups = list(groups)
-    offsets = np.concatenate([[0], np.cumsum(groups)])
-    width = int(offsets[-1])
-    types = dict(labelled.dtypes)
-
-    def one_hot(pdf: pd.DataFrame) -> np.ndarray:
-        marks = stack(pdf[labels]).astype(int) + offsets[:-1]
-        table = np.zeros((len(pdf), width))
-        table[np.arange(len(pdf))[:, None], marks] = 1.0
-        return table
-
-    def kernel(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> pd.DataFrame:
-        d = distances(stack(left[vector]), stack(right[vector]))
-        a, b = one_hot(left), one_hot(right)
-        first = pd.DataFrame({
-            row_id: left[row_id], labels: left[labels], "sums": list(d @ b),
-            "sizes": [b.sum(axis=0)] * len(left),
-        })
-        if same:
-            return first
-        second = pd.DataFrame({
-            row_id: right[row_id], labels: right[labels], "sums": list(d.T @ a),
-            "sizes": [a.sum(axis=0)] * len(right),
-        })
-        return pd.concat([first, second])
-
-    parts = block_pairs(
-        labelled, row_id, [vector, labels], kernel,
-        f"{row_id} {types[row_id]}, {labels} array<int>, sums array<double>, sizes array<double>",
-        merge=lambda t: summed_rows(t, row_id, ["sums", "sizes"]), **sizing,
-    )
-    # A row has one part per block, so the lists are as short as the number of blocks.
-    rows = parts.groupBy(row_id).agg(
-        F.first(labels).alias("labels"), F.collect_list("sums").alias("sums"), F.collect_list("sizes").alias("sizes")
-    )
+    marks = Marks(groups)
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, count = np.zeros(len(groups)), np.zeros(len(groups))
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(marks.width)
         for pdf in batches:
-            if not len(pdf):
-                continue
-            marks = stack(pdf["labels"]).astype(int)
-            s, n = (np.stack([np.sum([np.asarray(v) for v in part], axis=0) for part in pdf[c]]) for c in ("sums", "sizes"))
-            rows_at = np.arange(len(pdf))
-            for run in range(len(groups)):
-                part = slice(offsets[run], offsets[run + 1])
-                gs, gn, own = s[:, part], n[:, part], marks[:, run]
-                others = gn > 0
-                others[rows_at, own] = False
-                size = gn[rows_at, own]
-                a = gs[rows_at, own] / np.maximum(size - 1, 1)
-                b = np.where(others, gs / np.maximum(gn, 1), np.inf).min(axis=1)
-                scored = (size >= 2) & others.any(axis=1)
-                a, b = a[scored], b[scored]
-                top = np.maximum(a, b)
-                total[run] += np.divide(b - a, top, out=np.zeros(len(top)), where=top > 0).sum()
-                count[run] += len(top)
-        yield pd.DataFrame({"run": range(len(groups)), "total": total, "scored": count})
-
-    scored = rows.mapInPandas(score, "run int, total double, scored double")
+            total += marks.table(marks.own(pdf[labels])).sum(axis=0) if len(pdf) else 0.0
+        yield pd.DataFrame({"sums": [total]})
+
+    sizes = added(labelled.select(labels).mapInPandas(counted, "sums array<double>"), []).get((), np.zeros(marks.width))
+
+    def prepare(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        return stack(pdf[vector]), marks.own(pdf[labels])
+
+    def kernel(left: Sequence[np.ndarray], right: Sequence[np.ndarray], same: bool) -> tuple[np.ndarray, np.ndarray]:
+        d = distances(left[0], right[0])
+        first = d @ marks.table(right[1])
+        return first, first if same else d.T @ marks.table(left[1])
+
+    def score(rows: pd.DataFrame, sums: np.ndarray, times: np.ndarray) -> pd.DataFrame:
+        total, count = np.zeros(len(groups)), np.zeros(len(groups))
+        own_groups, rows_at = marks.own(rows[labels]), np.arange(len(rows))
+        for run in range(len(groups)):
+            part = slice(marks.offsets[run], marks.offsets[run + 1])
+            gs, gn, own = sums[:, part], times[:, None] * sizes[part], own_groups[:, run] - marks.offsets[run]
+            others = gn > 0
+            others[rows_at, own] = False
+            size = gn[rows_at, own]
+            a = gs[rows_at, own] / np.maximum(size - 1, 1)
+            b = np.where(others, gs / np.maximum(gn, 1), np.inf).min(axis=1)
+            scored = (size >= 2) & others.any(axis=1)
+            a, b = a[scored], b[scored]
+            top = np.maximum(a, b)
+            total[run] += np.divide(b - a, top, out=np.zeros(len(top)), where=top > 0).sum()
+            count[run] += len(top)
+        return pd.DataFrame({"run": range(len(groups)), "total": total, "scored": count})
+
+    scored = block_sums(
+        labelled, row_id, [vector, labels], prepare, kernel, marks.width, score, "run int, total double, scored double",
+        keep=[labels], **sizing,
+    )
     return scored.groupBy("run").agg(
         F.coalesce(F.sum("total") / F.nullif(F.sum("scored"), F.lit(0.0)), F.lit(0.0)).alias("silhouette"),
         F.sum("scored").cast("bigint").alias("scored_rows"),
@@ -279,34 +278,36 @@ def kmedoids(
     """Medoids under Euclidean distance for every (k, seed) until the medoid set repeats."""
     runs = random_starts(df, row_id, vector, list(ks), list(seeds))
     types = dict(df.dtypes)
+    sizing = {"rows": df.count(), **sizing}
+
+    def prepare(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        return stack(pdf[vector]), stack(pdf["labels"]).astype(int)
+
     for _ in range(iterations):
         live = [r for r in runs if not r.done]
         if not live:
             break
-        labelled = label_runs(df, row_id, vector, live)
-
-        def kernel(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> pd.DataFrame:
-            d = distances(stack(left[vector]), stack(right[vector]))
-            a, b = stack(left["labels"]), stack(right["labels"])
-            near = [(a[:, [r]] == b[:, r]) for r in range(a.shape[1])]
-            first = np.stack([(d * m).sum(axis=1) for m in near], axis=1)
-            out = pd.DataFrame({row_id: left[row_id], vector: left[vector], "labels": left["labels"], "cost": list(first)})
-            if same:
-                return out
-            second = np.stack([(d * m).sum(axis=0) for m in near], axis=1)
-            return pd.concat([out, pd.DataFrame({
-                row_id: right[row_id], vector: right[vector], "labels": right["labels"], "cost": list(second),
-            })])
-
-        parts = block_pairs(
-            labelled, row_id, [vector, "labels"], kernel,
-            f"{row_id} {types[row_id]}, {vector} array<double>, labels array<int>, cost array<double>",
-            merge=lambda t: summed_rows(t, row_id, ["cost"]), **sizing,
-        )
-        costs = (
-            parts.select(row_id, vector, "labels", F.posexplode("cost").alias("run", "cost"))
-            .withColumn("label", F.element_at("labels", F.col("run") + 1))
-            .groupBy("run", "label", row_id).agg(F.sum("cost").alias("cost"), F.first(vector).alias(vector))
+        marks = Marks([r.k for r in live])
+
+        def kernel(left: Sequence[np.ndarray], right: Sequence[np.ndarray], same: bool) -> tuple[np.ndarray, np.ndarray]:
+            # Distances to the rows of each group in each run, of which a row's own groups are kept.
+            d = distances(left[0], right[0])
+            a, b = (labels + marks.offsets[:-1] for labels in (left[1], right[1]))
+            first = np.take_along_axis(d @ marks.table(b), a, axis=1)
+            return first, first if same else np.take_along_axis(d.T @ marks.table(a), b, axis=1)
+
+        def cheapest(rows: pd.DataFrame, cost: np.ndarray, _: np.ndarray) -> pd.DataFrame:
+            labels, rank = stack(rows["labels"]).astype(int), rows[row_id].rank(method="dense", na_option="top").to_numpy()
+            found = []
+            for run in range(labels.shape[1]):
+                order = np.lexsort((rank, cost[:, run], labels[:, run]))
+                first = order[np.flatnonzero(np.diff(labels[order, run], prepend=-1))]
+                found.append(rows.iloc[first][[row_id, vector]].assign(run=run, label=labels[first, run], cost=cost[first, run]))
+            return pd.concat(found, ignore_index=True)
+
+        costs = block_sums(
+            label_runs(df, row_id, vector, live), row_id, [vector, "labels"], prepare, kernel, len(live), cheapest,
+            f"{row_id} {types[row_id]}, {vector} array<double>, run int, label int, cost double", **sizing,
         )
         medoids = costs.groupBy("run", "label").agg(
             F.min_by(F.struct(F.col(row_id).alias("id"), F.col(vector).alias("x")), F.struct("cost", row_id)).alias("m")
