@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from plazametrics.operators import cluster
+from plazametrics.operators import cluster, composition
 from plazametrics.operators.blocks import block_pairs, block_sums, distances, stack
 
 
@@ -63,3 +63,15 @@ def test_distances_of_near_far_and_missing_rows():
     np.testing.assert_allclose(distances(lone, lone[::-1]), np.sqrt(((lone[:, None] - lone[::-1][None]) ** 2).sum(axis=2)), rtol=1e-11)
     b[0, 0] = np.nan
     assert np.isnan(distances(a, b)[:, 0]).all() and np.isfinite(distances(a, b)[:, 1:]).all()
+
+
+def test_null_is_drawn_where_its_pairs_meet(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(v) for v in x]) for i, x in enumerate(rng.poisson(6.0, size=(50, 4)))]
+    df = spark.createDataFrame(rows, "v bigint, counts array<double>").repartition(3)
+    drawn = composition.multinomial_null(df, "v", 3).withColumn("x", composition.clr(F.col("counts")))
+    want = composition.distance_statistics(drawn, "v", "x", ["rep"]).collect()
+    found = composition.null_statistics(df, "v", 3, block_rows=20, tile_rows=8).collect()
+    assert len(found) == 3
+    for a, b in zip(sorted(found), sorted(want)):
+        np.testing.assert_allclose([float(x) for x in a], [float(x) for x in b], rtol=1e-10)
