@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .text import brand_key
 
@@ -56,34 +58,39 @@ def venue_match_key(name: Column, city: str = CITY) -> Column:
     text = F.regexp_replace(text, r"[（(].*?[）)]", "")
     text = F.regexp_replace(text, f"^{city}市?", "")
     text = F.regexp_replace(text, rf"({city}市)?{HAN}{{2,3}}区", "")
-    return brand_key(F.regexp_replace(text, PLACE_TAIL, ""))
-
-
-def ordered_coverage(short: Column, long: Column) -> Column:
-    """Share of ``short``'s characters found in ``long`` left to right, greedily."""
-    start = F.struct(F.lit(0).alias("pos"), F.lit(0).alias("hits"))
-
-    def step(state: Column, char: Column) -> Column:
-        at = F.position(char, long, state["pos"] + 1)
-        return F.struct(
-            F.when(at > 0, at).otherwise(state["pos"]).alias("pos"),
-            (state["hits"] + (at > 0).cast("int")).alias("hits"),
-        )
-
-    hits = F.aggregate(F.split(short, ""), start, step)["hits"]
-    return hits / F.length(short)
-
-
-def match_quality(a: Column, b: Column) -> Column:
-    """3 equal, 2 contained (3+ characters), 1 ordered coverage of 90 % (4+), else 0."""
-    shorter = F.least(F.length(a), F.length(b))
-    a_first = F.length(a) <= F.length(b)
-    short, long = F.when(a_first, a).otherwise(b), F.when(a_first, b).otherwise(a)
-    contained = F.contains(long, short)
-    return (
-        F.when((a == "") | (b == ""), 0)
-        .when(a == b, 3)
-        .when(contained, F.when(shorter >= 3, 2).otherwise(0))
-        .when((shorter >= 4) & (ordered_coverage(short, long) >= 0.9), 1)
-        .otherwise(0)
-    )
+    # Without a bracket, the city or a district word only the last step can change a name.
+    plain = ~(F.contains(name, F.lit("（")) | F.contains(name, F.lit("(")) | F.contains(name, F.lit(city)) | F.contains(name, F.lit("区")))
+    return brand_key(F.when(plain, F.regexp_replace(name, PLACE_TAIL, "")).otherwise(F.regexp_replace(text, PLACE_TAIL, "")))
+
+
+def name_quality(a: str | None, b: str | None) -> int:
+    """3 equal, 2 contained (3+ characters), 1 ordered coverage of 90 % (4+), else 0; a missing name counts as empty.
+
+    Coverage is the share of the shorter name's characters found in the longer one left to right, greedily.
+    """
+    if not a or not b:
+        return 0
+    if a == b:
+        return 3
+    short, long = (a, b) if len(a) <= len(b) else (b, a)
+    if short in long:
+        return 2 if len(short) >= 3 else 0
+    if len(short) < 4:
+        return 0
+    at, left = 0, len(short)
+    for char in short:
+        found = long.find(char, at)
+        if found >= 0:
+            at = found + 1
+            continue
+        left -= 1
+        # What is left can reach no higher share.
+        if left / len(short) < 0.9:
+            return 0
+    return 1
+
+
+@F.pandas_udf(T.IntegerType())
+def match_quality(a: pd.Series, b: pd.Series) -> pd.Series:
+    """:func:`name_quality` of two names. Each text is computed once a row; as an expression it was, in every branch and step."""
+    return pd.Series([name_quality(x, y) for x, y in zip(a.tolist(), b.tolist())], dtype="int32")

@@ -102,9 +102,11 @@ def best_candidate(
             -(~F.col("adname").isin("", "[]")).cast("int"), F.col(ordinal),
         ),
     )
-    best = ranked.where(F.col("quality") > 0).groupBy(key).agg(
-        F.min_by(F.struct("poi_name", "adname", "typecode", "quality", expected.alias("expected"), *carry), "_rank").alias("b")
-    )
+    # Rows without a rank take no part; a filter on the quality would compute it a second time.
+    best = ranked.groupBy(key).agg(F.min_by(
+        F.struct("poi_name", "adname", "typecode", "quality", expected.alias("expected"), *carry),
+        F.when(F.col("quality") > 0, F.col("_rank")),
+    ).alias("b"))
     mismatch = (F.col("b.expected") != "") & ~F.col("b.adname").isin("", "[]") & (F.col("b.adname") != F.col("b.expected"))
     status = (
         F.when(F.col("b").isNull(), "no_match")
