@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import time
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -46,10 +48,90 @@ def script_payload(rows: DataFrame, variable: str) -> DataFrame:
     return rows.select(line.alias("value"))
 
 
+#: Endings of files that Spark's text reader unpacks as it reads; the digest of such a file is taken of its whole content.
+PACKED = ("gz", "gzip", "bz2", "deflate", "snappy", "lz4", "zst", "zstd", "passthrough")
+
+
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
-    """SHA-256 and size of input files."""
+    """SHA-256 and size of input files, however long.
+
+    Files are read as their bytes between line feeds, in as many splits as the reader makes; the pieces of a file come
+    together in order and pass through one hash, so that no task holds a file.
+    """
     files = spark.read.format("binaryFile").load(path)
-    return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    listed = files.select("path", F.col("length").alias("bytes"), F.col("_metadata.file_path").alias("_file"))
+    packed = F.col("_file").rlike(rf"\.({'|'.join(PACKED)})$")
+    # A filter on the path would not keep the content of other files unread.
+    whole = spark.read.format("binaryFile").option("pathGlobFilter", f"*.{{{','.join(PACKED)}}}").load(path).select(
+        "path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256")
+    )
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("value").cast("binary").alias("line"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start")
+    ).where(~packed)
+    pieces = lines.mapInArrow(line_pieces, "_file string, _start bigint, _piece bigint, _bytes binary")
+    held = pieces.unionByName(listed.where(~packed).select(
+        "_file", F.lit(-1).cast("bigint").alias("_start"), F.col("bytes").alias("_piece"), F.lit(b"").alias("_bytes")
+    ))
+    ordered = held.repartition("_file").sortWithinPartitions("_file", "_start", "_piece")
+    hashed = ordered.mapInArrow(piece_digests, "_file string, sha256 string")
+    return listed.join(hashed, "_file").select("path", "bytes", "sha256").unionByName(whole)
+
+
+#: Bytes of a piece of a file, and the byte order mark that the reader leaves out.
+PIECE_BYTES, MARK = 1 << 20, b"\xef\xbb\xbf"
+
+
+def line_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines of each split with a line feed after each, joined to pieces numbered in order."""
+    at, number, lines, size = None, 0, [], 0
+
+    def piece() -> pa.RecordBatch:
+        data = b"\n".join([*lines, b""])
+        return pa.RecordBatch.from_pylist([{"_file": at[0], "_start": at[1], "_piece": number, "_bytes": data}], PIECES)
+
+    for batch in batches:
+        for line, file, start in zip(*(batch.column(c) for c in ("line", "_file", "_start"))):
+            if lines and (size > PIECE_BYTES or (file.as_py(), start.as_py()) != at):
+                yield piece()
+                number, lines, size = number + 1, [], 0
+            at = file.as_py(), start.as_py()
+            lines.append(line.as_py())
+            size += len(lines[-1]) + 1
+    if lines:
+        yield piece()
+
+
+PIECES = pa.schema([("_file", pa.string()), ("_start", pa.int64()), ("_piece", pa.int64()), ("_bytes", pa.binary())])
+
+
+def piece_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """SHA-256 of each file from its length (a piece before all others) and its pieces in order.
+
+    The line feed after the last line, and a byte order mark before the first, are the file's own or not by its length.
+    """
+    file, length, seen, digests, last = None, 0, 0, [], b""
+
+    def hexadecimal() -> str:
+        missing = length - seen - len(last)
+        if missing not in (-1, 0, len(MARK) - 1, len(MARK)):
+            raise ValueError(f"{file}: {seen + len(last)} bytes read of {length}")
+        digest = digests[missing > 0]
+        digest.update(last if missing in (0, len(MARK)) else last[:-1])
+        return digest.hexdigest()
+
+    for batch in batches:
+        for row in range(batch.num_rows):
+            name, start, number, data = (batch.column(c)[row].as_py() for c in range(4))
+            if start < 0:
+                if file is not None:
+                    yield pa.RecordBatch.from_pylist([{"_file": file, "sha256": hexadecimal()}])
+                file, length, seen, digests, last = name, number, 0, [hashlib.sha256(), hashlib.sha256(MARK)], b""
+                continue
+            for digest in digests:
+                digest.update(last)
+            seen, last = seen + len(last), data
+    if file is not None:
+        yield pa.RecordBatch.from_pylist([{"_file": file, "sha256": hexadecimal()}])
 
 
 def markdown_table(df: DataFrame, limit: int) -> str:
