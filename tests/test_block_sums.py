@@ -75,3 +75,12 @@ def test_null_is_drawn_where_its_pairs_meet(spark):
     assert len(found) == 3
     for a, b in zip(sorted(found), sorted(want)):
         np.testing.assert_allclose([float(x) for x in a], [float(x) for x in b], rtol=1e-10)
+
+
+def test_edges_in_both_directions_are_computed_once(spark):
+    from plazametrics.operators import pairs
+
+    edges = spark.createDataFrame([(1, 2, 0.5), (2, 3, 0.25)], "a bigint, b bigint, w double").groupBy("a", "b").agg(F.sum("w").alias("w"))
+    both = pairs.both_directions(edges)
+    assert "Union" not in both._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, both.collect())) == [(1, 2, 0.5), (2, 1, 0.5), (2, 3, 0.25), (3, 2, 0.25)]
